@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.llm.components import connected_components
-from kinweave.llm.tokens import DEFAULT_DIRECTORY, decode_column, encode_documents
+from kinweave.llm.leaks import leaks
+from kinweave.llm.tokens import DEFAULT_DIRECTORY, decode_column, encode_column, encode_documents
+from kinweave.llm.truncation import judged, truncation_rates
 from kinweave.operators.runtime import table
 
 VOCABULARY = f"{DEFAULT_DIRECTORY}/byte_bpe_50k.json"
@@ -27,17 +29,32 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 def p8_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Whether decoding gives back the text, and the number of ids."""
     docs = table(spark, d, "documents")
-    ids = docs.select("doc_id", "text", encode_documents_column(docs).alias("ids"))
+    ids = docs.select("doc_id", "text", encode_column(docs["text"], VOCABULARY).alias("ids"))
     return ids.select("doc_id", F.size("ids").alias("n_ids"), (decode_column(F.col("ids"), VOCABULARY) == F.coalesce("text", F.lit(""))).alias("same"))
 
 
-def encode_documents_column(docs: DataFrame):
-    from kinweave.llm.tokens import encode_column
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_passages(spark, d).select("doc_id", "item_id")
 
-    return encode_column(docs["text"], VOCABULARY)
 
+def p9_passages(spark: SparkSession, d: str) -> DataFrame:
+    return leaks(table(spark, d, "documents"), table(spark, d, "eval_item"))
 
-QUERIES = {f.__name__: f for f in (p3_found, p8_ids, p8_roundtrip)}
+
+def p9_items(spark: SparkSession, d: str) -> DataFrame:
+    """Per leaked item: documents that contain it, and its longest passage in words."""
+    return p9_passages(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.max("words").alias("longest"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return judged(table(spark, d, "documents")).filter("truncated").select("doc_id")
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    return truncation_rates(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p8_ids, p8_roundtrip, p9_found, p9_passages, p9_items, p10_found, p10_rates)}
 
 ORACLE = {
     "p3_found": """
