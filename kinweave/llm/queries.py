@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from kinweave.llm.components import connected_components
 from kinweave.llm.leaks import leaks
+from kinweave.llm.places import UNMATCHED, map_values
 from kinweave.llm.tokens import DEFAULT_DIRECTORY, decode_column, encode_column, encode_documents
 from kinweave.llm.truncation import judged, truncation_rates
-from kinweave.operators.runtime import table
+from kinweave.operators.joins import counted_join
+from kinweave.operators.runtime import Scratch, table
 
 VOCABULARY = f"{DEFAULT_DIRECTORY}/byte_bpe_50k.json"
 
@@ -54,7 +56,36 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation_rates(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p8_ids, p8_roundtrip, p9_found, p9_passages, p9_items, p10_found, p10_rates)}
+def _place_values(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(table_name, record_id, value) of the rows to map, and the mapping of their distinct values."""
+    mention, event = table(spark, d, "record_place_mention"), table(spark, d, "person_event")
+    rows = (
+        mention.filter("place_id is null").select(F.lit("record_place_mention").alias("table_name"), F.col("place_mention_id").alias("record_id"), F.col("place_text").alias("value"))
+        .unionByName(
+            event.filter("place_raw is not null and place_normalized is null")
+            .select(F.lit("person_event").alias("table_name"), F.col("event_id").cast("string").alias("record_id"), F.col("place_raw").alias("value"))
+        )
+    )
+    scratch = Scratch(spark, "places")
+    values = scratch.save(rows.filter("value is not null").groupBy("value").agg(F.count(F.lit(1)).alias("n")))
+    places = table(spark, d, "place")
+    mapped = map_values(values.repartition(max(12, spark.sparkContext.defaultParallelism), "value"), places)
+    return rows, scratch.save(mapped.join(values, "value"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    rows, mapped = _place_values(spark, d)
+    joined = counted_join(rows, mapped.select("value", "place_id", "n"), "value", "n")
+    return joined.groupBy("table_name", "record_id").agg(F.coalesce(F.max("place_id"), F.lit(UNMATCHED)).alias("place_id"))
+
+
+def p5_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """Values that no entry of the list stands for, with their numbers of rows and best scores."""
+    _, mapped = _place_values(spark, d)
+    return mapped.filter(F.col("place_id") == UNMATCHED).select("value", F.col("n").alias("rows"), F.round("score", 4).alias("score"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p5_found, p5_unmatched, p8_ids, p8_roundtrip, p9_found, p9_passages, p9_items, p10_found, p10_rates)}
 
 ORACLE = {
     "p3_found": """
