@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.llm.components import connected_components
+from kinweave.llm.entities import matched_persons
 from kinweave.llm.leaks import leaks
 from kinweave.llm.places import UNMATCHED, map_values
 from kinweave.llm.tokens import DEFAULT_DIRECTORY, decode_column, encode_column, encode_documents
 from kinweave.llm.truncation import judged, truncation_rates
+from kinweave.llm.variants import spelt_persons
 from kinweave.operators.joins import counted_join
 from kinweave.operators.runtime import Scratch, table
 
@@ -56,6 +58,20 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation_rates(table(spark, d, "documents"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return spelt_persons(table(spark, d, "record_person_mention"), table(spark, d, "person"), table(spark, d, "person_name"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_matches(spark, d).select("person_mention_id", "person_id")
+
+
+def p6_matches(spark: SparkSession, d: str) -> DataFrame:
+    """The matches with their scores and confidences."""
+    mentions = table(spark, d, "record_person_mention").filter("patronymic is null")
+    return matched_persons(mentions, table(spark, d, "person"), table(spark, d, "person_name"))
+
+
 def _place_values(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """(table_name, record_id, value) of the rows to map, and the mapping of their distinct values."""
     mention, event = table(spark, d, "record_place_mention"), table(spark, d, "person_event")
@@ -85,7 +101,7 @@ def p5_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return mapped.filter(F.col("place_id") == UNMATCHED).select("value", F.col("n").alias("rows"), F.round("score", 4).alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p5_found, p5_unmatched, p8_ids, p8_roundtrip, p9_found, p9_passages, p9_items, p10_found, p10_rates)}
+QUERIES = {f.__name__: f for f in (p3_found, p4_found, p5_found, p5_unmatched, p6_found, p6_matches, p8_ids, p8_roundtrip, p9_found, p9_passages, p9_items, p10_found, p10_rates)}
 
 ORACLE = {
     "p3_found": """
