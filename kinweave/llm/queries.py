@@ -9,6 +9,7 @@ from kinweave.llm.components import connected_components
 from kinweave.llm.entities import matched_persons
 from kinweave.llm.leaks import leaks
 from kinweave.llm.places import UNMATCHED, map_values
+from kinweave.llm.survivors import duplicate_values, survivors
 from kinweave.llm.tokens import DEFAULT_DIRECTORY, decode_column, encode_column, encode_documents
 from kinweave.llm.truncation import judged, truncation_rates
 from kinweave.llm.variants import spelt_persons
@@ -18,6 +19,11 @@ from kinweave.operators.runtime import Scratch, table
 VOCABULARY = f"{DEFAULT_DIRECTORY}/byte_bpe_50k.json"
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    best = survivors(duplicate_values(table(spark, d, "duplicate_candidate")))
+    return best.selectExpr("`group` as existing_tree_person_id", "field as field_name", "source as source_person_id")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "duplicate_candidate").filter(F.col("status").isin("suggested", "accepted"))
     # a row names either a second imported person or an existing one; both count should a row name two
@@ -101,9 +107,37 @@ def p5_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return mapped.filter(F.col("place_id") == UNMATCHED).select("value", F.col("n").alias("rows"), F.round("score", 4).alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p4_found, p5_found, p5_unmatched, p6_found, p6_matches, p8_ids, p8_roundtrip, p9_found, p9_passages, p9_items, p10_found, p10_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p4_found, p5_found, p5_unmatched, p6_found, p6_matches, p8_ids, p8_roundtrip, p9_found, p9_passages, p9_items, p10_found, p10_rates)}
 
 ORACLE = {
+    "p1_found": """
+WITH used AS (
+  SELECT lower(trim(existing_tree_person_id)) AS g, lower(trim(import_tree_person_id1)) AS i, import_person1_name, existing_person_name, coalesce(updated_at, created_at) AS t, events
+  FROM duplicate_candidate WHERE candidate_scope = 'import_vs_tree' AND status IN ('suggested', 'accepted')
+), listed AS (
+  SELECT g, i, t, unnest(events) AS e FROM used
+), vals AS (
+  SELECT g, 'name' AS field, g AS source, 0 AS imported, t, existing_person_name AS name, NULL AS d, 0 AS extra FROM used
+  UNION ALL SELECT g, 'name', i, 1, t, import_person1_name, NULL, 0 FROM used
+  UNION ALL
+  SELECT g, CASE e.event_type WHEN 'BIRT' THEN 'birth' ELSE 'death' END, CASE e.side WHEN 'existing' THEN g ELSE i END, CASE e.side WHEN 'existing' THEN 0 ELSE 1 END, t, NULL, lower(trim(coalesce(e.date_raw, ''))),
+    CASE WHEN trim(coalesce(e.place_raw, '')) <> '' THEN 2 ELSE 0 END + CASE WHEN e.has_source_citation THEN 1 ELSE 0 END
+  FROM listed WHERE e.event_type IN ('BIRT', 'DEAT')
+), ranked AS (
+  SELECT g, field, source, imported, t,
+    CASE WHEN field = 'name' THEN
+      CASE WHEN regexp_full_match(trim(name), '[^\\s,?.\\[\\]]{3,},?\\s+[^\\s,?.\\[\\]]{3,}\\s+[^\\s,?.\\[\\]]{3,}') THEN 1 ELSE 0 END
+    ELSE extra + 4 * CASE
+      WHEN regexp_full_match(d, '\\d{3,4}-\\d\\d?-\\d\\d?|\\d\\d?[./]\\d\\d?[./]\\d{3,4}|\\d\\d? +\\p{L}{3,} +\\d{3,4}') THEN 3
+      WHEN regexp_full_match(d, '\\d{3,4}-\\d\\d?') OR (regexp_full_match(d, '\\p{L}{3,} +\\d{3,4}') AND NOT regexp_matches(d, '^(abt|bef|aft|est|cal|about|before|after|circa) ')) THEN 2
+      WHEN regexp_full_match(d, '\\d{3,4}') THEN 1 ELSE 0 END
+    END AS quality
+  FROM vals
+)
+SELECT g AS existing_tree_person_id, field AS field_name, source AS source_person_id FROM (
+  SELECT *, row_number() OVER (PARTITION BY g, field ORDER BY quality DESC, imported, t DESC, source) AS rn FROM ranked WHERE g IS NOT NULL
+) WHERE rn = 1
+""",
     "p3_found": """
 WITH RECURSIVE used AS (
   SELECT lower(trim(import_tree_person_id1)) AS a, lower(trim(import_tree_person_id2)) AS b, lower(trim(existing_tree_person_id)) AS c
