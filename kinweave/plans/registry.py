@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinweave.plans import problems
+from kinweave.plans import problems, tree_queries
 
-MODULES = (problems,)
+MODULES = (problems, tree_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,4 +20,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, directory: str) -> DataFrame:
-    return problems.p7_found(spark, directory)
+    return tree_queries.b_ancestors(spark, directory)
