@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,69 +26,83 @@ ABOUT = [
 OPEN_END = r"^(AFT|AFTER|ПІСЛЯ|ПИСЛЯ|ПОСЛЕ) "
 
 
-def _single(df: DataFrame, source: str, to: str) -> DataFrame:
-    """Adds ``to``_from, ``to``_to and ``to``_precision of one plain date in the column ``source``."""
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it; keeps plans small under any rewriting."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def single_date(c: Column) -> Column:
+    """struct(start, end, precision) of one plain date: the last number of three or four digits is the year."""
     months = F.create_map(*[F.lit(x) for n, names in MONTHS.items() for name in names.split() for x in (name, n)])
-    t = f"{to}_t"
-    df = df.withColumn(t, F.split(norm_space(F.regexp_replace(F.upper(strip_diacritics(norm_space(F.col(source)))), "[/.,]", " ")), " "))
-    df = df.withColumn(f"{to}_i", F.array_max(F.expr(f"transform({t}, (x, i) -> if(x rlike '^[0-9]{{3,4}}$', i, null))")))
-    i = F.col(f"{to}_i")
-    df = df.withColumns({f"{to}_y": F.get(t, i).cast("int"), f"{to}_m": F.try_element_at(months, F.when(i >= 1, F.get(t, i - 1)))})
-    day = F.when((i >= 2) & F.col(f"{to}_m").isNotNull() & F.get(t, i - 2).rlike("^[0-9]{1,2}$"), F.get(t, i - 2).cast("int"))
-    df = df.withColumn(f"{to}_d", day)
-    y, m, d = (F.col(f"{to}_{x}") for x in "ymd")
-    text = F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"), F.lpad(m.cast("string"), 2, "0"), F.lpad(d.cast("string"), 2, "0"))
-    # a day 0 counts as no day
-    df = df.withColumn(f"{to}_exact", F.when(d > 0, F.try_to_date(text, F.lit("yyyy-MM-dd"))))
-    known, has_day = y >= 1, F.col(f"{to}_m").isNotNull() & F.coalesce(d > 0, F.lit(False))
-    first = F.when(known, F.when(has_day, F.col(f"{to}_exact")).when(m.isNotNull(), F.make_date(y, m, F.lit(1))).otherwise(F.make_date(y, F.lit(1), F.lit(1))))
-    last = F.when(known, F.when(has_day, F.col(f"{to}_exact")).when(m.isNotNull(), F.last_day(F.make_date(y, m, F.lit(1)))).otherwise(F.make_date(y, F.lit(12), F.lit(31))))
-    precision = (
-        F.when(norm_space(F.col(source)) == "", "EMPTY").when(y.isNull() | ~known, "UNPARSED")
-        .when(has_day, F.when(F.col(f"{to}_exact").isNull(), "UNPARSED").otherwise("DAY")).when(m.isNotNull(), "MONTH").otherwise("YEAR")
-    )
-    out = df.withColumns({f"{to}_from": first, f"{to}_to": last, f"{to}_precision": precision})
-    return out.drop(*[f"{to}_{x}" for x in ("t", "i", "y", "m", "d", "exact")])
+    words = F.split(norm_space(F.regexp_replace(F.upper(strip_diacritics(norm_space(c))), "[/.,]", " ")), " ")
+    none = F.lit(None).cast("date")
 
+    def whole(v: Column) -> Column:
+        y, m, d = v["y"], v["m"], v["d"]
+        # a day 0 counts as no day
+        text = F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"), F.lpad(m.cast("string"), 2, "0"), F.lpad(d.cast("string"), 2, "0"))
+        day = F.when(m.isNotNull() & (d > 0), F.struct(F.try_to_date(text, "yyyy-MM-dd").alias("start"), F.try_to_date(text, "yyyy-MM-dd").alias("end"), F.when(F.try_to_date(text, "yyyy-MM-dd").isNull(), "UNPARSED").otherwise("DAY").alias("precision")))
+        first = F.make_date(y, F.coalesce(m, F.lit(1)), F.lit(1))
+        last = F.last_day(F.make_date(y, F.coalesce(m, F.lit(12)), F.lit(1)))
+        wide = F.struct(first.alias("start"), last.alias("end"), F.when(m.isNotNull(), "MONTH").otherwise("YEAR").alias("precision"))
+        unread = F.struct(none.alias("start"), none.alias("end"), F.when(v["empty"], "EMPTY").otherwise("UNPARSED").alias("precision"))
+        return F.when(y.isNull() | (y < 1), unread).otherwise(F.coalesce(day, wide))
+
+    def at_year(v: Column) -> Column:
+        t, i = v["t"], v["i"]
+        month = F.try_element_at(months, F.when(i >= 1, F.get(t, i - 1)))
+        day = F.when((i >= 2) & F.get(t, i - 2).rlike("^[0-9]{1,2}$"), F.get(t, i - 2).cast("int"))
+        return let(F.struct(F.get(t, i).cast("int").alias("y"), month.alias("m"), day.alias("d"), (F.get(t, F.lit(0)) == "").alias("empty")), whole)
+
+    number = lambda t: F.array_max(F.transform(t, lambda x, k: F.when(x.rlike("^[0-9]{3,4}$"), k)))
+    return let(words, lambda t: let(F.struct(t.alias("t"), number(t).alias("i")), at_year))
 
-def with_parsed_date(df: DataFrame, raw: str, prefix: str = "") -> DataFrame:
-    """Adds date_from, date_to, year_from, year_to, precision, modifier, status, warning (with ``prefix``).
+
+def parsed_date(raw: Column) -> Column:
+    """struct(date_from, date_to, year_from, year_to, precision, modifier, status, warning) of a date as written.
 
     Null and empty give status EMPTY; what cannot be read gives UNPARSED and no dates.
     """
-    s, key = "_s", "_key"
-    df = df.withColumn(s, F.upper(norm_space(F.col(raw)))).withColumn(key, strip_diacritics(F.col(s)))
-    text = {"plain": F.col(s), "bare": F.col(key)}
-    between = F.col(s).startswith("BET ") & F.col(s).contains(" AND ")
-    from_to = F.col(s).startswith("FROM ") & F.col(s).contains(" TO ")
-    modifier = F.when(between, "BET").when(from_to, "FROM_TO")
-    kind = F.when(between | from_to, "range")
-    left = F.when(between, F.substring_index(F.substr(F.col(s), F.lit(5)), " AND ", 1)).when(from_to, F.substring_index(F.substr(F.col(s), F.lit(6)), " TO ", 1))
-    right = F.when(between, F.substr(F.col(s), F.instr(s, " AND ") + 5)).when(from_to, F.substr(F.col(s), F.instr(s, " TO ") + 4))
-    for name, prefixes in (("before", BEFORE), ("after", AFTER), ("about", ABOUT)):
-        for which, p, mod in prefixes:
-            hit = text[which].startswith(p)
-            modifier, kind = modifier.when(hit, mod), kind.when(hit, name)
-            left = left.when(hit, F.substr(text[which], F.lit(len(p) + 1)))
-    df = df.withColumns({"_mod": modifier.otherwise(""), "_kind": kind.otherwise("plain"), "_left": left.otherwise(F.col(s)), "_right": right})
-    df = df.withColumn("_open", strip_diacritics(norm_space(F.col("_right"))).rlike(OPEN_END))
-    df = _single(_single(df, "_left", "_a"), "_right", "_b")
-    k = F.col("_kind")
-    start = F.when(k != "before", F.col("_a_from"))
-    end = F.when(k == "range", F.when(~F.col("_open"), F.col("_b_to"))).when(k != "after", F.col("_a_to"))
-    second = F.when(F.col("_open"), "OPEN").otherwise(F.col("_b_precision"))
-    precision = F.when(k == "range", F.when(F.col("_a_precision") == second, F.col("_a_precision")).otherwise("RANGE")).otherwise(F.col("_a_precision"))
-    df = df.withColumns({"_start": start, "_end": end, "_precision": precision})
-    empty = F.coalesce(F.col(raw), F.lit("")) == ""
-    status = F.when(empty, "EMPTY").when(F.col("_start").isNotNull() | F.col("_end").isNotNull(), "OK").otherwise("UNPARSED")
-    df = df.withColumn("_status", status)
-    mod = F.when(empty, "").otherwise(F.col("_mod"))
-    df = df.withColumns({
-        f"{prefix}date_from": F.col("_start"), f"{prefix}date_to": F.col("_end"), f"{prefix}year_from": F.year("_start"), f"{prefix}year_to": F.year("_end"),
-        f"{prefix}precision": F.when(empty, "").otherwise(F.col("_precision")), f"{prefix}modifier": mod, f"{prefix}status": F.col("_status"),
-        f"{prefix}warning": warning_kind(norm_space(F.col(raw)), F.col("_status"), mod),
-    })
-    return df.drop("_s", "_key", "_mod", "_kind", "_left", "_right", "_open", "_start", "_end", "_precision", "_status", *[f"_{x}_{y}" for x in "ab" for y in ("from", "to", "precision")])
+
+    def result(v: Column) -> Column:
+        k, a, b = v["kind"], v["a"], v["b"]
+        start = F.when(k != "before", a["start"])
+        end = F.when(k == "range", F.when(~v["open"], b["end"])).when(k != "after", a["end"])
+        second = F.when(v["open"], "OPEN").otherwise(b["precision"])
+        precision = F.when(k == "range", F.when(a["precision"] == second, a["precision"]).otherwise("RANGE")).otherwise(a["precision"])
+        status = F.when(v["empty"], "EMPTY").when(start.isNotNull() | end.isNotNull(), "OK").otherwise("UNPARSED")
+        modifier = F.when(v["empty"], "").otherwise(v["mod"])
+        return F.struct(
+            start.alias("date_from"), end.alias("date_to"), F.year(start).alias("year_from"), F.year(end).alias("year_to"), F.when(v["empty"], "").otherwise(precision).alias("precision"),
+            modifier.alias("modifier"), status.alias("status"), warning_kind(v["raw"], status, modifier).alias("warning"),
+        )
+
+    def split(v: Column) -> Column:
+        s, text = v["s"], {"plain": v["s"], "bare": v["key"]}
+        between = s.startswith("BET ") & s.contains(" AND ")
+        from_to = s.startswith("FROM ") & s.contains(" TO ")
+        rest = lambda c, n: F.substr(c, F.lit(n))
+        parts = lambda c, word: F.split(c, word, 2)
+        one = lambda kind, mod, left, right: F.struct(F.lit(kind).alias("kind"), F.lit(mod).alias("mod"), left.alias("left"), right.alias("right"))
+        no = F.lit("")
+        found = F.when(between, one("range", "BET", F.get(parts(rest(s, 5), " AND "), F.lit(0)), F.get(parts(rest(s, 5), " AND "), F.lit(1)))).when(
+            from_to, one("range", "FROM_TO", F.get(parts(rest(s, 6), " TO "), F.lit(0)), F.get(parts(rest(s, 6), " TO "), F.lit(1)))
+        )
+        for kind, prefixes in (("before", BEFORE), ("after", AFTER), ("about", ABOUT)):
+            for which, prefix, mod in prefixes:
+                found = found.when(text[which].startswith(prefix), one(kind, mod, rest(text[which], len(prefix) + 1), no))
+        found = found.otherwise(one("plain", "", s, no))
+        both = lambda x: F.struct(x["kind"].alias("kind"), x["mod"].alias("mod"), single_date(x["left"]).alias("a"), single_date(x["right"]).alias("b"), strip_diacritics(norm_space(x["right"])).rlike(OPEN_END).alias("open"), v["empty"].alias("empty"), v["raw"].alias("raw"))
+        return let(let(found, both), result)
+
+    plain = norm_space(raw)
+    return let(F.struct(F.upper(plain).alias("s"), strip_diacritics(F.upper(plain)).alias("key"), (F.coalesce(raw, F.lit("")) == "").alias("empty"), plain.alias("raw")), split)
+
+
+def with_parsed_date(df: DataFrame, raw: str, prefix: str = "") -> DataFrame:
+    """Adds the fields of :func:`parsed_date` as columns (with ``prefix``)."""
+    fields = ("date_from", "date_to", "year_from", "year_to", "precision", "modifier", "status", "warning")
+    return df.withColumn("_parsed", parsed_date(F.col(raw))).withColumns({f"{prefix}{f}": F.col(f"_parsed.{f}") for f in fields}).drop("_parsed")
 
 
 def warning_kind(raw: Column, status: Column, modifier: Column) -> Column:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinweave.plans import import_queries, problems, tree_queries
+from kinweave.plans import evidence_queries, import_queries, problems, text_queries, tree_queries
 
-MODULES = (problems, tree_queries, import_queries)
+MODULES = (problems, tree_queries, text_queries, import_queries, evidence_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
