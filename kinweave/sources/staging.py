@@ -35,7 +35,7 @@ def write_tsv(df: DataFrame, path: str) -> None:
         return scrub_tsv(F.when(F.col(name), 1).when(~F.col(name), 0) if isinstance(kind, T.BooleanType) else F.col(name)).alias(name)
 
     out = df.select(*[cell(f.name, f.dataType) for f in df.schema])
-    out.write.mode("overwrite").option("sep", "\t").option("header", True).option("encoding", "UTF-16").option("emptyValue", "").csv(path)
+    out.write.mode("overwrite").option("sep", "\t").option("header", True).option("encoding", "UTF-16").option("quote", "\"").option("escape", "\"").option("emptyValue", "").csv(path)
 
 
 def read_tsv(spark: SparkSession, path: str, relation: str) -> DataFrame:
