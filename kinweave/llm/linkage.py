@@ -103,7 +103,7 @@ def link_mentions(mentions: DataFrame, person: DataFrame, names: DataFrame, with
 
     Each of a mention's name columns is looked up among the given names and (if wanted) the
     patronymics; the column that is neither is the surname, which is looked up in its tree.
-    One row per mention and surname candidate.
+    One row per mention and surname candidate; mentions that share an id but differ give none.
     """
     parts = scratch.save(person_parts(person))
     columns = ["given_name", "surname"] + ["patronymic"] * with_patronymic
@@ -130,8 +130,8 @@ def link_mentions(mentions: DataFrame, person: DataFrame, names: DataFrame, with
     fit_given = F.when(F.col("short") & own(0), 0.5).otherwise(F.coalesce("given_score", F.lit(0.0))) + F.when(own(0), 0.05).otherwise(0.0)
     fit_patr = F.when(F.col("short") & own(2), 0.5).otherwise(F.coalesce("patr_score", F.lit(0.0))) + F.when(own(2), 0.05).otherwise(0.0)
     row = F.struct("place", "key", "initial", "short", "givens", "given_score", "patr", "patr_score", fit_given.alias("fg"), fit_patr.alias("fp"))
-    packed = told.groupBy("mention").agg(F.first("tree").alias("tree"), F.first("year").alias("year"), F.sort_array(F.collect_list(row)).alias("slots"))
-    # at most three slots a mention
+    packed = told.groupBy("mention").agg(F.first("tree").alias("tree"), F.first("year").alias("year"), F.sort_array(F.collect_set(row)).alias("slots"))
+    # a repeated mention has the same slots; one whose rows differ is ambiguous and goes
     packed = packed.filter(F.size("slots") == len(columns))
     if with_patronymic:
         packed = packed.withColumn("p", F.array_max(F.transform("slots", lambda s: F.struct(s["fp"].alias("fit"), (-s["fg"]).alias("other"), s["place"].alias("place"))))["place"])
