@@ -54,8 +54,8 @@ def close_keys(variants: DataFrame, listed: DataFrame, scratch: Scratch) -> Data
     """
     same = variants.join(listed, (variants["block"] == listed["block"]) & (variants["variant"] == listed["listed"])).select(variants["block"], "variant", "listed", F.lit(1.0).alias("score"))
     other = variants.filter("variant <> ''").join(listed.withColumnRenamed("listed", "variant"), ["block", "variant"], "left_anti").distinct()
-    mine = scratch.save(other.select("block", "variant", bit_vector(F.col("variant")).alias("a")))
-    theirs = scratch.save(listed.select("block", "listed", bit_vector(F.col("listed")).alias("b")))
+    mine = other.select("block", "variant", bit_vector(F.col("variant")).alias("a"))
+    theirs = listed.select("block", "listed", bit_vector(F.col("listed")).alias("b"))
     left = mine.select("block", "variant", "a", F.explode(_blocks(F.col("a"))).alias("x")).select("block", "variant", "a", "x.*")
     right = theirs.select("block", "listed", "b", F.explode(_blocks(F.col("b"))).alias("x")).select("block", "listed", "b", "x.*")
     # the lengths stay within the slips that the exact check lets through

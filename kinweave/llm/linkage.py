@@ -78,13 +78,13 @@ def person_parts(person: DataFrame) -> DataFrame:
     )
 
 
-def given_forms(person: DataFrame, names: DataFrame) -> DataFrame:
-    """(form, given): forms under which given names occur, from the persons and their recorded names.
+def given_forms(parts: DataFrame, names: DataFrame) -> DataFrame:
+    """(form, given): forms under which given names occur, from the persons' parts and their recorded names.
 
     A pet form counts for a given name if at least a twentieth of its records say so, which
     is learned from all alias rows.
     """
-    owner = person.select("person_id", skeleton_column(F.col("given_name")).alias("given"))
+    owner = parts.select("person_id", "given")
     first = F.get(F.split(F.trim("given"), r"\s+"), F.lit(0))
     alias = names.filter("name_type = 'alias' and given is not null").select("person_id", skeleton_column(first).alias("form"))
     seen = alias.join(owner, "person_id").groupBy("form", "given").agg(F.count(F.lit(1)).alias("n"))
@@ -113,7 +113,7 @@ def link_mentions(mentions: DataFrame, person: DataFrame, names: DataFrame, with
     keys = scratch.save(long.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
     everywhere = F.lit("").alias("block")
     variants = keys.select(everywhere, F.col("key").alias("variant"))
-    forms = scratch.save(given_forms(person, names))
+    forms = scratch.save(given_forms(parts, names))
     given = _best(link(variants, forms.select(everywhere, F.col("form").alias("listed")).distinct(), scratch))
     # a form of several given names stands for each of them
     given = given.join(forms.withColumnRenamed("form", "listed"), "listed").groupBy("variant").agg(F.sort_array(F.collect_set("given")).alias("givens"), F.max("score").alias("given_score"))

@@ -10,6 +10,7 @@ product with the sum of their vectors, clusters of any size cost one aggregate.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -50,10 +51,10 @@ def spellings(variants: DataFrame, listed: DataFrame, scratch: Scratch, rule: Ru
     follows.  A variant equal to a listed key spells it, with score 1, and nothing else.
     """
     same = variants.join(listed, (variants["block"] == listed["block"]) & (variants["variant"] == listed["listed"])).select(variants["block"], "variant", "listed", F.lit(1.0).alias("score"))
-    other = scratch.save(variants.filter("variant <> ''").join(listed.withColumnRenamed("listed", "variant"), ["block", "variant"], "left_anti").distinct())
-    count = listed.count()
-    idf = scratch.save(listed.select(F.explode(grams(F.col("listed"), rule.sizes)).alias("gram")).groupBy("gram").agg(F.log1p(F.lit(float(count)) / F.count(F.lit(1))).alias("idf")))
-    unknown = idf.agg(F.max("idf")).first()[0] or 1.0
+    other = variants.filter("variant <> ''").join(listed.withColumnRenamed("listed", "variant"), ["block", "variant"], "left_anti").distinct()
+    count = float(listed.count())
+    idf = listed.select(F.explode(grams(F.col("listed"), rule.sizes)).alias("gram")).groupBy("gram").agg(F.log1p(F.lit(count) / F.count(F.lit(1))).alias("idf"))
+    unknown = math.log1p(count)
     theirs = scratch.save(_vectors(listed, "listed", idf, unknown, rule.sizes))
     mine = scratch.save(_vectors(other, "variant", idf, unknown, rule.sizes))
     tail = F.sum(F.col("w") * F.col("w")).over(W.partitionBy("block", "variant").orderBy("w", "gram").rowsBetween(W.unboundedPreceding, 0))
