@@ -55,3 +55,9 @@ class Scratch:
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """One input table; the scan keeps only the columns that the plan uses."""
     return spark.read.parquet(f"{directory}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its scan has fewer splits than there are; a large input keeps its splits and moves nothing."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
