@@ -14,7 +14,7 @@ from kinweave.llm.tokens import DEFAULT_DIRECTORY, decode_column, encode_column,
 from kinweave.llm.truncation import judged, truncation_rates
 from kinweave.llm.variants import spelt_persons
 from kinweave.operators.joins import counted_join
-from kinweave.operators.runtime import Scratch, table
+from kinweave.operators.runtime import Scratch, spread, table
 
 VOCABULARY = f"{DEFAULT_DIRECTORY}/byte_bpe_50k.json"
 
@@ -33,7 +33,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
-    return encode_documents(table(spark, d, "documents"), VOCABULARY)
+    return encode_documents(spread(table(spark, d, "documents").select("doc_id", "text")), VOCABULARY)
 
 
 def p8_roundtrip(spark: SparkSession, d: str) -> DataFrame:
@@ -48,7 +48,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_passages(spark: SparkSession, d: str) -> DataFrame:
-    return leaks(table(spark, d, "documents"), table(spark, d, "eval_item"))
+    return leaks(spread(table(spark, d, "documents").select("doc_id", "text")), table(spark, d, "eval_item"))
 
 
 def p9_items(spark: SparkSession, d: str) -> DataFrame:
@@ -91,7 +91,8 @@ def _place_values(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     scratch = Scratch(spark, "places")
     values = scratch.save(rows.filter("value is not null").groupBy("value").agg(F.count(F.lit(1)).alias("n")))
     places = table(spark, d, "place")
-    mapped = map_values(values.repartition(max(12, spark.sparkContext.defaultParallelism), "value"), places)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    mapped = map_values(values.repartition(tasks, "value"), places)
     return rows, scratch.save(mapped.join(values, "value"))
 
 
