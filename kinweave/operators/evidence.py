@@ -84,20 +84,78 @@ def year_score(a: Column, b: Column) -> Column:
     return F.when(apart <= 1, dec("0.20")).when(apart <= 3, dec("0.10")).when(apart <= 7, dec("0.05")).otherwise(dec("0"))
 
 
+#: Birth years further apart than this add nothing to a score.
+_YEARS = 7
+
+
+def _inside(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """(tree, inner, outer): all names of ``inner`` (tree, inner) within names of ``outer`` (tree, outer); both are distinct and not empty.
+
+    The first three letters of the inner name meet all runs of up to three letters of the outer one.
+    """
+
+    def runs(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.length("outer")), lambda i: F.substring(F.col("outer"), i, F.lit(n)))
+
+    left = inner.withColumn("run", F.substring("inner", 1, 3))
+    right = outer.withColumn("run", F.explode(F.array_distinct(F.concat(runs(1), runs(2), runs(3)))))
+    return left.join(right, ["tree", "run"]).filter(F.col("outer").contains(F.col("inner"))).select("tree", "inner", "outer")
+
+
+def _related(typed: DataFrame, listed: DataFrame, name: str, known: str) -> DataFrame:
+    """(tree, name, known, pooled): names of a tree of which one contains the other; ``pooled`` where the listed one contains the typed one."""
+    mine, theirs = typed.select("tree", name).dropna().distinct(), listed.select("tree", known).dropna().distinct()
+    forth = _inside(mine.withColumnRenamed(name, "inner"), theirs.withColumnRenamed(known, "outer")).select("tree", F.col("inner").alias(name), F.col("outer").alias(known), F.lit(True).alias("pooled"))
+    back = _inside(theirs.withColumnRenamed(known, "inner"), mine.withColumnRenamed(name, "outer")).filter("inner <> outer").select("tree", F.col("outer").alias(name), F.col("inner").alias(known), F.lit(False).alias("pooled"))
+    return forth.unionByName(back)
+
+
+def _first(persons: DataFrame, by: list[str], top: int) -> DataFrame:
+    """The ``top`` persons with the smallest ids per value of ``by``."""
+    return persons.withColumn("_n", F.row_number().over(W.partitionBy(*by).orderBy("person_id"))).filter(F.col("_n") <= top).drop("_n")
+
+
+def _pool(mentions: DataFrame, persons: DataFrame, related: DataFrame, typed: list[str], known: list[str], top: int) -> DataFrame:
+    """Mentions with the persons that ``related`` (tree, typed, known, level) names, as far as they can be among the top.
+
+    Of persons of equal level and equal birth year the first few by id are enough, and so
+    they are of persons whose year adds nothing.  A hot name thus gives a bounded number of rows.
+    """
+    few = _first(persons, ["tree", *known, "b2"], top)
+    people = related.join(few, ["tree", *known])
+    dated = _first(people.filter("b2 is not null"), ["tree", *typed, "level", "b2"], top)
+    years = mentions.filter("y is not null").withColumn("b2", F.explode(F.sequence(F.col("y") - _YEARS, F.col("y") + _YEARS)))
+    columns = ["person_mention_id", "s", "g", "y", "person_id", "s2", "g2", "b2"]
+    near = years.join(dated, ["tree", *typed, "b2"]).select(*columns)
+    return near.unionByName(mentions.join(_first(people, ["tree", *typed, "level"], top), ["tree", *typed]).select(*columns))
+
+
 def suggest_links(mentions: DataFrame, persons: DataFrame, top: int = 10) -> DataFrame:
     """Per unlinked mention the ``top`` persons of its tree by score: person_mention_id, person_id, score, rank.
 
     Surname 0.50 / 0.25, given name 0.30 / 0.15, birth year 0.20 / 0.10 / 0.05.  The pool are
-    persons with an equal surname or given name: an equi-join on each, so no pair of rows
-    that cannot score well is made.
+    all persons whose surname contains the mention's or whose given name contains the
+    mention's.  Distinct names are matched once per tree; persons come in three ways: by
+    surname, by given name, and by both, each cut to those that can be among the top.
     """
-    m = mentions.select("person_mention_id", F.lower(F.trim("tree_id")).alias("tree_id"), "surname", "given_name", "estimated_birth_year", F.lower(F.trim("surname")).alias("k1"))
-    p = persons.select(F.lower(F.trim("tree_id")).alias("tree_id"), "person_id", F.col("surname_normalized").alias("s2"), F.col("given_name").alias("g2"), F.col("birth_year").alias("b2"), F.lower(F.trim("surname_normalized")).alias("k1"))
-    pool = m.filter("k1 <> ''").join(p, ["tree_id", "k1"])
-    score = text_score(F.col("surname"), F.col("s2"), "0.50", "0.25") + text_score(F.col("given_name"), F.col("g2"), "0.30", "0.15") + year_score(F.col("estimated_birth_year"), F.col("b2"))
-    scored = pool.withColumn("score", F.least(F.lit(1), score).cast("decimal(5,4)")).filter("score > 0")
+    top = max(1, min(100, top))
+    plain = lambda c: F.when(F.length(F.trim(c)) > 0, F.lower(F.trim(c)))
+    tree = F.lower(F.trim("tree_id")).alias("tree")
+    m = mentions.select("person_mention_id", tree, plain("surname").alias("s"), plain("given_name").alias("g"), F.col("estimated_birth_year").cast("int").alias("y"))
+    p = persons.select(tree, "person_id", plain("surname_normalized").alias("s2"), plain("given_name").alias("g2"), F.col("birth_year").cast("int").alias("b2")).distinct()
+    by_surname, by_given = text_score(F.col("s"), F.col("s2"), "0.50", "0.25"), text_score(F.col("g"), F.col("g2"), "0.30", "0.15")
+    surnames, given = _related(m, p, "s", "s2"), _related(m, p, "g", "g2")
+    named = m.select("tree", "s", "g").dropna().distinct().join(surnames, ["tree", "s"]).join(p.select("tree", "s2", "g2").dropna().distinct(), ["tree", "s2"])
+    both = named.filter((by_given > 0) & (F.col("pooled") | F.col("g2").contains(F.col("g"))))
+    pool = (
+        _pool(m, p, surnames.filter("pooled").withColumn("level", by_surname).drop("pooled"), ["s"], ["s2"], top)
+        .unionByName(_pool(m, p, given.filter("pooled").withColumn("level", by_given).drop("pooled"), ["g"], ["g2"], top))
+        .unionByName(_pool(m, p, both.withColumn("level", by_surname + by_given).drop("pooled"), ["s", "g"], ["s2", "g2"], top))
+    )
+    score = F.least(F.lit(1), by_surname + by_given + year_score(F.col("y"), F.col("b2"))).cast("decimal(5,4)")
+    scored = pool.groupBy("person_mention_id", "person_id").agg(F.max(score).alias("score")).filter("score > 0")
     rank = F.row_number().over(W.partitionBy("person_mention_id").orderBy(F.desc("score"), "person_id"))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= max(1, min(100, top))).select("person_mention_id", "person_id", "score", "rank")
+    return scored.withColumn("rank", rank).filter(F.col("rank") <= top)
 
 
 def persist_candidates(suggested: DataFrame, stored: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Traversals over a small tree with a loop, against hand-worked results."""
 
+import random
 from collections import defaultdict
 
 import pytest
@@ -127,3 +128,27 @@ def test_links_and_attachments(spark):
     assert contents.count() == 1 and links.count() == 2
     assert sorted(r.reason for r in rejected.collect()) == ["empty", "quota", "type not accepted"]
     assert orphan_contents(contents, links.limit(0)).count() == 1
+
+
+def test_link_pool_is_whole(spark):
+    random.seed(7)
+    surnames, given = ["ko", "Koval", "kovalenko", " boiko", "boi", None, ""], ["Ivan", "Iva", "van", "Olena", "Ole", None, " "]
+    pick = lambda n: [(random.choice("tu"), f"{k:03}", random.choice(surnames), random.choice(given), random.choice([None, 1850, 1851, 1853, 1857, 1870])) for k in range(n)]
+    people, typed = pick(150), pick(60)
+    m = spark.createDataFrame(typed, "tree_id string, person_mention_id string, surname string, given_name string, estimated_birth_year short")
+    p = spark.createDataFrame(people, "tree_id string, person_id string, surname_normalized string, given_name string, birth_year short")
+    plain = lambda x: (x or "").strip().lower()
+
+    def text(a, b, exact, partial):
+        return 0 if not a or not b else exact if a == b else partial if a in b or b in a else 0
+
+    def year(a, b):
+        return 0 if a is None or b is None else next((v for d, v in ((1, 20), (3, 10), (7, 5)) if abs(a - b) <= d), 0)
+
+    for top in (2, 10):
+        want = set()
+        for t, i, s, g, y in typed:
+            s, g = plain(s), plain(g)
+            pool = [(-text(s, plain(s2), 50, 25) - text(g, plain(g2), 30, 15) - year(y, b), j) for t2, j, s2, g2, b in people if t == t2 and ((s and s in plain(s2)) or (g and g in plain(g2)))]
+            want |= {(i, j, -v, r) for r, (v, j) in enumerate(sorted(pool)[:top], 1)}
+        assert {(r.person_mention_id, r.person_id, int(r.score * 100), r.rank) for r in suggest_links(m, p, top).collect()} == want
