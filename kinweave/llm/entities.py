@@ -1,6 +1,7 @@
 """Matching entities across sources without keys: bit vectors, multi-index hashing, confidences.
 
-Each name is the 64-bit vector of its letter pairs.  Two vectors at a Hamming distance of
+Each name is the 64-bit vector of its letter pairs, once for its key and once for the key
+with its sounds written out, as the exact check compares both forms.  Two vectors at a Hamming distance of
 at most RADIUS agree in at least one of RADIUS + 1 blocks of bits, so a join on (block of
 rows, number and value of the bits' block) finds all close pairs exactly.  Dice scores of
 the fields are weighted into one, and turned into a confidence by comparing, per score,
@@ -13,11 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.llm.linkage import link_mentions
-from kinweave.llm.names import near
+from kinweave.llm.names import near, written
 from kinweave.operators.runtime import Scratch
 
-#: One slip of any kind changes at most three letter pairs on either side.
-RADIUS = 6
+#: The exact check lets two letters differ at most, in one of the two forms; each changes at most two letter pairs on either side.
+RADIUS = 8
 BITS = 64
 LEAST_DICE = 0.45
 WEIGHTS = {"surname": 0.55, "given": 0.35, "year": 0.10}
@@ -46,22 +47,28 @@ def dice(a: Column, b: Column) -> Column:
     return 2 * F.bit_count(a.bitwiseAND(b)) / (F.bit_count(a) + F.bit_count(b))
 
 
+def _forms(keys: DataFrame, name: str, vector: str) -> DataFrame:
+    """(block, name, vector, its length, form, number, value): both forms of each key by the blocks of their bits."""
+    text = F.explode(F.array(*[F.struct(F.lit(k).alias("form"), form.alias("text")) for k, form in enumerate((F.col(name), written(F.col(name))))]))
+    long = keys.select("block", name, text.alias("x")).select("block", name, "x.form", bit_vector(F.col("x.text")).alias(vector), F.length("x.text").alias(f"{vector}_length"))
+    return long.select("*", F.explode(_blocks(F.col(vector))).alias("x")).select("*", "x.*").drop("x")
+
+
 def close_keys(variants: DataFrame, listed: DataFrame, scratch: Scratch) -> DataFrame:
     """(block, variant, listed, score): the listed keys of its block close to each variant; score is the Dice coefficient.
 
-    All pairs within RADIUS are found; an exact check of slips follows.  A variant equal to
-    a listed key is linked to it alone.
+    All pairs within RADIUS in either form are found, which are all that the exact check of
+    slips lets through.  A variant equal to a listed key is linked to it alone.
     """
     same = variants.join(listed, (variants["block"] == listed["block"]) & (variants["variant"] == listed["listed"])).select(variants["block"], "variant", "listed", F.lit(1.0).alias("score"))
     other = variants.filter("variant <> ''").join(listed.withColumnRenamed("listed", "variant"), ["block", "variant"], "left_anti").distinct()
-    mine = other.select("block", "variant", bit_vector(F.col("variant")).alias("a"))
-    theirs = listed.select("block", "listed", bit_vector(F.col("listed")).alias("b"))
-    left = mine.select("block", "variant", "a", F.explode(_blocks(F.col("a"))).alias("x")).select("block", "variant", "a", "x.*")
-    right = theirs.select("block", "listed", "b", F.explode(_blocks(F.col("b"))).alias("x")).select("block", "listed", "b", "x.*")
-    # the lengths stay within the slips that the exact check lets through
-    pairs = left.join(right, ["block", "number", "value"]).filter((F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS) & (F.abs(F.length("variant") - F.length("listed")) <= 2))
-    found = pairs.select("block", "variant", "listed", dice(F.col("a"), F.col("b")).alias("score")).distinct()
-    return same.unionByName(found.filter((F.col("score") >= LEAST_DICE) & near(F.col("variant"), F.col("listed"))))
+    mine, theirs = _forms(other, "variant", "a"), _forms(listed, "listed", "b")
+    # a slip changes the length of its form by one at most
+    close = (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS) & (F.abs(F.col("a_length") - F.col("b_length")) <= 2)
+    pairs = mine.join(theirs, ["block", "form", "number", "value"]).filter(close)
+    found = pairs.groupBy("block", "variant", "listed").agg(F.max(dice(F.col("a"), F.col("b"))).alias("best"))
+    found = found.withColumn("score", dice(bit_vector(F.col("variant")), bit_vector(F.col("listed"))))
+    return same.unionByName(found.filter((F.col("best") >= LEAST_DICE) & near(F.col("variant"), F.col("listed"))).drop("best"))
 
 
 def matched_persons(mentions: DataFrame, person: DataFrame, names: DataFrame) -> DataFrame:

@@ -74,16 +74,17 @@ def _slip(a: Column, b: Column) -> Column:
     return (away <= 1) | ((away == 2) & (same_letters | (longest >= 8)))
 
 
+def written(key: Column) -> Column:
+    """The key with the groups of letters written out that stand for one sound each."""
+    for sound, letters in (("Z", "zh"), ("S", "sh"), ("C", "ch"), ("X", "kh"), ("c", "ts")):
+        key = F.replace(key, F.lit(sound), F.lit(letters))
+    return key
+
+
 def near(a: Column, b: Column) -> Column:
     """Whether two keys are one slip apart: a letter more, less or other, or two neighbours swapped; two slips in long keys.
 
     A slip inside a group of letters that stands for one sound shows only with the groups
     written out, so both forms are compared.
     """
-
-    def written(c: Column) -> Column:
-        for sound, letters in (("Z", "zh"), ("S", "sh"), ("C", "ch"), ("X", "kh"), ("c", "ts")):
-            c = F.replace(c, F.lit(sound), F.lit(letters))
-        return c
-
     return _slip(a, b) | _slip(written(a), written(b))

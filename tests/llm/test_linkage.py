@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kinweave.llm import places
 from kinweave.llm.entities import RADIUS, bit_vector, close_keys, matched_persons
-from kinweave.llm.names import skeleton, skeleton_column
+from kinweave.llm.names import near, skeleton, skeleton_column
 from kinweave.llm.places import Rule, map_values, slips, tokens
 from kinweave.llm.variants import spellings, spelt_persons
 from kinweave.operators.runtime import Scratch
@@ -63,6 +63,23 @@ def test_multi_index_is_exact(spark):
     assert want <= got
 
 
+def test_close_keys_finds_slips_in_groups(spark):
+    names = [("Honsahupuk", "honashupuk"), ("Kybrekercyh", "kybrekerych"), ("Пубодиахк", "пубодихак"), ("Тачокиушк", "тачокишук"), ("Вабиувдишин", "вабивудишин")]
+    random.seed(8)
+    groups = ["sha", "kho", "chu", "zhi", "tse", "ra", "ki", "bo"]
+    for _ in range(60):
+        w = "".join(random.choice(groups) for _ in range(4))
+        k = random.randrange(1, len(w) - 1)
+        names.append((w[:k] + w[k + 1] + w[k] + w[k + 2 :], w))
+    keys = [(skeleton(a), skeleton(b)) for a, b in names]
+    pairs = spark.createDataFrame(keys, "a string, b string").distinct().filter(near(F.col("a"), F.col("b")) & (F.col("a") != F.col("b"))).collect()
+    listed = sorted({b for _, b in keys})
+    want = {(r.a, r.b) for r in pairs if r.a not in listed}
+    assert set(keys[:5]) <= want
+    got = close_keys(_keys(spark, "", "variant", [("", a) for a in sorted({a for a, _ in want})]), _keys(spark, "", "listed", [("", b) for b in listed]), Scratch(spark, "test"))
+    assert want <= {(r.variant, r.listed) for r in got.collect()}
+
+
 PERSONS = [
     ("t", "p1", "Іван Петрович Коваленко", "коваленко", "Іван", 1850), ("t", "p2", "Olena Ivanivna Bondarchuk", "bondarchuk", "Olena", 1870), ("t", "p3", "Марія Петрівна Шевчишин", None, "Марія", 1880),
     ("u", "p4", "Іван Петрович Коваленко", "коваленко", "Іван", 1850), ("t", "p5", "Степан Іванович Гончарук", "гончарук", "Степан", 1800), ("t", "p6", "Степан Іванович Гончарук", "гончарук", "Степан", 1802), (None, "p7", None, None, None, None),
