@@ -82,7 +82,7 @@ def matched_persons(mentions: DataFrame, person: DataFrame, names: DataFrame) ->
     used = mentions.filter("estimated_birth_year is not null and tree_id is not null")
     linked, parts = link_mentions(used, person, names, False, close_keys, scratch)
     owners = parts.filter("known and birth_year is not null and given <> '' and surname <> ''").select("tree", "surname", "given", "person_id", "birth_year", "first")
-    exact = linked.filter("givens is not null").select("mention", "tree", "year", "surname", "surname_score", "given_score", F.explode("givens").alias("given")).join(owners.drop("first"), ["tree", "surname", "given"])
+    exact = linked.filter("givens is not null").select("mention", "tree", "year", "surname", "surname_score", F.explode("givens").alias("x")).select("*", F.col("x.name").alias("given"), F.col("x.score").alias("given_score")).drop("x").join(owners.drop("first"), ["tree", "surname", "given"])
     short = linked.filter("givens is null").select("mention", "tree", "year", "surname", "surname_score", F.lit(0.5).alias("given_score"), "first").join(owners, ["tree", "surname", "first"]).drop("first")
     away = F.abs(F.col("year").cast("int") - F.col("birth_year").cast("int"))
     pairs = exact.unionByName(short, allowMissingColumns=True).withColumn("away", away).filter(F.col("away") <= CHANCE[1])

@@ -94,12 +94,14 @@ def given_forms(parts: DataFrame, names: DataFrame) -> DataFrame:
     return own.unionByName(pets).filter("form is not null and given is not null and form <> '' and given <> ''").distinct()
 
 
-def _best(found: DataFrame) -> DataFrame:
-    return found.groupBy("variant").agg(F.max_by(F.col("listed"), F.struct(F.col("score"), F.col("listed"))).alias("listed"), F.max("score").alias("score"))
+def _options(found: DataFrame, name: str, to: str) -> DataFrame:
+    """(variant, ``to``, best): all the names that a spelling may stand for, as array(struct(name, score)), and the best score."""
+    each = found.groupBy("variant", F.col(name).alias("name")).agg(F.max("score").alias("score"))
+    return each.groupBy("variant").agg(F.sort_array(F.collect_list(F.struct("name", "score"))).alias(to), F.max("score").alias("best"))
 
 
 def link_mentions(mentions: DataFrame, person: DataFrame, names: DataFrame, with_patronymic: bool, link: Linker, scratch: Scratch) -> DataFrame:
-    """(mention, tree, year, surname, given, patronymic, first, middle, score...) with the listed names each mention spells.
+    """(mention, tree, year, surname, givens, patronymics, first, middle, score...) with all listed names each mention may spell.
 
     Each of a mention's name columns is looked up among the given names and (if wanted) the
     patronymics; the column that is neither is the surname, which is looked up in its tree.
@@ -114,22 +116,22 @@ def link_mentions(mentions: DataFrame, person: DataFrame, names: DataFrame, with
     everywhere = F.lit("").alias("block")
     variants = keys.select(everywhere, F.col("key").alias("variant"))
     forms = scratch.save(given_forms(parts, names))
-    given = _best(link(variants, forms.select(everywhere, F.col("form").alias("listed")).distinct(), scratch))
+    given = link(variants, forms.select(everywhere, F.col("form").alias("listed")).distinct(), scratch)
     # a form of several given names stands for each of them
-    given = given.join(forms.withColumnRenamed("form", "listed"), "listed").groupBy("variant").agg(F.sort_array(F.collect_set("given")).alias("givens"), F.max("score").alias("given_score"))
-    roles = keys.join(given.withColumnRenamed("variant", "key"), "key", "left")
+    given = _options(given.join(forms.withColumnRenamed("form", "listed"), "listed"), "given", "givens")
+    roles = keys.join(given.withColumnsRenamed({"variant": "key", "best": "given_score"}), "key", "left")
     if with_patronymic:
         listed = parts.filter("patronymic <> ''").select(everywhere, F.col("patronymic").alias("listed")).distinct()
-        patr = _best(link(variants, listed, scratch)).select(F.col("variant").alias("key"), F.col("listed").alias("patr"), F.col("score").alias("patr_score"))
-        roles = roles.join(patr, "key", "left")
+        patr = _options(link(variants, listed, scratch), "listed", "patrs")
+        roles = roles.join(patr.withColumnsRenamed({"variant": "key", "best": "patr_score"}), "key", "left")
     else:
-        roles = roles.withColumns({"patr": F.lit(None).cast("string"), "patr_score": F.lit(None).cast("double")})
+        roles = roles.withColumns({"patrs": F.lit(None).cast("array<struct<name:string,score:double>>"), "patr_score": F.lit(None).cast("double")})
     told = counted_join(long, scratch.save(roles), "key", "n")
     # a role goes to the column that fits best, the usual one among equals; what is abbreviated stays where it is
     own = lambda k: F.col("place") == k
     fit_given = F.when(F.col("short") & own(0), 0.5).otherwise(F.coalesce("given_score", F.lit(0.0))) + F.when(own(0), 0.05).otherwise(0.0)
     fit_patr = F.when(F.col("short") & own(2), 0.5).otherwise(F.coalesce("patr_score", F.lit(0.0))) + F.when(own(2), 0.05).otherwise(0.0)
-    row = F.struct("place", "key", "initial", "short", "givens", "given_score", "patr", "patr_score", fit_given.alias("fg"), fit_patr.alias("fp"))
+    row = F.struct("place", "key", "initial", "short", "givens", "given_score", "patrs", "patr_score", fit_given.alias("fg"), fit_patr.alias("fp"))
     packed = told.groupBy("mention").agg(F.first("tree").alias("tree"), F.first("year").alias("year"), F.sort_array(F.collect_set(row)).alias("slots"))
     # a repeated mention has the same slots; one whose rows differ is ambiguous and goes
     packed = packed.filter(F.size("slots") == len(columns))
@@ -144,12 +146,12 @@ def link_mentions(mentions: DataFrame, person: DataFrame, names: DataFrame, with
     whole = packed.withColumns({"gs": pick("g"), "ps": pick("p"), "ss": rest}).filter("ss is not null and gs is not null")
     whole = whole.filter(F.col("gs.short") | F.col("gs.givens").isNotNull())
     if with_patronymic:
-        whole = whole.filter(F.col("ps.short") | F.col("ps.patr").isNotNull())
+        whole = whole.filter(F.col("ps.short") | F.col("ps.patrs").isNotNull())
     ready = scratch.save(
         whole.select(
             "mention", "tree", "year", F.concat_ws("|", "tree", "ss.key").alias("at"), F.col("ss.key").alias("typed"),
-            F.when(~F.col("gs.short"), F.col("gs.givens")).alias("givens"), F.col("gs.initial").alias("first"), F.col("gs.given_score").alias("given_score"),
-            F.when(~F.col("ps.short"), F.col("ps.patr")).alias("patronymic"), F.col("ps.initial").alias("middle"),
+            F.when(~F.col("gs.short"), F.col("gs.givens")).alias("givens"), F.col("gs.initial").alias("first"),
+            F.when(~F.col("ps.short"), F.col("ps.patrs")).alias("patronymics"), F.col("ps.initial").alias("middle"),
         )
     )
     surnames = scratch.save(ready.groupBy("at", "tree", "typed").agg(F.count(F.lit(1)).alias("n")))

@@ -3,7 +3,7 @@
 Distinct spellings are vectors of n-gram weights (tf times idf over the listed names, unit
 length).  A join on (block, n-gram) over the heaviest n-grams of each spelling, which cover
 all but a part too light to reach the threshold, finds the candidates; their cosines are
-exact.  The best few per spelling go on to average linkage: a listed name and the spellings
+exact.  All that pass an exact check of slips go on to average linkage: a listed name and the spellings
 nearest to it are a cluster, and as the average cosine with a cluster's members is the
 product with the sum of their vectors, clusters of any size cost one aggregate.
 """
@@ -26,14 +26,17 @@ from kinweave.operators.runtime import Scratch
 class Rule:
     threshold: float = 0.22  #: least cosine of a spelling and a listed name
     linkage: float = 0.10  #: least average cosine with the cluster
-    top: int = 3
     sizes: tuple[int, ...] = (2, 3)
 
 
 def grams(key: Column, sizes: tuple[int, ...]) -> Column:
     padded = F.concat(F.lit("^"), key, F.lit("$"))
-    each = [F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - (n - 1), F.lit(1))), lambda i, n=n: F.substring(padded, i, F.lit(n))) for n in sizes]
-    return F.array_distinct(F.concat(*each))
+
+    def each(n: int) -> Column:
+        # transform() would take a default argument for its index, so n comes from here
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - (n - 1), F.lit(1))), lambda i: F.substring(padded, i, F.lit(n)))
+
+    return F.array_distinct(F.concat(*map(each, sizes)))
 
 
 def _vectors(keys: DataFrame, name: str, idf: DataFrame, unknown: float, sizes: tuple[int, ...]) -> DataFrame:
@@ -47,8 +50,8 @@ def spellings(variants: DataFrame, listed: DataFrame, scratch: Scratch, rule: Ru
     """(block, variant, listed, score): the listed keys of its block that each variant spells.
 
     ``variants`` (block, variant) and ``listed`` (block, listed) are distinct keys.  The
-    score is the average cosine with the listed key's cluster; an exact check of slips
-    follows.  A variant equal to a listed key spells it, with score 1, and nothing else.
+    score is the average cosine with the listed key's cluster, of all that an exact check of
+    slips lets through.  A variant equal to a listed key spells it, with score 1, and nothing else.
     """
     same = variants.join(listed, (variants["block"] == listed["block"]) & (variants["variant"] == listed["listed"])).select(variants["block"], "variant", "listed", F.lit(1.0).alias("score"))
     other = variants.filter("variant <> ''").join(listed.withColumnRenamed("listed", "variant"), ["block", "variant"], "left_anti").distinct()
@@ -59,16 +62,14 @@ def spellings(variants: DataFrame, listed: DataFrame, scratch: Scratch, rule: Ru
     mine = scratch.save(_vectors(other, "variant", idf, unknown, rule.sizes))
     tail = F.sum(F.col("w") * F.col("w")).over(W.partitionBy("block", "variant").orderBy("w", "gram").rowsBetween(W.unboundedPreceding, 0))
     head = mine.withColumn("tail", tail).filter(F.col("tail") >= rule.threshold**2).drop("tail", "w")
-    # the longer keys need n-grams of three only to find each other; of the short ones all count
-    long_enough = (F.length("gram") >= 3) | (F.length("variant") < 7) | F.lit(3 not in rule.sizes)
-    pairs = head.filter(long_enough).join(theirs.select("block", "gram", "listed"), ["block", "gram"]).select("block", "variant", "listed").distinct()
-    pairs = pairs.filter(F.abs(F.length("variant") - F.length("listed")) <= 2)  # no more slips than the exact check lets through
+    pairs = head.join(theirs.select("block", "gram", "listed"), ["block", "gram"]).select("block", "variant", "listed").distinct()
+    pairs = pairs.filter(near(F.col("variant"), F.col("listed")))
     pack = lambda df, name, to: df.groupBy("block", name).agg(F.map_from_entries(F.collect_list(F.struct("gram", "w"))).alias(to))
     dot = F.aggregate(F.map_entries("vm"), F.lit(0.0), lambda acc, e: acc + e["value"] * F.coalesce(F.try_element_at("lm", e["key"]), F.lit(0.0)))
     scored = pairs.join(pack(mine, "variant", "vm"), ["block", "variant"]).join(pack(theirs, "listed", "lm"), ["block", "listed"])
     scored = scored.select("block", "variant", "listed", dot.alias("cosine")).filter(F.col("cosine") >= rule.threshold)
     rank = F.row_number().over(W.partitionBy("block", "variant").orderBy(F.desc("cosine"), "listed"))
-    top = scratch.save(scored.withColumn("rank", rank).filter(F.col("rank") <= rule.top))
+    top = scratch.save(scored.withColumn("rank", rank))
     members = top.filter("rank = 1").join(mine, ["block", "variant"]).select("block", "listed", "gram", "w").unionByName(theirs.select("block", "listed", "gram", "w"))
     centre = members.groupBy("block", "listed", "gram").agg(F.sum("w").alias("w")).groupBy("block", "listed").agg(F.map_from_entries(F.collect_list(F.struct("gram", "w"))).alias("lm"))
     sizes = top.filter("rank = 1").groupBy("block", "listed").agg((F.count(F.lit(1)) + 1).alias("size"))
@@ -77,7 +78,7 @@ def spellings(variants: DataFrame, listed: DataFrame, scratch: Scratch, rule: Ru
         top.join(pack(mine, "variant", "vm"), ["block", "variant"]).join(centre, ["block", "listed"]).join(sizes, ["block", "listed"], "left")
         .withColumn("score", (dot - inside) / (F.coalesce("size", F.lit(1)) - inside))
     )
-    kept = linked.filter((F.col("score") >= rule.linkage) & near(F.col("variant"), F.col("listed"))).select("block", "variant", "listed", F.least(F.col("score"), F.lit(0.999)).alias("score"))
+    kept = linked.filter(F.col("score") >= rule.linkage).select("block", "variant", "listed", F.least(F.col("score"), F.lit(0.999)).alias("score"))
     return same.unionByName(kept)
 
 
@@ -96,13 +97,16 @@ def spelt_persons(mentions: DataFrame, person: DataFrame, names: DataFrame) -> D
     )
     owners = parts.filter("given <> '' and patronymic <> '' and surname <> ''").select("tree", "surname", F.explode(shapes).alias("name"), "person_id")
     owners = owners.groupBy("tree", "surname", "name").agg(F.min("person_id").alias("person_id"), F.countDistinct("person_id").alias("persons"))
-    kind = F.concat(F.when(F.col("givens").isNull(), "g").otherwise("G"), F.when(F.col("patronymic").isNull(), "p").otherwise("P"))
-    wanted = linked.select("mention", "tree", "surname", "surname_score", kind.alias("kind"), F.explode(F.coalesce("givens", F.array("first"))).alias("g"), F.coalesce("patronymic", "middle").alias("p"))
-    wanted = wanted.select("mention", "tree", "surname", "surname_score", F.concat_ws("|", "kind", "g", "p").alias("name"))
+    kind = F.concat(F.when(F.col("givens").isNull(), "g").otherwise("G"), F.when(F.col("patronymics").isNull(), "p").otherwise("P"))
+    either = lambda names, one: F.coalesce(names, F.array(F.struct(F.col(one).alias("name"), F.lit(0.0).alias("score"))))
+    wanted = linked.select("mention", "tree", "surname", "surname_score", kind.alias("kind"), F.explode(either("givens", "first")).alias("g"), F.col("patronymics"), F.col("middle"))
+    wanted = wanted.select("*", F.explode(either("patronymics", "middle")).alias("p"))
+    score = F.col("surname_score") + F.col("g.score") + F.col("p.score")
+    wanted = wanted.select("mention", "tree", "surname", score.alias("score"), F.concat_ws("|", "kind", "g.name", "p.name").alias("name"))
     hits = wanted.join(owners, ["tree", "surname", "name"])
-    best = hits.groupBy("mention").agg(F.max("surname_score").alias("top"), F.collect_set(F.struct("surname_score", "person_id", "persons")).alias("found"))
-    # the found persons of one mention are few: its surname candidates times its given names
-    first = F.filter("found", lambda x: x["surname_score"] >= F.col("top") - 0.02)
+    best = hits.groupBy("mention").agg(F.max("score").alias("top"), F.collect_set(F.struct("score", "person_id", "persons")).alias("found"))
+    # the found persons of one mention are few: its surname candidates times its given names and patronymics
+    first = F.filter("found", lambda x: x["score"] >= F.col("top") - 0.02)
     return best.withColumn("first", first).filter((F.size(F.array_distinct(F.transform("first", lambda x: x["person_id"]))) == 1) & (F.get("first", F.lit(0))["persons"] == 1)).select(
         F.col("mention").alias("person_mention_id"), F.get("first", F.lit(0))["person_id"].alias("person_id")
     )

@@ -9,7 +9,7 @@ from kinweave.llm import places
 from kinweave.llm.entities import RADIUS, bit_vector, close_keys, matched_persons
 from kinweave.llm.names import near, skeleton, skeleton_column
 from kinweave.llm.places import Rule, map_values, slips, tokens
-from kinweave.llm.variants import spellings, spelt_persons
+from kinweave.llm.variants import grams, spellings, spelt_persons
 from kinweave.operators.runtime import Scratch
 
 SAME = [
@@ -47,6 +47,14 @@ def test_links_find_single_slips(spark):
         assert link(variants.limit(0), listed.limit(0), Scratch(spark, "test")).count() == 0
 
 
+def test_spellings_keep_every_candidate(spark):
+    row = spark.createDataFrame([("abcd",)], "w string").select(grams(F.col("w"), (2, 3)).alias("g")).first()
+    assert sorted(row.g) == sorted(["^a", "ab", "bc", "cd", "d$", "^ab", "abc", "bcd", "cd$"])
+    listed = [f"koval{c}nko" for c in "abdeiou"]
+    found = spellings(_keys(spark, "t", "variant", [("t", "kovalxnko")]), _keys(spark, "t", "listed", [("t", w) for w in listed]), Scratch(spark, "test"))
+    assert sorted(r.listed for r in found.collect()) == listed
+
+
 def test_multi_index_is_exact(spark):
     random.seed(4)
     words = sorted({"".join(random.choice("abeiklmnorst") for _ in range(7)) for _ in range(150)})
