@@ -2,10 +2,12 @@
 
 The distinct values of a group and field are aligned progressively, the most complete
 first: each value's tokens are placed into the columns of the profile built so far by
-dynamic programming over sound-like keys.  Tokens vote in their columns, weighted by how
-far they are spelled out and how often they occur.  The existing value closest to the
-consensus survives: the one that leaves the least of its columns open.  Among equals the
-existing record goes first, then the row updated last.
+dynamic programming over sound-like keys.  In each column the tokens vote.  A vote weighs
+as much as the value it comes from: by completeness first, then by trust (the existing
+record, then the latest row), and any number of lesser votes counts only among equals.
+The winners are the consensus, and the existing value closest to it survives, each column
+that a value lacks, leaves abbreviated or fills with another token than the consensus
+adding to its distance.  Trust decides among values at the same distance.
 
 A group of any size is aligned in chunks of bounded size, whose profiles are aligned with
 each other in turn.
@@ -23,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.llm.names import skeleton
+from kinweave.operators.joins import counted_join
 from kinweave.operators.runtime import Scratch
 
 #: Distinct values, or profiles, that are aligned in one go.
@@ -98,10 +101,18 @@ def tokens(field: str, value: str | None) -> list[Token]:
     return name_tokens(value) if field == "name" else event_tokens(value)
 
 
-Profile = list[dict[str, float]]
+#: What a token's best supporter offers: minus its completeness, imported, age, source; less is better.
+Strength = tuple[float, int, int, str]
+#: Per column the tokens with their best supporter and the number of all supporters.
+Profile = list[dict[str, tuple[Strength, int]]]
 
 
-def _likeness(column: dict[str, float], keys: Iterable[str]) -> float:
+def completeness(field: str, own: list[Token]) -> float:
+    votes = sorted((w for _, w in own), reverse=True)
+    return sum(votes[:PARTS] if field == "name" else votes)
+
+
+def _likeness(column: Iterable[str], keys: Iterable[str]) -> float:
     best = CLASH
     for k in keys:
         for c in column:
@@ -116,7 +127,7 @@ def _likeness(column: dict[str, float], keys: Iterable[str]) -> float:
     return best
 
 
-def align(profile: Profile, other: Profile) -> list[tuple[int, int]]:
+def align(profile: list, other: list) -> list[tuple[int, int]]:
     """Pairs (column of profile or -1, column of other or -1) of the best global alignment."""
     n, m = len(profile), len(other)
     score = [[j * GAP for j in range(m + 1)]]
@@ -145,48 +156,51 @@ def merge(profile: Profile, other: Profile) -> Profile:
     for i, j in align(profile, other):
         column = dict(profile[i]) if i >= 0 else {}
         if j >= 0:
-            for k, w in other[j].items():
-                column[k] = column.get(k, 0.0) + w
+            for k, (strength, n) in other[j].items():
+                had = column.get(k)
+                column[k] = (min(had[0], strength), had[1] + n) if had else (strength, n)
         out.append(column)
     return out
 
 
 def progressive(profiles: list[Profile]) -> Profile:
     """All profiles in one, the most complete first."""
-    weight = lambda p: sum(max(c.values(), default=0.0) for c in p)
-    ordered = sorted(profiles, key=lambda p: (-len(p), -weight(p), json.dumps(p, sort_keys=True)))
+    ordered = sorted(profiles, key=lambda p: (-len(p), min(x for c in p for x, _ in c.values()), sorted(p[0])))
     out: Profile = []
     for p in ordered:
         out = merge(out, p) if out else p
     return out
 
 
-def consensus(profile: Profile) -> list[str]:
-    """The heaviest token of each of the heaviest PARTS columns, in order.
+def consensus(profile: Profile, parts: int = PARTS) -> list[str]:
+    """The winning token of each of the ``parts`` columns with the strongest winners, in order.
 
     One value that spells a part out is enough for its column: rare parts are often those
     that the other values lack.
     """
-    top = [max(((w, k) for k, w in c.items() if k != "*"), default=(0.0, "")) for c in profile]
-    kept = sorted((k for k in range(len(top)) if top[k][0] > 0), key=lambda k: (-top[k][0], k))[:PARTS]
-    return [top[k][1] for k in sorted(kept)]
+    top = []
+    for at, column in enumerate(profile):
+        votes = [(strength, -n, k) for k, (strength, n) in column.items() if k != "*"]
+        if votes:
+            top.append((min(votes), at))
+    kept = sorted(top)[:parts]
+    return [vote[2] for vote, _ in sorted(kept, key=lambda x: x[1])]
 
 
-def openness(field: str, value: str | None, agreed: list[str]) -> float:
-    """Distance of a value from the consensus: what it leaves open of the columns, weighted.
-
-    A token that says something else than the consensus closes its column as well: which
-    of two complete values is right is decided by trust and time, not by number.
-    """
+def distance(field: str, value: str | None, agreed: list[str]) -> float:
+    """Weight of the consensus columns that a value lacks, leaves short or doubtful, or contradicts."""
     own = tokens(field, value)
-    if field != "name":
-        have = {k.split(":")[0] for k, _ in own}
-        return sum(w for k, w in EVENT_PARTS.items() if k not in have)
-    closed = 0.0
-    for i, j in align([{k: 1.0} for k in agreed], [{k: 1.0} for k, _ in own]):
-        if i >= 0 and j >= 0:
-            closed += own[j][1]
-    return round(len(agreed) - closed, 6)
+    weight = [EVENT_PARTS[k.split(":")[0]] if field != "name" else 1.0 for k in agreed]
+    far = sum(weight)
+    for i, j in align([[k] for k in agreed], [[k] for k, _ in own]):
+        if i < 0 or j < 0:
+            continue
+        key, vote = own[j]
+        if field != "name":
+            far -= weight[i] if key == agreed[i] else 0.0
+        elif vote < FULL or key == agreed[i]:
+            far -= vote
+    return round(far, 6)
 
 
 def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, list[tuple]]]:
@@ -209,7 +223,7 @@ def survivors(values: DataFrame) -> DataFrame:
     """(group, field, source) of the surviving value of each group and field.
 
     ``values``: group, field (``name`` or an event field), value, source, imported (0 for the
-    existing record), at.  Null values take part and are left open; groups without any
+    existing record), at.  Null values take part and lack every column; groups without any
     readable value keep the existing record; repeated rows change nothing; an empty table
     gives none.
     """
@@ -217,48 +231,62 @@ def survivors(values: DataFrame) -> DataFrame:
     micros = F.unix_micros(F.col("at").cast("timestamp"))
     trust = F.struct("imported", F.coalesce(-micros, F.lit((1 << 63) - 1)).alias("age"), "source")
     base = values.groupBy("group", "field", "value").agg(F.count(F.lit(1)).alias("n"), F.min(trust).alias("best"))
-    base = scratch.save(base)
-    per_group = base.groupBy("group", "field").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
-    per_group = scratch.save(per_group)
+    base = scratch.save(base.select(F.concat_ws("\x01", "field", "group").alias("at"), "group", "field", "value", "n", "best.*"))
+    per_group = scratch.save(base.groupBy("at").agg(F.count(F.lit(1)).alias("values")).withColumn("chunks", F.ceil(F.col("values") / CHUNK).cast("int")))
     chunks = per_group.agg(F.max("chunks")).first()[0] or 1
-    keys = ["group", "field", "chunk"]
-    schema = "group string, field string, chunk int, profile string"
-
-    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out = []
-        for key, run in _groups(batches, keys):
-            profiles = [[{k: w * n} for k, w in tokens(key[1], v)] for v, n in run]
-            out.append((*key, json.dumps(progressive([p for p in profiles if p]))))
-            if len(out) >= 5000:
-                yield pd.DataFrame(out, columns=[*keys, "profile"])
-                out = []
-        yield pd.DataFrame(out, columns=[*keys, "profile"])
-
-    def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out = [(*key, json.dumps(progressive([p for p in (json.loads(x) for (x,) in run) if p]))) for key, run in _groups(batches, keys)]
-        yield pd.DataFrame(out, columns=[*keys, "profile"])
-
-    spread = base.join(per_group, ["group", "field"]).withColumn("chunk", F.pmod(F.xxhash64("value"), F.col("chunks")).cast("int"))
-    profiles = _in_chunks(spread, keys, ["value", "n"], first, schema)
+    keys = ["at", "chunk"]
+
+    def agree(at: str, profile: Profile) -> list[str]:
+        return consensus(profile, PARTS if at.startswith("name\x01") else len(EVENT_PARTS))
+
+    def first(last: bool):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            out = []
+            for key, rows in _groups(batches, keys):
+                field = key[0].split("\x01", 1)[0]
+                profiles = []
+                for value, n, *by in rows:
+                    own = tokens(field, value)
+                    if own:
+                        profiles.append([{k: ((-completeness(field, own), *by), n)} for k, _ in own])
+                whole = progressive(profiles)
+                out.append((*key, json.dumps(agree(key[0], whole) if last else whole)))
+                if len(out) >= 5000:
+                    yield pd.DataFrame(out, columns=[*keys, "profile"])
+                    out = []
+            yield pd.DataFrame(out, columns=[*keys, "profile"])
+
+        return run
+
+    def again(last: bool):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            read = lambda text: [{k: (tuple(s), n) for k, (s, n) in c.items()} for c in json.loads(text)]
+            out = []
+            for key, rows in _groups(batches, keys):
+                whole = progressive([p for p in (read(x) for (x,) in rows) if p])
+                out.append((*key, json.dumps(agree(key[0], whole) if last else whole)))
+            yield pd.DataFrame(out, columns=[*keys, "profile"])
+
+        return run
+
+    schema = "at string, chunk int, profile string"
+    spread = counted_join(base, per_group.withColumnRenamed("values", "members"), "at", "members", how="inner").withColumn("chunk", F.pmod(F.xxhash64("value"), F.col("chunks")).cast("int"))
+    profiles = _in_chunks(spread, keys, ["value", "n", "imported", "age", "source"], first(chunks == 1), schema)
     while chunks > 1:
-        profiles = scratch.save(profiles).withColumn("chunk", F.expr(f"chunk div {CHUNK}"))
-        profiles = _in_chunks(profiles, keys, ["profile"], again, schema)
         chunks = -(-chunks // CHUNK)
-    agreed = scratch.save(profiles.select("group", "field", "profile"))
+        profiles = scratch.save(profiles).withColumn("chunk", F.expr(f"chunk div {CHUNK}"))
+        profiles = _in_chunks(profiles, keys, ["profile"], again(chunks == 1), schema)
+    # only the few tokens of the consensus go back to the values
+    agreed = scratch.save(profiles.select("at", "profile").join(per_group.select("at", "values"), "at"))
 
     def distances(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            known: dict[str, list[str]] = {}
-            far = []
-            for field, value, profile in zip(batch["field"], batch["value"], batch["profile"]):
-                if profile not in known:
-                    known[profile] = consensus(json.loads(profile))
-                far.append(openness(field, value, known[profile]))
-            yield pd.DataFrame({"group": batch["group"], "field": batch["field"], "open": far, "imported": batch["imported"], "age": batch["age"], "source": batch["source"]})
-
-    judged = base.join(agreed, ["group", "field"]).select("group", "field", "value", "profile", "best.imported", "best.age", "best.source")
-    far = judged.mapInPandas(distances, "group string, field string, open double, imported int, age bigint, source string")
-    return far.groupBy("group", "field").agg(F.min(F.struct("open", "imported", "age", "source"))["source"].alias("source"))
+            far = [distance(field, value, json.loads(tokens_)) for field, value, tokens_ in zip(batch["field"], batch["value"], batch["profile"])]
+            yield batch.drop(columns=["value", "profile"]).assign(far=far)[["group", "field", "far", "imported", "age", "source"]]
+
+    judged = counted_join(base, agreed, "at", "values", how="inner").select("group", "field", "value", "profile", "imported", "age", "source")
+    far = judged.mapInPandas(distances, "group string, field string, far double, imported int, age bigint, source string")
+    return far.groupBy("group", "field").agg(F.min(F.struct("far", "imported", "age", "source"))["source"].alias("source"))
 
 
 def duplicate_values(candidates: DataFrame) -> DataFrame:

@@ -61,7 +61,10 @@ def test_name_order():
 
 def test_progressive_order_does_not_matter():
     values = ["Іван Петрович Коваль", "І. П. Коваль", "? Коваль", "Іван Коваль", "Коваль І."]
-    p = [[{k: w} for k, w in name_tokens(v)] for v in values]
+    p = []
+    for n, v in enumerate(values):
+        own = name_tokens(v)
+        p.append([{k: ((-survivors.completeness("name", own), 1, n, "s"), 1)} for k, _ in own])
     assert progressive(p) == progressive(p[::-1])
     assert survivors.consensus(progressive(p)) == ["ivan", "petroviC", "koval"]
 
@@ -85,3 +88,16 @@ def test_survivors(spark, monkeypatch, chunk):
     got = {(r.group, r.field): r.source for r in survivors.survivors(duplicate_values(df)).collect()}
     assert got == {("e1", "name"): "i2", ("e1", "birth"): "i2", ("e2", "name"): "e2", ("e2", "death"): "i5", ("e3", "name"): "e3"}
     assert survivors.survivors(duplicate_values(df.limit(0))).count() == 0
+
+
+def test_consensus_decides(spark, monkeypatch):
+    rows = [
+        ("g", "name", "Іван Коваль", "e", 0, 1), ("g", "name", "Іван Петрович Коваль", "i1", 1, 2),
+        ("h", "birth", "1800-05-01\x0100", "i1", 1, 9), ("h", "birth", "1801-05-01\x0100", "a2", 1, 5), ("h", "birth", "1801-05-01\x0100", "a3", 1, 4), ("h", "birth", "1800\x0111", "a1", 1, 99),
+    ]
+    df = spark.createDataFrame([(*r[:5], dt.datetime(2025, 1, 1) + dt.timedelta(days=r[5])) for r in rows], "group string, field string, value string, source string, imported int, at timestamp_ntz")
+    run = lambda: {(r.group, r.field): r.source for r in survivors.survivors(df).collect()}
+    # the finest date, then the vote of the latest row, against two rows that agree otherwise
+    assert run() == {("g", "name"): "i1", ("h", "birth"): "i1"}
+    monkeypatch.setattr(survivors, "consensus", lambda profile, parts=3: ["q1", "q2"] if parts == 3 else ["year:1801", "month:5", "day:1"])
+    assert run() == {("g", "name"): "e", ("h", "birth"): "a2"}
