@@ -2,9 +2,13 @@
 
 The component around the vertex of highest degree is peeled first, by frontier joins;
 its links are anti-joined away.  The rest is labelled by minimum propagation with
-contraction: every vertex moves to the smallest vertex seen within two steps, the links
-are rewritten to the new labels and repeated ones and loops vanish.  Each round at least
-halves a component's vertices, so chains of any length need few rounds.
+contraction: in every round each vertex moves to the least vertex seen within two steps,
+the links are rewritten to the new labels, and repeated ones and loops vanish.  What is
+least is decided by a hash that differs from round to round, never by the ids themselves:
+a vertex is then the least among its neighbours with a chance of at most one half, whatever
+the ids look like, so a component of n vertices is expected to take about log n rounds,
+also where the ids run along a chain.  A group's name, its smallest id, is an aggregate
+over the finished labels.
 """
 
 from __future__ import annotations
@@ -12,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinweave.operators.joins import counted_join
 from kinweave.operators.runtime import Scratch
 
 #: Rounds of frontier joins; a component that is deeper is contracted to one vertex as far as it was seen.
@@ -64,13 +69,17 @@ def connected_components(pairs: DataFrame, a: str, b: str) -> DataFrame:
     maps = []
     peeled, links = _peel(scratch, links)
     while not links.isEmpty():
-        least = scratch.save(links.groupBy("s").agg(F.least(F.col("s"), F.min("t")).alias("l")).select(F.col("s").alias("v"), "l"))
-        step = scratch.save(least.join(least.select(F.col("v").alias("l"), F.col("l").alias("l2")), "l").select("v", F.col("l2").alias("l")))
-        maps.append(step)
-        to = step.select(F.col("v").alias("s"), F.col("l").alias("s2"))
-        moved = links.join(to, "s").select(F.col("s2").alias("s"), "t").distinct()
-        moved = moved.join(to.toDF("t", "t2"), "t").select("s", F.col("t2").alias("t")).filter("s <> t").distinct()
-        old, links = links, scratch.save(moved)
+        order = lambda c: F.struct(F.xxhash64(c, F.lit(len(maps))).alias("h"), F.col(c).alias("v"))  # noqa: B023, E731
+        near = links.groupBy("s").agg(F.min(order("t")).alias("m"), F.count(F.lit(1)).alias("n"))
+        least = scratch.save(near.select(F.col("s").alias("v"), F.least(order("s"), F.col("m"))["v"].alias("l"), "n"))
+        # l is chosen by at most as many vertices as it has links
+        aim = least.select(F.col("v").alias("l"), F.col("l").alias("l2"), F.col("n"))
+        step = scratch.save(counted_join(least.withColumnRenamed("n", "links"), aim, "l", "n", how="inner").select("v", F.col("l2").alias("l"), F.col("links").alias("n")))
+        maps.append(step.select("v", "l"))
+        # every link stands in both directions, so a vertex occurs as often on either side
+        moved = counted_join(links, step.toDF("s", "s2", "n"), "s", "n", how="inner").select(F.col("s2").alias("s"), "t")
+        moved = counted_join(moved, step.toDF("t", "t2", "n"), "t", "n", how="inner").select("s", F.col("t2").alias("t"))
+        old, links = links, scratch.save(moved.filter("s <> t").distinct())
         scratch.drop(old, least)
     label = None
     for step in reversed(maps):
@@ -80,6 +89,11 @@ def connected_components(pairs: DataFrame, a: str, b: str) -> DataFrame:
     if label is None:
         label = peeled
     else:
-        own = peeled.join(label.toDF("l", "l2"), "l", "left").select("v", F.coalesce("l2", "l").alias("l"))
-        label = own.unionByName(label.join(peeled.select("v"), "v", "left_anti"))
-    return ids.join(label.withColumnRenamed("v", "id"), "id", "left").select("id", F.coalesce("l", "id").alias("group"))
+        # what was peeled has one label, which a single row leads on
+        low = peeled.select("l").first()[0]
+        last = label.filter(F.col("v") == low).select("l").first()
+        label = peeled.select("v", F.lit(last[0] if last else low).alias("l")).unionByName(label.join(peeled.select("v"), "v", "left_anti"))
+    label = scratch.save(label)
+    names = scratch.save(label.groupBy("l").agg(F.min("v").alias("group"), F.count(F.lit(1)).alias("n")))
+    named = counted_join(label, names, "l", "n", how="inner").select(F.col("v").alias("id"), "group")
+    return ids.join(named, "id", "left").select("id", F.coalesce("group", "id").alias("group"))

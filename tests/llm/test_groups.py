@@ -41,6 +41,18 @@ def test_components(spark, monkeypatch, peel):
     assert {r.id: r.group for r in connected_components(df, "a", "b").collect()} == _plain(pairs)
 
 
+def test_ordered_chain_takes_few_rounds(spark, monkeypatch):
+    least = []
+    plain = components.Scratch.save
+    monkeypatch.setattr(components.Scratch, "save", lambda self, df: (least.append("m") if {"v", "l", "n"} == set(df.columns) else None, plain(self, df))[1])
+    n = 10_000
+    chain = spark.range(n - 1).selectExpr("lpad(id, 6, '0') as a", "lpad(id + 1, 6, '0') as b")
+    got = connected_components(chain, "a", "b")
+    assert got.count() == n and [r.group for r in got.select("group").distinct().collect()] == ["000000"]
+    # two such tables a round
+    assert len(least) <= 2 * 20
+
+
 def test_components_edge_cases(spark):
     df = spark.createDataFrame([("a", None), ("a", "a")], "a string, b string")
     assert [tuple(r) for r in connected_components(df, "a", "b").collect()] == [("a", "a")]
