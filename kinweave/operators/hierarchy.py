@@ -21,8 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kinweave.operators.joins import counted_join
 from kinweave.operators.runtime import Scratch
 
+#: Sizes of the blocks that intervals are cut into are the powers of RADIX below RADIX ** SIZES.
+RADIX, SIZES = 16, 4
 SIBLING_BUCKETS = 256
 KEY_BITS = 62
 SEEDS = 4
@@ -66,27 +69,27 @@ def _with_keys(scratch: Scratch, links: DataFrame) -> tuple[DataFrame, str]:
 def _peel(scratch: Scratch, links: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """Roots of the acyclic nodes (v, root), and the cycles' nodes (v) or None.
 
-    Rows whose pointer reached a root rest; they never join again, so a root with
-    any number of children is no hot key.
+    Rows whose pointer reached a root rest; they are not written again and never look up
+    anything, so a root with any number of children is no hot key.
     """
-    parents = links.filter("p is not null").select("v", "p")
-    top = links.filter("p is null").select(F.col("v").alias("p"), F.lit(True).alias("top"))
-    at = scratch.save(
-        links.filter("p is null").select("v", F.col("v").alias("a"), F.lit(True).alias("rests"))
-        .unionByName(parents.join(top, "p", "left").select("v", F.col("p").alias("a"), F.coalesce("top", F.lit(False)).alias("rests")))
-    )
-    left = at.filter("not rests").select("a").distinct().count()
-    while left:
-        old = at
-        step = old.filter("v <> a or not rests").select(F.col("v").alias("a"), F.col("a").alias("b"), F.col("rests").alias("done"))
-        moved = old.filter("not rests").select("v", "a").join(step, "a").select("v", F.col("b").alias("a"), F.col("done").alias("rests"))
-        at = scratch.save(old.filter("rests").unionByName(moved))
-        now = at.filter("not rests").select("a").distinct().count()
+    top = links.filter("p is null").select("v")
+    near = links.filter("p is not null").select("v", F.col("p").alias("a")).join(top.select(F.col("v").alias("a"), F.lit(True).alias("top")), "a", "left")
+    moved = scratch.save(near.select("v", "a", F.coalesce("top", F.lit(False)).alias("rests")))
+    rest, roots = None, top.select("v", F.col("v").alias("root"))
+    left = None
+    while True:
+        there = moved.filter("rests").select("v", "a")
+        rest = there if rest is None else rest.unionByName(there)
+        roots = roots.unionByName(there.select("v", F.col("a").alias("root")))
+        going = moved.filter("not rests").select("v", "a")
+        now = going.select("a").distinct().count()
+        if now == 0:
+            return roots, None
         if now == left:
-            return at.filter("rests").select("v", F.col("a").alias("root")), at.filter("not rests").select(F.col("a").alias("v")).distinct()
-        scratch.drop(old)
+            return roots, going.select(F.col("a").alias("v")).distinct()
         left = now
-    return at.select("v", F.col("a").alias("root")), None
+        step = rest.select(F.col("v").alias("a"), F.col("a").alias("b"), F.lit(True).alias("rests")).unionByName(going.select(F.col("v").alias("a"), F.col("a").alias("b"), F.lit(False).alias("rests")))
+        moved = scratch.save(going.join(step, "a").select("v", F.col("b").alias("a"), "rests"))
 
 
 def _element(key, side: int, kind: str):
@@ -146,10 +149,10 @@ def forest(rows: DataFrame, node: str, parent: str) -> Forest:
     scratch = Scratch(rows.sparkSession, "forest")
     links, kind = _with_keys(scratch, parent_links(rows, node, parent))
     roots, cycle = _peel(scratch, links)
-    sized = roots.join(roots.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "root")
-    tree = scratch.save(
-        links.join(sized, "v").select("v", "p", "node", "root", "size", F.ceil(F.log2(2 * F.col("size") + 1)).cast("int").alias("rounds"))
-    )
+    names = links.filter("p is null").select(F.col("v").alias("root"), F.col("node").alias("root_name"))
+    tops = scratch.save(roots.groupBy("root").agg(F.count(F.lit(1)).alias("size")).join(names, "root").withColumn("members", F.col("size")))
+    sized = counted_join(roots, tops, "root", "members", how="inner")
+    tree = scratch.save(links.join(sized, "v").select("v", "p", "node", "root_name", "size", F.ceil(F.log2(2 * F.col("size") + 1)).cast("int").alias("rounds")))
     ranked = list_rank(scratch, _tour(tree.select("v", "p", "rounds"), kind))
     side = F.col("e") % 2 if kind == "bigint" else F.when(F.col("e").endswith("<"), 0).otherwise(1)
     key = F.shiftright("e", 1) if kind == "bigint" else F.expr("substring(e, 1, length(e) - 1)")
@@ -158,9 +161,8 @@ def forest(rows: DataFrame, node: str, parent: str) -> Forest:
         F.max(F.when(F.col("side") == 1, F.col("to_end"))).alias("exit_left"),
         F.max(F.when(F.col("side") == 0, -F.col("total"))).alias("depth"),
     )
-    names = tree.filter("p is null").select(F.col("v").alias("root"), F.col("node").alias("root_name"))
     length = 2 * F.col("size") - 1
-    good = tree.join(pairs, "v").join(names, "root").select(
+    good = tree.join(pairs, "v").select(
         "node", F.col("root_name").alias("root"), F.col("depth").cast("int").alias("depth"),
         (length - F.col("enter_left")).alias("entry"), (length - F.col("exit_left")).alias("exit"),
         F.expr("(enter_left - exit_left - 1) div 2").alias("descendants"), F.lit("tree").alias("state"),
@@ -174,26 +176,44 @@ def forest(rows: DataFrame, node: str, parent: str) -> Forest:
     return Forest(good.unionByName(bad), links)
 
 
-def paths(result: Forest, separator: str = ">") -> DataFrame:
-    """Each node's path of ids from its root (node, root, depth, path); null on and below cycles.
+def _runs(a, b):
+    """Numbers from a up to but not including b."""
+    return F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<bigint>"))
 
-    Paths are put together by doubling: in round k a row holds the last 2^k steps.
-    """
-    scratch = Scratch(result.nodes.sparkSession, "paths")
-    nodes = scratch.save(result.nodes)
-    inner = result.links.select("node", "parent").join(nodes.filter("state = 'tree'").select("node"), "node", "left_semi")
-    state = scratch.save(inner.select("node", F.col("parent").alias("up"), F.col("node").alias("path")))
-    while not state.filter("up is not null").isEmpty():
-        old = state
-        ahead = old.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("path").alias("path2"))
-        longer = old.filter("up is not null").join(ahead, "up").select("node", F.col("up2").alias("up"), F.concat_ws(separator, "path2", "path").alias("path"))
-        state = scratch.save(old.filter("up is null").unionByName(longer))
-        scratch.drop(old)
-    return nodes.select("node", "root", "depth").join(state.select("node", "path"), "node", "left")
+
+def _cut(nodes: DataFrame) -> DataFrame:
+    """``nodes`` with one row per aligned block (size, block) that makes up the inside of their interval."""
+    df = nodes.filter("exit - entry > 1").withColumns({"_a": F.col("entry") + 1, "_b": F.col("exit")})
+    parts = []
+    for size in range(SIZES):
+        a, b = F.col("_a"), F.col("_b")
+        up, down = F.expr(f"(_a + {RADIX - 1}) div {RADIX}"), F.expr(f"_b div {RADIX}")
+        ends = _runs(a, b) if size == SIZES - 1 else F.when(up > down, _runs(a, b)).otherwise(F.concat(_runs(a, up * RADIX), _runs(down * RADIX, b)))
+        df = df.withColumn(f"_part{size}", F.transform(ends, lambda x: F.struct(F.lit(size).alias("size"), x.alias("block"))))  # noqa: B023
+        df = df.withColumns({"_a": F.when(up < down, up).otherwise(F.lit(0)), "_b": F.when(up < down, down).otherwise(F.lit(0))})
+        parts.append(f"_part{size}")
+    return df.select(*nodes.columns, F.inline(F.concat(*parts)))
 
 
 def descendants(result: Forest) -> DataFrame:
-    """All (node, descendant, distance) pairs of the trees, from the paths; as many rows as the depths add up to."""
-    walked = paths(result).filter("path is not null")
-    steps = walked.select(F.col("node").alias("descendant"), F.posexplode(F.split("path", ">")).alias("level", "node"), "depth")
-    return steps.filter("node <> descendant").select("node", "descendant", (F.col("depth") - F.col("level")).alias("distance"))
+    """All (node, descendant, distance) pairs of the trees, from the entry-exit intervals; as many rows as the depths add up to.
+
+    ``node_entry`` orders the ancestors of a descendant from the root down.  Nodes on or
+    below cycles have none.
+    """
+    nodes = Scratch(result.nodes.sparkSession, "intervals").save(result.nodes.filter("state = 'tree'").select("node", "root", "depth", "entry", "exit"))
+    above = _cut(nodes.select("root", "node", "depth", "entry", "exit")).select("root", "size", "block", "node", F.col("depth").alias("node_depth"), F.col("entry").alias("node_entry"))
+    blocks = F.array(*[F.struct(F.lit(k).alias("size"), F.expr(f"entry div {RADIX**k}").alias("block")) for k in range(SIZES)])
+    below = nodes.select("root", F.col("node").alias("descendant"), "depth", F.inline(blocks))
+    return above.join(below, ["root", "size", "block"]).select("node", "descendant", (F.col("depth") - F.col("node_depth")).alias("distance"), "node_entry")
+
+
+def paths(result: Forest, separator: str = ">") -> DataFrame:
+    """Each node's path of ids from its root (node, root, depth, path); null on and below cycles.
+
+    The ancestors of a node are those whose intervals hold its entry, in the order of their entries.
+    """
+    above = descendants(result).groupBy(F.col("descendant").alias("node")).agg(F.sort_array(F.collect_list(F.struct("node_entry", "node"))).alias("above"))
+    ids = F.concat(F.coalesce(F.transform("above", lambda x: x["node"]), F.array().cast("array<string>")), F.array("node"))
+    joined = result.nodes.join(above, "node", "left")
+    return joined.select("node", "root", "depth", F.when(F.col("state") == "tree", F.array_join(ids, separator)).alias("path"))

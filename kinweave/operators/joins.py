@@ -13,10 +13,13 @@ def counted_join(rows: DataFrame, values: DataFrame, key: str, count: str, how:
     """``rows`` joined with ``values``, one row per ``key``, where ``values[count]`` says how many rows have the key.
 
     The rows of hot keys meet their at most HOT_ONE_IN values by broadcast and are not
-    shuffled; all others meet by an ordinary join.  ``values`` should be a stored table,
-    as it is read more than once.  Null keys of ``rows`` match nothing.
+    shuffled; all others meet by an ordinary join.  Null keys of ``rows`` match nothing.
+    ``values`` should be a stored table, as it is read more than once.
     """
-    limit = (values.agg(F.sum(count)).first()[0] or 0) // HOT_ONE_IN
+    total, most = values.agg(F.sum(count), F.max(count)).first()
+    limit = (total or 0) // HOT_ONE_IN
+    if (most or 0) <= max(limit, 1):
+        return rows.join(values.drop(count), key, how)
     hot = values.filter(F.col(count) > limit).drop(count)
     cold = values.filter(F.col(count) <= limit).drop(count)
     names = hot.select(F.col(key), F.lit(True).alias("_hot"))

@@ -92,6 +92,19 @@ ORACLE = {
     "p2_found": _ORPHANS + "SELECT table_name, record_id, field_name FROM orphans",
     "p2_report": _ORPHANS + "SELECT table_name, field_name, strftime(reference_at, '%Y-%m') AS period, reason, count(*) AS orphans FROM orphans GROUP BY ALL",
     "p7_found": _WALK + "SELECT l.node AS person_id, coalesce(w.root, '') AS root_person_id, coalesce(w.depth, -1) AS depth FROM links l LEFT JOIN walk w ON w.node = l.node",
+    "p7_hierarchy": _WALK.rstrip().removesuffix(")")
+    + """), steps AS (
+  SELECT unnest(string_split(path, '>')) AS a, node FROM walk
+), below AS (
+  SELECT a, count(*) - 1 AS n FROM steps GROUP BY a
+), bad AS (
+  SELECT l.* FROM links l ANTI JOIN walk w ON w.node = l.node
+), up AS (
+  SELECT node AS start, parent AS cur FROM bad UNION SELECT u.start, b.parent FROM up u JOIN bad b ON b.node = u.cur
+)
+SELECT l.node AS person_id, coalesce(w.root, '') AS root_person_id, coalesce(w.depth, -1) AS depth, CASE WHEN w.node IS NOT NULL THEN coalesce(n, 0) END AS descendants,
+  CASE WHEN w.node IS NOT NULL THEN 'tree' WHEN EXISTS (SELECT 1 FROM up WHERE start = l.node AND cur = l.node) THEN 'cycle' ELSE 'below_cycle' END AS state
+FROM links l LEFT JOIN walk w ON w.node = l.node LEFT JOIN below b ON b.a = l.node""",
     "p7_paths": _WALK + "SELECT l.node AS person_id, w.path FROM links l LEFT JOIN walk w ON w.node = l.node",
     "p7_descendants": _WALK
     + "SELECT a AS person_id, node AS descendant_id, CAST(depth - level AS INTEGER) AS distance FROM (SELECT node, depth, unnest(string_split(path, '>')) AS a, generate_subscripts(string_split(path, '>'), 1) - 1 AS level FROM walk) WHERE a <> node",
