@@ -1,25 +1,37 @@
 """Matching entities across sources without keys: bit vectors, multi-index hashing, confidences.
 
-Each name is the 64-bit vector of its letter pairs, once for its key and once for the key
-with its sounds written out, as the exact check compares both forms.  Two vectors at a Hamming distance of
-at most RADIUS agree in at least one of RADIUS + 1 blocks of bits, so a join on (block of
-rows, number and value of the bits' block) finds all close pairs exactly.  Dice scores of
-the fields are weighted into one, and turned into a confidence by comparing, per score,
-how often the birth years agree with how often they would by chance.
+Each name is a 64-bit vector of its numbered letters (its q-grams for q = 1), once for its
+key and once for the key with its sounds written out, as the exact check compares both
+forms.  A slip changes few of these bits: how many at most, two lengths tell.  Vectors at a
+Hamming distance of at most r that are cut into r + 2 blocks of bits agree in at least two
+of them, and in r + 1 blocks in at least one, so a join on the typed length and the agreeing
+blocks finds all close pairs exactly, and few others.  Dice scores of the vectors of letter
+pairs (q = 2) are weighted over the fields into one, and turned into a confidence by
+comparing, per score, how often the birth years agree with how often they would by chance.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.llm.linkage import link_mentions
-from kinweave.llm.names import near, written
+from kinweave.llm.names import LONG, near, written
 from kinweave.operators.runtime import Scratch
 
-#: The exact check lets two letters differ at most, in one of the two forms; each changes at most two letter pairs on either side.
-RADIUS = 8
 BITS = 64
+#: Letters by how often names have them: neighbours in this order lie in different blocks of bits. Any order gives the same pairs.
+LETTERS = "ikheasuonrbtcvzmdplSCZX"
+#: Bits from one occurrence of a letter to its next.
+AGAIN = 29
+#: Radius by difference of lengths, where two slips of any kind are allowed: each replaced letter changes two bits, each added one.
+WIDE = {0: 4, 1: 3, 2: 2}
+#: The same for one slip; two swapped neighbours change no bit.
+NARROW = {0: 2, 1: 1}
+#: Blocks that must agree, by radius.
+AGREE = {4: 2, 3: 2, 2: 2, 1: 1}
 LEAST_DICE = 0.45
 WEIGHTS = {"surname": 0.55, "given": 0.35, "year": 0.10}
 YEARS = 3
@@ -36,39 +48,79 @@ def bit_vector(key: Column) -> Column:
     return F.aggregate(bits, F.lit(0).cast("bigint"), lambda acc, b: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), b)))
 
 
-def _blocks(vector: Column) -> Column:
-    """The vector's RADIUS + 1 disjoint blocks of bits as array(struct(number, value))."""
-    edges = [round(k * BITS / (RADIUS + 1)) for k in range(RADIUS + 2)]
-    part = lambda a, b: F.shiftrightunsigned(vector, a).bitwiseAND(F.lit((1 << (b - a)) - 1))
-    return F.array(*[F.struct(F.lit(k).alias("number"), part(a, b).alias("value")) for k, (a, b) in enumerate(zip(edges, edges[1:]))])
+def letter_vector(text: Column) -> Column:
+    """64-bit vector of the letters of a text, its first a, its second a and so on being different letters."""
+
+    def bit(i: Column) -> Column:
+        letter, upto = F.substring(text, i, F.lit(1)), F.substring(text, F.lit(1), i)
+        number = F.length(upto) - F.length(F.replace(upto, letter, F.lit(""))) - 1
+        rank = F.instr(F.lit(LETTERS), letter) - 1
+        return F.when(rank >= 0, F.pmod(rank + AGAIN * number, F.lit(BITS))).otherwise(F.pmod(F.xxhash64(letter, number), F.lit(BITS))).cast("int")
+
+    bits = F.transform(F.sequence(F.lit(1), F.length(text)), bit)
+    return F.aggregate(bits, F.lit(0).cast("bigint"), lambda acc, b: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), b)))
+
+
+def radius(a: int, b: int) -> int | None:
+    """Bits that may differ between keys of these lengths that the exact check lets through; None if it lets none."""
+    return (WIDE if max(a, b) >= LONG else NARROW).get(abs(a - b))
+
+
+def _signatures(r: int, apart: int) -> list[Column]:
+    """What vectors (v) at most ``r`` bits apart have in common in at least one place: (radius, difference of lengths, blocks, their bits)."""
+    blocks = [sum(1 << p for p in range(k, BITS, r + AGREE[r])) for k in range(r + AGREE[r])]
+    masks = [sum(c) for c in combinations(blocks, AGREE[r])]
+    signed = lambda m: m - (1 << BITS) if m >> (BITS - 1) else m
+    return [F.struct(F.lit((r * 8 + apart) * 64 + n).alias("kind"), F.col("v").bitwiseAND(F.lit(signed(m)).cast("bigint")).alias("bits")) for n, m in enumerate(masks)]
+
+
+def _index(keys: DataFrame, name: str, typed: bool) -> DataFrame:
+    """(block, name, form, at, kind, bits): the signatures of both forms of each key; ``at`` is the typed key's length."""
+    text = F.inline(F.array(*[F.struct(F.lit(k).alias("form"), form.alias("text")) for k, form in enumerate((F.col(name), written(F.col(name))))]))
+    forms = keys.select("block", name, text).select("block", name, "form", F.length("text").alias("n"), letter_vector(F.col("text")).alias("v"))
+    n, none = F.col("n"), F.array().cast("array<struct<at:int,kind:int,bits:bigint>>")
+    parts = []
+    for r, apart in {(table[d], d) for table in (WIDE, NARROW) for d in table}:
+        wide = WIDE.get(apart) == r
+        shifts = (0,) if typed else sorted({apart, -apart})
+        for shift in shifts:
+            # the typed key's length, and the lengths that the pair may have
+            at = n + shift
+            others = (n + apart, n - apart) if typed else (at,)
+            fits = [(F.greatest(n, o) >= LONG) if wide else (F.greatest(n, o) < LONG) for o in others]
+            some = fits[0] | fits[-1]
+            if wide and NARROW.get(apart) == r:
+                some = F.lit(True)
+            parts.append(F.when(some & (at > 0), F.transform(F.array(*_signatures(r, apart)), lambda x: F.struct(at.cast("int").alias("at"), x["kind"].alias("kind"), x["bits"].alias("bits")))).otherwise(none))  # noqa: B023
+    return forms.select("block", name, "form", F.inline(F.concat(*parts)))
 
 
 def dice(a: Column, b: Column) -> Column:
     return 2 * F.bit_count(a.bitwiseAND(b)) / (F.bit_count(a) + F.bit_count(b))
 
 
-def _forms(keys: DataFrame, name: str, vector: str) -> DataFrame:
-    """(block, name, vector, its length, form, number, value): both forms of each key by the blocks of their bits."""
-    text = F.explode(F.array(*[F.struct(F.lit(k).alias("form"), form.alias("text")) for k, form in enumerate((F.col(name), written(F.col(name))))]))
-    long = keys.select("block", name, text.alias("x")).select("block", name, "x.form", bit_vector(F.col("x.text")).alias(vector), F.length("x.text").alias(f"{vector}_length"))
-    return long.select("*", F.explode(_blocks(F.col(vector))).alias("x")).select("*", "x.*").drop("x")
+def candidates(variants: DataFrame, listed: DataFrame) -> DataFrame:
+    """(block, variant, listed): pairs with a common signature, each once; all that the exact check lets through are among them."""
+    on = ["block", "form", "at", "kind", "bits"]
+    tasks = int(variants.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a fixed number of partitions, as few rows may make many pairs
+    mine, theirs = (_index(df, name, name == "variant").repartition(tasks, *on) for df, name in ((variants, "variant"), (listed, "listed")))
+    return mine.join(theirs.hint("shuffle_hash"), on).select("block", "variant", "listed").distinct()
 
 
 def close_keys(variants: DataFrame, listed: DataFrame, scratch: Scratch) -> DataFrame:
     """(block, variant, listed, score): the listed keys of its block close to each variant; score is the Dice coefficient.
 
-    All pairs within RADIUS in either form are found, which are all that the exact check of
-    slips lets through.  A variant equal to a listed key is linked to it alone.
+    All pairs within the radius of their lengths in either form are found, which are all
+    that the exact check of slips lets through.  A variant equal to a listed key is linked to it alone.
     """
-    same = variants.join(listed, (variants["block"] == listed["block"]) & (variants["variant"] == listed["listed"])).select(variants["block"], "variant", "listed", F.lit(1.0).alias("score"))
-    other = variants.filter("variant <> ''").join(listed.withColumnRenamed("listed", "variant"), ["block", "variant"], "left_anti").distinct()
-    mine, theirs = _forms(other, "variant", "a"), _forms(listed, "listed", "b")
-    # a slip changes the length of its form by one at most
-    close = (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS) & (F.abs(F.col("a_length") - F.col("b_length")) <= 2)
-    pairs = mine.join(theirs, ["block", "form", "number", "value"]).filter(close)
-    found = pairs.groupBy("block", "variant", "listed").agg(F.max(dice(F.col("a"), F.col("b"))).alias("best"))
-    found = found.withColumn("score", dice(bit_vector(F.col("variant")), bit_vector(F.col("listed"))))
-    return same.unionByName(found.filter((F.col("best") >= LEAST_DICE) & near(F.col("variant"), F.col("listed"))).drop("best"))
+    known = listed.select("block", F.col("listed").alias("variant"), F.lit(True).alias("known"))
+    tagged = scratch.save(variants.filter("variant <> ''").join(known, ["block", "variant"], "left"))
+    same = tagged.filter("known").select("block", "variant", F.col("variant").alias("listed"), F.lit(1.0).alias("score"))
+    found = candidates(tagged.filter("known is null"), listed.filter("listed <> ''")).filter(near(F.col("variant"), F.col("listed")))
+    score = lambda f: dice(bit_vector(f(F.col("variant"))), bit_vector(f(F.col("listed"))))
+    found = found.withColumns({"score": score(lambda c: c), "written": score(written)}).filter(F.greatest("score", "written") >= LEAST_DICE)
+    return same.unionByName(found.select("block", "variant", "listed", "score"))
 
 
 def matched_persons(mentions: DataFrame, person: DataFrame, names: DataFrame) -> DataFrame:

@@ -94,12 +94,6 @@ def given_forms(parts: DataFrame, names: DataFrame) -> DataFrame:
     return own.unionByName(pets).filter("form is not null and given is not null and form <> '' and given <> ''").distinct()
 
 
-def _options(found: DataFrame, name: str, to: str) -> DataFrame:
-    """(variant, ``to``, best): all the names that a spelling may stand for, as array(struct(name, score)), and the best score."""
-    each = found.groupBy("variant", F.col(name).alias("name")).agg(F.max("score").alias("score"))
-    return each.groupBy("variant").agg(F.sort_array(F.collect_list(F.struct("name", "score"))).alias(to), F.max("score").alias("best"))
-
-
 def link_mentions(mentions: DataFrame, person: DataFrame, names: DataFrame, with_patronymic: bool, link: Linker, scratch: Scratch) -> DataFrame:
     """(mention, tree, year, surname, givens, patronymics, first, middle, score...) with all listed names each mention may spell.
 
@@ -113,28 +107,32 @@ def link_mentions(mentions: DataFrame, person: DataFrame, names: DataFrame, with
     wide = with_slots(few, columns)
     long = scratch.save(wide.select("mention", "tree", "year", F.explode(F.array(*[F.struct(F.lit(k).alias("place"), F.col(f"s{k}.key").alias("key"), F.col(f"s{k}.initial").alias("initial"), F.col(f"s{k}.short").alias("short")) for k in range(len(columns))])).alias("x")).select("mention", "tree", "year", "x.*").filter("key is not null"))
     keys = scratch.save(long.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
-    everywhere = F.lit("").alias("block")
-    variants = keys.select(everywhere, F.col("key").alias("variant"))
+    # the lists of given names and of patronymics are two blocks of one search
     forms = scratch.save(given_forms(parts, names))
-    given = link(variants, forms.select(everywhere, F.col("form").alias("listed")).distinct(), scratch)
-    # a form of several given names stands for each of them
-    given = _options(given.join(forms.withColumnRenamed("form", "listed"), "listed"), "given", "givens")
-    roles = keys.join(given.withColumnsRenamed({"variant": "key", "best": "given_score"}), "key", "left")
+    listed = forms.select(F.lit("G").alias("block"), F.col("form").alias("listed")).distinct()
+    blocks = F.array(F.lit("G"))
     if with_patronymic:
-        listed = parts.filter("patronymic <> ''").select(everywhere, F.col("patronymic").alias("listed")).distinct()
-        patr = _options(link(variants, listed, scratch), "listed", "patrs")
-        roles = roles.join(patr.withColumnsRenamed({"variant": "key", "best": "patr_score"}), "key", "left")
-    else:
-        roles = roles.withColumns({"patrs": F.lit(None).cast("array<struct<name:string,score:double>>"), "patr_score": F.lit(None).cast("double")})
+        listed = listed.unionByName(parts.filter("patronymic <> ''").select(F.lit("P").alias("block"), F.col("patronymic").alias("listed")).distinct())
+        blocks = F.array(F.lit("G"), F.lit("P"))
+    found = scratch.save(link(keys.select(F.explode(blocks).alias("block"), F.col("key").alias("variant")), scratch.save(listed), scratch))
+    # a form of several given names stands for each of them
+    given = found.filter("block = 'G'").join(forms.withColumnRenamed("form", "listed"), "listed").select("variant", F.lit("G").alias("block"), F.col("given").alias("name"), "score")
+    patr = found.filter("block = 'P'").select("variant", "block", F.col("listed").alias("name"), "score")
+    each = given.unionByName(patr).groupBy("variant", "block", "name").agg(F.max("score").alias("score"))
+    options = lambda block: F.nullif(F.sort_array(F.collect_list(F.when(F.col("block") == block, F.struct("name", "score")))), F.array().cast("array<struct<name:string,score:double>>"))
+    best = lambda block: F.max(F.when(F.col("block") == block, F.col("score")))
+    roles = each.groupBy(F.col("variant").alias("key")).agg(options("G").alias("givens"), best("G").alias("given_score"), options("P").alias("patrs"), best("P").alias("patr_score"))
+    roles = keys.join(roles, "key", "left")
     told = counted_join(long, scratch.save(roles), "key", "n")
     # a role goes to the column that fits best, the usual one among equals; what is abbreviated stays where it is
     own = lambda k: F.col("place") == k
     fit_given = F.when(F.col("short") & own(0), 0.5).otherwise(F.coalesce("given_score", F.lit(0.0))) + F.when(own(0), 0.05).otherwise(0.0)
     fit_patr = F.when(F.col("short") & own(2), 0.5).otherwise(F.coalesce("patr_score", F.lit(0.0))) + F.when(own(2), 0.05).otherwise(0.0)
-    row = F.struct("place", "key", "initial", "short", "givens", "given_score", "patrs", "patr_score", fit_given.alias("fg"), fit_patr.alias("fp"))
-    packed = told.groupBy("mention").agg(F.first("tree").alias("tree"), F.first("year").alias("year"), F.sort_array(F.collect_set(row)).alias("slots"))
-    # a repeated mention has the same slots; one whose rows differ is ambiguous and goes
-    packed = packed.filter(F.size("slots") == len(columns))
+    row = F.struct("place", "tree", "year", "key", "initial", "short", "givens", "given_score", "patrs", "patr_score", fit_given.alias("fg"), fit_patr.alias("fp"))
+    packed = told.groupBy("mention").agg(F.sort_array(F.collect_set(row)).alias("slots"))
+    # a repeated mention has the same slots; one whose rows differ, in names, tree or year, is ambiguous and goes
+    first = F.get("slots", F.lit(0))
+    packed = packed.filter(F.size("slots") == len(columns)).withColumns({"tree": first["tree"], "year": first["year"]})
     if with_patronymic:
         packed = packed.withColumn("p", F.array_max(F.transform("slots", lambda s: F.struct(s["fp"].alias("fit"), (-s["fg"]).alias("other"), s["place"].alias("place"))))["place"])
     else:
@@ -156,7 +154,7 @@ def link_mentions(mentions: DataFrame, person: DataFrame, names: DataFrame, with
     )
     surnames = scratch.save(ready.groupBy("at", "tree", "typed").agg(F.count(F.lit(1)).alias("n")))
     listed = parts.filter("surname <> '' and tree is not null").select(F.col("tree").alias("block"), F.col("surname").alias("listed")).distinct()
-    found = link(surnames.select(F.col("tree").alias("block"), F.col("typed").alias("variant")), listed, scratch)
+    found = link(surnames.select(F.col("tree").alias("block"), F.col("typed").alias("variant")), scratch.save(listed), scratch)
     options = found.groupBy("block", "variant").agg(F.collect_list(F.struct(F.col("listed").alias("surname"), F.col("score").alias("surname_score"))).alias("options"))
     per_key = scratch.save(surnames.join(options, [surnames["tree"] == options["block"], surnames["typed"] == options["variant"]]).select("at", "n", "options"))
     return counted_join(ready, per_key, "at", "n", how="inner").select("*", F.explode("options").alias("o")).select("*", "o.*").drop("o", "options", "at"), parts

@@ -67,11 +67,17 @@ def skeleton_column(word: Column) -> Column:
     return w
 
 
+#: Slips that two keys may have in all.
+SLIPS = 2
+#: Letters from which on a key may have two slips of any kind.
+LONG = 8
+
+
 def _slip(a: Column, b: Column) -> Column:
-    away = F.levenshtein(a, b)
+    away = F.levenshtein(a, b, SLIPS)  # -1 beyond
     same_letters = F.array_sort(F.split(a, "")) == F.array_sort(F.split(b, ""))
     longest = F.greatest(F.length(a), F.length(b))
-    return (away <= 1) | ((away == 2) & (same_letters | (longest >= 8)))
+    return away.isin(0, 1) | ((away == SLIPS) & ((longest >= LONG) | same_letters))
 
 
 def written(key: Column) -> Column:

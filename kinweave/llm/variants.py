@@ -1,11 +1,12 @@
 """Variant spellings of names: sparse cosine joins of character n-grams and average linkage.
 
 Distinct spellings are vectors of n-gram weights (tf times idf over the listed names, unit
-length).  A join on (block, n-gram) over the heaviest n-grams of each spelling, which cover
-all but a part too light to reach the threshold, finds the candidates; their cosines are
-exact.  All that pass an exact check of slips go on to average linkage: a listed name and the spellings
-nearest to it are a cluster, and as the average cosine with a cluster's members is the
-product with the sum of their vectors, clusters of any size cost one aggregate.
+length).  A join on (block, n-gram) over the rarest n-grams of both sides, which cover all
+but a part too light to reach the threshold, finds the candidates; their cosines are exact.
+All that pass an exact check of slips go on to average linkage: a listed name and the
+spellings nearest to it are a cluster, and as the average cosine with a cluster's members is
+the product with the sum of their vectors, clusters of any size cost one aggregate.  A
+spelling stays with the clusters whose average is near the best average that it has.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from kinweave.operators.runtime import Scratch
 @dataclass(frozen=True)
 class Rule:
     threshold: float = 0.22  #: least cosine of a spelling and a listed name
-    linkage: float = 0.10  #: least average cosine with the cluster
+    linkage: float = 0.18  #: least average cosine with the cluster; measured averages of spellings that fit one name alone begin at 0.19
     sizes: tuple[int, ...] = (2, 3)
 
 
@@ -39,11 +40,22 @@ def grams(key: Column, sizes: tuple[int, ...]) -> Column:
     return F.array_distinct(F.concat(*map(each, sizes)))
 
 
-def _vectors(keys: DataFrame, name: str, idf: DataFrame, unknown: float, sizes: tuple[int, ...]) -> DataFrame:
-    """(block, name, gram, w) of unit length; an n-gram that no listed name has gets the weight ``unknown``."""
-    long = keys.select("block", name, F.explode(grams(F.col(name), sizes)).alias("gram")).join(idf, "gram", "left").withColumn("raw", F.coalesce("idf", F.lit(unknown)))
-    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(W.partitionBy("block", name)))
-    return long.select("block", name, "gram", (F.col("raw") / norm).alias("w"))
+def _vectors(keys: DataFrame, name: str, idf: DataFrame, unknown: float, rule: Rule) -> DataFrame:
+    """(block, name, vec, head): the vector of each key as a map of unit length, and the n-grams that candidates must share.
+
+    An n-gram that no listed name has gets the weight ``unknown``.  The order from rare to
+    common is the same for all keys, so two keys that reach the threshold share an n-gram
+    of both heads.
+    """
+    long = keys.select("block", name, F.explode(grams(F.col(name), rule.sizes)).alias("gram")).join(idf, "gram", "left")
+    packed = long.groupBy("block", name).agg(F.sort_array(F.collect_list(F.struct((-F.coalesce("idf", F.lit(unknown))).alias("order"), "gram"))).alias("all"))
+    packed = packed.withColumn("norm", F.sqrt(F.aggregate("all", F.lit(0.0), lambda acc, x: acc + x["order"] * x["order"])))
+    # what the n-grams before a place leave of the squared length must reach the threshold for it to be in the head
+    least = F.col("norm") * F.col("norm") * rule.threshold**2
+    start = F.struct((F.col("norm") * F.col("norm")).alias("left"), F.array().cast("array<string>").alias("head"))
+    step = lambda acc, x: F.struct((acc["left"] - x["order"] * x["order"]).alias("left"), F.when(acc["left"] >= least - 1e-9, F.concat(acc["head"], F.array(x["gram"]))).otherwise(acc["head"]).alias("head"))
+    vec = F.map_from_entries(F.transform("all", lambda x: F.struct(x["gram"].alias("key"), (-x["order"] / F.col("norm")).alias("value"))))
+    return packed.select("block", name, vec.alias("vec"), F.aggregate("all", start, step, lambda acc: acc["head"]).alias("head"))
 
 
 def spellings(variants: DataFrame, listed: DataFrame, scratch: Scratch, rule: Rule = Rule()) -> DataFrame:
@@ -53,31 +65,30 @@ def spellings(variants: DataFrame, listed: DataFrame, scratch: Scratch, rule: Ru
     score is the average cosine with the listed key's cluster, of all that an exact check of
     slips lets through.  A variant equal to a listed key spells it, with score 1, and nothing else.
     """
-    same = variants.join(listed, (variants["block"] == listed["block"]) & (variants["variant"] == listed["listed"])).select(variants["block"], "variant", "listed", F.lit(1.0).alias("score"))
-    other = variants.filter("variant <> ''").join(listed.withColumnRenamed("listed", "variant"), ["block", "variant"], "left_anti").distinct()
+    known = listed.select("block", F.col("listed").alias("variant"), F.lit(True).alias("known"))
+    tagged = scratch.save(variants.filter("variant <> ''").join(known, ["block", "variant"], "left"))
+    same = tagged.filter("known").select("block", "variant", F.col("variant").alias("listed"), F.lit(1.0).alias("score"))
+    other = tagged.filter("known is null")
     count = float(listed.count())
-    idf = listed.select(F.explode(grams(F.col("listed"), rule.sizes)).alias("gram")).groupBy("gram").agg(F.log1p(F.lit(count) / F.count(F.lit(1))).alias("idf"))
+    # an n-gram of the alphabets' letters: some ten thousand rows, whatever the number of names
+    idf = scratch.save(listed.select(F.explode(grams(F.col("listed"), rule.sizes)).alias("gram")).groupBy("gram").agg(F.log1p(F.lit(count) / F.count(F.lit(1))).alias("idf")))
     unknown = math.log1p(count)
-    theirs = scratch.save(_vectors(listed, "listed", idf, unknown, rule.sizes))
-    mine = scratch.save(_vectors(other, "variant", idf, unknown, rule.sizes))
-    tail = F.sum(F.col("w") * F.col("w")).over(W.partitionBy("block", "variant").orderBy("w", "gram").rowsBetween(W.unboundedPreceding, 0))
-    head = mine.withColumn("tail", tail).filter(F.col("tail") >= rule.threshold**2).drop("tail", "w")
-    pairs = head.join(theirs.select("block", "gram", "listed"), ["block", "gram"]).select("block", "variant", "listed").distinct()
-    pairs = pairs.filter(near(F.col("variant"), F.col("listed")))
-    pack = lambda df, name, to: df.groupBy("block", name).agg(F.map_from_entries(F.collect_list(F.struct("gram", "w"))).alias(to))
-    dot = F.aggregate(F.map_entries("vm"), F.lit(0.0), lambda acc, e: acc + e["value"] * F.coalesce(F.try_element_at("lm", e["key"]), F.lit(0.0)))
-    scored = pairs.join(pack(mine, "variant", "vm"), ["block", "variant"]).join(pack(theirs, "listed", "lm"), ["block", "listed"])
-    scored = scored.select("block", "variant", "listed", dot.alias("cosine")).filter(F.col("cosine") >= rule.threshold)
+    theirs = scratch.save(_vectors(listed, "listed", idf, unknown, rule).withColumnRenamed("vec", "lm"))
+    mine = scratch.save(_vectors(other, "variant", idf, unknown, rule).withColumnRenamed("vec", "vm"))
+    pairs = mine.select("block", "variant", F.explode("head").alias("gram")).join(theirs.select("block", "listed", F.explode("head").alias("gram")), ["block", "gram"])
+    pairs = pairs.filter(near(F.col("variant"), F.col("listed"))).select("block", "variant", "listed").distinct()
+    dot = lambda x, y: F.aggregate(F.map_entries(x), F.lit(0.0), lambda acc, e: acc + e["value"] * F.coalesce(F.try_element_at(y, e["key"]), F.lit(0.0)))
+    scored = pairs.join(mine.select("block", "variant", "vm"), ["block", "variant"]).join(theirs.select("block", "listed", "lm"), ["block", "listed"])
+    scored = scored.withColumn("cosine", dot("vm", F.col("lm"))).filter(F.col("cosine") >= rule.threshold).drop("lm")
     rank = F.row_number().over(W.partitionBy("block", "variant").orderBy(F.desc("cosine"), "listed"))
-    top = scratch.save(scored.withColumn("rank", rank))
-    members = top.filter("rank = 1").join(mine, ["block", "variant"]).select("block", "listed", "gram", "w").unionByName(theirs.select("block", "listed", "gram", "w"))
-    centre = members.groupBy("block", "listed", "gram").agg(F.sum("w").alias("w")).groupBy("block", "listed").agg(F.map_from_entries(F.collect_list(F.struct("gram", "w"))).alias("lm"))
-    sizes = top.filter("rank = 1").groupBy("block", "listed").agg((F.count(F.lit(1)) + 1).alias("size"))
-    inside = (F.col("rank") == 1).cast("double")
-    linked = (
-        top.join(pack(mine, "variant", "vm"), ["block", "variant"]).join(centre, ["block", "listed"]).join(sizes, ["block", "listed"], "left")
-        .withColumn("score", (dot - inside) / (F.coalesce("size", F.lit(1)) - inside))
-    )
+    top = scratch.save(scored.withColumn("nearest", rank == 1))
+    member = top.filter("nearest").select("block", "listed", F.explode("vm").alias("gram", "w"))
+    centre = member.groupBy("block", "listed", "gram").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("n")).groupBy("block", "listed").agg(F.map_from_entries(F.collect_list(F.struct("gram", "w"))).alias("sum"))
+    sizes = top.filter("nearest").groupBy("block", "listed").agg(F.count(F.lit(1)).alias("members"))
+    inside = F.col("nearest").cast("double")
+    # the listed name and its members, without the spelling itself
+    average = (F.col("cosine") + F.coalesce(dot("vm", F.col("sum")), F.lit(0.0)) - inside) / (1 + F.coalesce("members", F.lit(0)) - inside)
+    linked = top.join(centre.join(sizes, ["block", "listed"]), ["block", "listed"], "left").withColumn("score", average)
     kept = linked.filter(F.col("score") >= rule.linkage).select("block", "variant", "listed", F.least(F.col("score"), F.lit(0.999)).alias("score"))
     return same.unionByName(kept)
 
