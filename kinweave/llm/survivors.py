@@ -190,16 +190,15 @@ def consensus(profile: Profile, parts: int = PARTS) -> list[str]:
 def distance(field: str, value: str | None, agreed: list[str]) -> float:
     """Weight of the consensus columns that a value lacks, leaves short or doubtful, or contradicts."""
     own = tokens(field, value)
-    weight = [EVENT_PARTS[k.split(":")[0]] if field != "name" else 1.0 for k in agreed]
-    far = sum(weight)
+    if field != "name":  # the columns of events bear names
+        have = {k for k, _ in own}
+        return sum(EVENT_PARTS[k.split(":")[0]] for k in agreed if k not in have)
+    if [k for k, _ in own] == agreed:
+        return round(len(own) - sum(vote for _, vote in own), 6)
+    far = float(len(agreed))
     for i, j in align([[k] for k in agreed], [[k] for k, _ in own]):
-        if i < 0 or j < 0:
-            continue
-        key, vote = own[j]
-        if field != "name":
-            far -= weight[i] if key == agreed[i] else 0.0
-        elif vote < FULL or key == agreed[i]:
-            far -= vote
+        if i >= 0 and j >= 0 and (own[j][1] < FULL or own[j][0] == agreed[i]):
+            far -= own[j][1]
     return round(far, 6)
 
 
