@@ -16,6 +16,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -26,6 +27,8 @@ from kinweave.operators.runtime import Scratch
 
 #: Sizes of the blocks that intervals are cut into are the powers of RADIX below RADIX ** SIZES.
 RADIX, SIZES = 16, 4
+#: Tables of rows at rest that are read side by side before they become one.
+PIECES = 3
 SIBLING_BUCKETS = 256
 KEY_BITS = 62
 SEEDS = 4
@@ -69,26 +72,25 @@ def _with_keys(scratch: Scratch, links: DataFrame) -> tuple[DataFrame, str]:
 def _peel(scratch: Scratch, links: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """Roots of the acyclic nodes (v, root), and the cycles' nodes (v) or None.
 
-    Rows whose pointer reached a root rest; they are not written again and never look up
+    Rows whose pointer reached a root rest; they are seldom written again and never look up
     anything, so a root with any number of children is no hot key.
     """
     top = links.filter("p is null").select("v")
     near = links.filter("p is not null").select("v", F.col("p").alias("a")).join(top.select(F.col("v").alias("a"), F.lit(True).alias("top")), "a", "left")
     moved = scratch.save(near.select("v", "a", F.coalesce("top", F.lit(False)).alias("rests")))
-    rest, roots = None, top.select("v", F.col("v").alias("root"))
-    left = None
+    rest, left = [], None
     while True:
-        there = moved.filter("rests").select("v", "a")
-        rest = there if rest is None else rest.unionByName(there)
-        roots = roots.unionByName(there.select("v", F.col("a").alias("root")))
+        rest.append(moved.filter("rests").select("v", "a"))
+        if len(rest) == PIECES:
+            rest = [scratch.save(reduce(DataFrame.unionByName, rest))]
         going = moved.filter("not rests").select("v", "a")
         now = going.select("a").distinct().count()
-        if now == 0:
-            return roots, None
-        if now == left:
-            return roots, going.select(F.col("a").alias("v")).distinct()
+        done = reduce(DataFrame.unionByName, rest)
+        if now in (0, left):
+            roots = top.select("v", F.col("v").alias("root")).unionByName(done.select("v", F.col("a").alias("root")))
+            return roots, going.select(F.col("a").alias("v")).distinct() if now else None
         left = now
-        step = rest.select(F.col("v").alias("a"), F.col("a").alias("b"), F.lit(True).alias("rests")).unionByName(going.select(F.col("v").alias("a"), F.col("a").alias("b"), F.lit(False).alias("rests")))
+        step = done.select(F.col("v").alias("a"), F.col("a").alias("b"), F.lit(True).alias("rests")).unionByName(going.select(F.col("v").alias("a"), F.col("a").alias("b"), F.lit(False).alias("rests")))
         moved = scratch.save(going.join(step, "a").select("v", F.col("b").alias("a"), "rests"))
 
 
