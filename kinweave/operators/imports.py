@@ -15,9 +15,25 @@ PERSON_COLUMNS = ["external_id", "sex", "is_living", "display_name", "surname_no
 EVENT_ATTRIBUTES = ["event_value", "date_raw", "year_from", "year_to"]
 
 
+FAMILY_COLUMNS = ["spouse1_id", "spouse2_id", "marriage_date_raw", "marriage_year", "marriage_place", "notes"]
+EVENT_COLUMNS = ["event_type", "event_value", "date_raw", "date_from", "date_to", "year_from", "year_to", "place_raw", "family_id", "related_id", "is_derived", "notes"]
+#: States in which a batch may be applied.
+APPLYABLE = ["STAGED", "PREVIEWED", "WAITING_FOR_CONFIRMATION"]
+
+
 @dataclass(frozen=True)
 class Snapshot:
-    """One side of an import.  event: tree_id, person_id, event_key, event_type, event_value, date_raw, year_from, year_to, place_raw, related_id, is_derived, family_id."""
+    """One side of an import; columns beyond those named are carried along.
+
+    person: tree_id, person_id and PERSON_COLUMNS.  name: tree_id, person_id, script_code,
+    given, surname, full_name, full_name_normalized, is_primary.  parent: tree_id, parent_id,
+    child_id, relation_type if known.  family: tree_id, family_id and those of FAMILY_COLUMNS
+    that are known.  event: tree_id, person_id, event_key, row_id, place_normalized and those
+    of EVENT_COLUMNS that are known.  place: place_raw.  citation: tree_id, person_id,
+    event_key, source_origin, source_ref.  family_child: tree_id, family_id, child_id.
+    parsed (staged names as parsed): tree_id, person_id, given, surname, full_name_normalized,
+    parser_status, confidence.
+    """
 
     person: DataFrame
     name: DataFrame
@@ -26,6 +42,18 @@ class Snapshot:
     event: DataFrame
     place: DataFrame
     citation: DataFrame
+    family_child: DataFrame | None = None
+    parsed: DataFrame | None = None
+
+
+def _edge_keys(*sides: Snapshot) -> list[str]:
+    """Keys of parent edges; the type of relation is one where both sides know it."""
+    typed = all("relation_type" in x.parent.columns for x in sides)
+    return ["tree_id", "parent_id", "child_id"] + ["relation_type"] * typed
+
+
+def _shared(columns: list[str], *frames: DataFrame) -> list[str]:
+    return [c for c in columns if all(c in f.columns for f in frames)]
 
 
 def _count(entity: str, change: str, df: DataFrame) -> DataFrame:
@@ -61,7 +89,7 @@ def _matches(own: DataFrame, other: DataFrame, staged_first: bool, place: str) -
 def preview(stored: Snapshot, staged: Snapshot) -> DataFrame:
     """(entity, change, rows) of everything that an import would change, changes with rows only."""
     p = ["tree_id", "person_id"]
-    out = [_count("Person", "ADD", staged.person.join(stored.person, p, "left_anti")), _count("Person", "MISSING", stored.person.join(staged.person, p, "left_anti"))]
+    out = [_count("Person", "ADD", staged.person.join(stored.person, p, "left_anti")), _count("Person", "MISSING_FROM_IMPORT", stored.person.join(staged.person, p, "left_anti"))]
     a, b = stored.person.alias("a"), staged.person.alias("b")
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     changed = reduce(lambda x, y: x | y, [text(f"a.{c}") != text(f"b.{c}") for c in ("external_id", "sex", "display_name", "surname_normalized")])
@@ -69,13 +97,16 @@ def preview(stored: Snapshot, staged: Snapshot) -> DataFrame:
     out.append(_count("Person", "UPDATE", a.join(b, p).filter(changed)))
     for entity, keys, x, y in (
         ("PersonName", [*p, "script_code", "full_name_normalized"], stored.name, staged.name),
-        ("ParentOf", ["tree_id", "parent_id", "child_id"], stored.parent, staged.parent),
+        ("ParentOf", _edge_keys(stored, staged), stored.parent, staged.parent),
+        ("FamilyChild", ["tree_id", "family_id", "child_id"], stored.family_child, staged.family_child),
     ):
-        out += [_count(entity, "ADD", y.join(x.select(*keys), keys, "left_anti")), _count(entity, "MISSING", x.join(y.select(*keys), keys, "left_anti"))]
+        if x is None or y is None:
+            continue
+        out += [_count(entity, "ADD", y.join(x.select(*keys), keys, "left_anti")), _count(entity, "MISSING_FROM_IMPORT", x.join(y.select(*keys), keys, "left_anti"))]
     out.append(_count("Place", "ADD", staged.place.select("place_raw").distinct().join(stored.place, "place_raw", "left_anti")))
-    out += [_count("Family", "ADD", staged.family.join(stored.family, ["tree_id", "family_id"], "left_anti")), _count("Family", "MISSING", stored.family.join(staged.family, ["tree_id", "family_id"], "left_anti"))]
+    out += [_count("Family", "ADD", staged.family.join(stored.family, ["tree_id", "family_id"], "left_anti")), _count("Family", "MISSING_FROM_IMPORT", stored.family.join(staged.family, ["tree_id", "family_id"], "left_anti"))]
     fa, fb = stored.family.alias("a"), staged.family.alias("b")
-    wed = (F.coalesce("a.marriage_year", F.lit(-1)) != F.coalesce("b.marriage_year", F.lit(-1))) | (text("a.marriage_place") != text("b.marriage_place"))
+    wed = reduce(lambda x, y: x | y, [F.coalesce(F.col(f"a.{c}").cast("string"), F.lit("")) != F.coalesce(F.col(f"b.{c}").cast("string"), F.lit("")) for c in _shared(FAMILY_COLUMNS, stored.family, staged.family)])
     out.append(_count("Family", "UPDATE", fa.join(fb, ["tree_id", "family_id"]).filter(wed)))
     pair = lambda f: f.select("tree_id", F.least("spouse1_id", "spouse2_id").alias("x"), F.greatest("spouse1_id", "spouse2_id").alias("y"))
     out.append(_count("SpouseOf", "ADD", pair(staged.family).join(pair(stored.family), ["tree_id", "x", "y"], "left_anti")))
@@ -93,7 +124,7 @@ def preview(stored: Snapshot, staged: Snapshot) -> DataFrame:
     known = reduce(DataFrame.unionByName, _matches(new, old, True, "place_id"))
     out.append(_count("Event", "ADD", new.join(known, "row_id", "left_anti")))
     kept = reduce(DataFrame.unionByName, _matches(old, new, False, "place_text"))
-    out.append(_count("Event", "MISSING", old.join(kept, "row_id", "left_anti")))
+    out.append(_count("Event", "MISSING_FROM_IMPORT", old.join(kept, "row_id", "left_anti")))
     cited = staged.citation.join(stored.event.filter("event_key is not null").select("tree_id", "person_id", "event_key").distinct().withColumn("known", F.lit(True)), ["tree_id", "person_id", "event_key"], "left")
     out.append(cited.groupBy(F.when(F.col("known"), "REPLACE").otherwise("ADD").alias("change")).agg(F.count(F.lit(1)).alias("rows")).select(F.lit("EventCitation").alias("entity"), "change", "rows"))
     return reduce(DataFrame.unionByName, out).filter("rows > 0")
@@ -102,9 +133,10 @@ def preview(stored: Snapshot, staged: Snapshot) -> DataFrame:
 def preview_samples(stored: Snapshot, staged: Snapshot, limit: int = 200) -> DataFrame:
     """Up to ``limit`` added or changed persons with old and new values, per tree."""
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
-    a = stored.person.select("tree_id", "person_id", F.col("display_name").alias("old_name"), F.col("sex").alias("old_sex"), F.lit(True).alias("known"))
+    a = stored.person.select("tree_id", "person_id", F.col("display_name").alias("old_name"), *[F.col(c).alias(f"_old_{c}") for c in PERSON_COLUMNS], F.lit(True).alias("known"))
     rows = staged.person.join(a, ["tree_id", "person_id"], "left")
-    change = F.when(F.col("known").isNull(), "ADD").when((text("display_name") != text("old_name")) | (text("sex") != text("old_sex")), "UPDATE")
+    differ = [text(c) != text(f"_old_{c}") for c in PERSON_COLUMNS if c != "is_living"] + [F.coalesce("is_living", F.lit(False)) != F.coalesce("_old_is_living", F.lit(False))]
+    change = F.when(F.col("known").isNull(), "ADD").when(reduce(lambda x, y: x | y, differ), "UPDATE")
     order = W.partitionBy("tree_id").orderBy("change", F.asc_nulls_last("display_name"), "person_id")
     return rows.withColumn("change", change).filter("change is not null").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select("tree_id", "rank", "change", "person_id", "display_name", "old_name")
 
@@ -115,52 +147,86 @@ class Scoring:
     high: float = 0.90
 
 
-def _dec(x: float) -> Column:
-    return F.lit(f"{x:.4f}").cast("decimal(6,4)")
+#: Fixed value: least confidence of a parsed name that takes part in scoring.
+PARSED_WELL = 0.75
 
 
-def duplicate_life(snapshot: Snapshot) -> DataFrame:
-    """Per named person what scoring compares: names, sex, least birth year and place, whether it has parents."""
-    e = snapshot.event.filter(F.col("event_type").isin("BIRT", "CHR"))
-    life = e.groupBy("tree_id", "person_id").agg(F.min(F.coalesce("year_from", "year_to")).alias("birth_year"), F.min("place_raw").alias("birth_place"))
-    covered = snapshot.parent.select("tree_id", F.col("child_id").alias("person_id")).distinct().withColumn("has_parents", F.lit(True))
-    names = snapshot.name.filter("trim(full_name_normalized) <> ''").select("tree_id", "person_id", F.lower(F.trim("full_name_normalized")).alias("full"), F.lower(F.trim("given")).alias("g"), F.lower(F.trim("surname")).alias("s")).distinct()
-    return names.join(snapshot.person.select("tree_id", "person_id", "sex"), ["tree_id", "person_id"]).join(life, ["tree_id", "person_id"], "left").join(covered, ["tree_id", "person_id"], "left").withColumn("has_parents", F.coalesce("has_parents", F.lit(False)))
+def _dec(x: float) -> Column:
+    return F.lit(f"{x:.4f}").cast("decimal(6,4)")
 
 
-def sourced_conflicts(staged: Snapshot, pairs: DataFrame, left: str, right: str) -> DataFrame:
-    """Per pair whether cited births or deaths agree or conflict: left, right, agree, conflict.
+def duplicate_life(snapshot: Snapshot, staged: bool) -> DataFrame:
+    """Per name what scoring compares: names, sex, least birth year and place, number of parents.
 
-    Cited events are aggregated per person and type before the pairs meet them.
+    Of a staged side only names count that were parsed well and are not blank, of the stored side all.
     """
-    cited = staged.citation.select("tree_id", "person_id", "event_key").distinct()
-    e = staged.event.filter(F.col("event_type").isin("BIRT", "CHR", "DEAT") & ~F.col("is_derived") & (F.trim(F.coalesce("date_raw", F.lit(""))) != "")).join(cited, ["tree_id", "person_id", "event_key"], "left_semi")
-    per = e.groupBy("tree_id", "person_id", "event_type").agg(F.min("year_from").alias("first"), F.max("year_to").alias("last"), F.min("date_raw").alias("raw"))
-    x = per.select("tree_id", F.col("person_id").alias(left), "event_type", F.col("first").alias("f1"), F.col("last").alias("l1"), F.col("raw").alias("r1"))
-    y = per.select("tree_id", F.col("person_id").alias(right), "event_type", F.col("first").alias("f2"), F.col("last").alias("l2"), F.col("raw").alias("r2"))
-    both = pairs.select("tree_id", left, right).distinct().join(x, ["tree_id", left]).join(y, ["tree_id", right, "event_type"])
-    agree = F.col("f1").eqNullSafe(F.col("f2")) & F.col("l1").eqNullSafe(F.col("l2"))
-    return both.groupBy("tree_id", left, right).agg(F.max(agree.cast("int")).alias("agree"), F.max((~agree).cast("int")).alias("conflict"))
-
-
-def _scored(pairs: DataFrame) -> DataFrame:
+    e = snapshot.event.filter(F.col("event_type").isin("BIRT", "CHR"))
+    life = e.groupBy("tree_id", "person_id").agg(F.min(F.coalesce("year_from", "year_to")).alias("birth_year"), F.min("place_normalized").alias("birth_place"))
+    covered = snapshot.parent.groupBy("tree_id", F.col("child_id").alias("person_id")).agg(F.countDistinct("parent_id").alias("parents"))
+    names = snapshot.name
+    if staged and snapshot.parsed is not None:
+        names = snapshot.parsed.filter((F.col("parser_status") == "OK") & (F.col("confidence") >= PARSED_WELL))
+    if staged:
+        names = names.filter("full_name_normalized <> ''")
+    names = names.select("tree_id", "person_id", F.col("full_name_normalized").alias("full"), F.col("given").alias("g"), F.col("surname").alias("s")).distinct()
+    joined = names.join(snapshot.person.select("tree_id", "person_id", "sex"), ["tree_id", "person_id"]).join(life, ["tree_id", "person_id"], "left").join(covered, ["tree_id", "person_id"], "left")
+    return joined.withColumn("parents", F.coalesce("parents", F.lit(0)))
+
+
+def sourced_dates(snapshot: Snapshot) -> DataFrame:
+    """Cited births, christenings and deaths by their range of dates or, without one, their text: one row for each."""
+    cited = snapshot.citation.select("tree_id", "person_id", "event_key").distinct()
+    e = snapshot.event.filter(F.col("event_type").isin("BIRT", "CHR", "DEAT") & ~F.col("is_derived") & (F.trim(F.coalesce("date_raw", F.lit(""))) != "")).join(cited, ["tree_id", "person_id", "event_key"], "left_semi")
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    known = F.when(F.col("date_from").isNotNull() | F.col("date_to").isNotNull(), F.concat(text("date_from"), F.lit("|"), text("date_to")))
+    return e.groupBy("tree_id", "person_id", "event_type", known.alias("range"), F.lower(F.trim("date_raw")).alias("raw")).agg(F.min("date_raw").alias("date_raw"))
+
+
+def sourced_evidence(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """Per pair (tree_id, id1, id2) with cited dates of one type on both sides: agree, conflict and a text for either.
+
+    Each cited date of one person meets each of the other: two ranges agree or conflict, two
+    texts without ranges do; equal texts agree in any case.
+    """
+    x = left.select("tree_id", F.col("person_id").alias("id1"), "event_type", F.col("range").alias("k1"), F.col("raw").alias("t1"), F.col("date_raw").alias("d1"))
+    y = right.select("tree_id", F.col("person_id").alias("id2"), "event_type", F.col("range").alias("k2"), F.col("raw").alias("t2"), F.col("date_raw").alias("d2"))
+    both = pairs.select("tree_id", "id1", "id2").distinct().join(x, ["tree_id", "id1"]).join(y, ["tree_id", "id2", "event_type"])
+    ranges, open_ = F.col("k1").isNotNull() & F.col("k2").isNotNull(), F.col("k1").isNull() & F.col("k2").isNull()
+    conflict = (ranges & (F.col("k1") != F.col("k2"))) | (open_ & (F.col("t1") != F.col("t2")))
+    same_range, same_text = ranges & (F.col("k1") == F.col("k2")), F.col("t1") == F.col("t2")
+    say = lambda *parts: F.concat(F.lit("source-backed "), F.col("event_type"), *parts)
+    against = F.when(conflict, say(F.lit(" dates differ: "), F.col("d1"), F.lit(" vs "), F.col("d2")))
+    pro = F.when(same_range, say(F.lit(" date range matches: "), F.col("d1"))).when(same_text, say(F.lit(" date matches exactly: "), F.col("d1")))
+    return both.groupBy("tree_id", "id1", "id2").agg(
+        F.max((same_range | same_text).cast("int")).alias("agree"), F.max(conflict.cast("int")).alias("conflict"), F.min(pro).alias("agree_text"), F.min(against).alias("conflict_text")
+    )
+
+
+def _scored(pairs: DataFrame, within: bool) -> DataFrame:
     apart = F.abs(F.col("birth_year") - F.col("birth_year2"))
     same_place = F.col("birth_place") == F.col("birth_place2")
     name = F.when(F.col("full") == F.col("full2"), _dec(1)).otherwise(_dec(0.82))
     date = F.when(apart.isNull(), _dec(0.5)).when(apart <= 1, _dec(1)).when(apart <= 5, _dec(0.75)).otherwise(_dec(0))
     place = F.when(same_place.isNull(), _dec(0.5)).when(same_place, _dec(1)).otherwise(_dec(0.25))
     against = F.when(F.col("sex") != F.col("sex2"), _dec(0.35)).otherwise(_dec(0)) + F.when(apart > 10, _dec(0.35)).otherwise(_dec(0)) + F.when(F.col("conflict") == 1, _dec(1)).otherwise(_dec(0))
+    versus = lambda text, a, b: F.concat(F.lit(text), F.col(a).cast("string"), F.lit(" vs "), F.col(b).cast("string"))
+    # fixed values: the wording of the evidence
+    alike = "same normalized given/surname: " if within else "same given/surname: "
+    orphans = ("left person has no staged parents", "right person has no staged parents") if within else ("staged person has no staged parents", "existing person has no tree parents")
     evidence = F.concat_ws(
-        "; ", F.when(F.col("full") == F.col("full2"), F.concat(F.lit("exact normalized full name: "), "full")).otherwise(F.concat(F.lit("same normalized given/surname: "), "g", F.lit(" "), "s")),
-        F.when(apart <= 5, F.concat(F.lit("birth years compatible: "), F.col("birth_year").cast("string"), F.lit(" vs "), F.col("birth_year2").cast("string"))),
-        F.when(same_place, F.concat(F.lit("birth place matches: "), "birth_place")),
+        "; ", F.when(F.col("full") == F.col("full2"), F.concat(F.lit("exact normalized full name: "), "full")),
+        F.when(F.col("full") != F.col("full2"), F.concat(F.lit(alike), F.coalesce("g", F.lit("")), F.lit(" "), F.coalesce("s", F.lit("")))),
+        F.when(apart <= 5, versus("birth years compatible: ", "birth_year", "birth_year2")), F.when(same_place, F.concat(F.lit("birth place matches: "), "birth_place")),
+        F.when(F.col("parents") == 0, orphans[0]), F.when(F.col("parents2") == 0, orphans[1]), "agree_text",
     )
     against_text = F.concat_ws(
-        "; ", F.when(F.col("sex") != F.col("sex2"), F.concat(F.lit("sex differs: "), "sex", F.lit(" vs "), "sex2")),
-        F.when(apart > 10, F.concat(F.lit("birth years differ: "), F.col("birth_year").cast("string"), F.lit(" vs "), F.col("birth_year2").cast("string"))),
-        F.when(~same_place, F.concat(F.lit("birth places differ: "), "birth_place", F.lit(" vs "), "birth_place2")),
+        "; ", F.when(F.col("sex") != F.col("sex2"), versus("sex differs: ", "sex", "sex2")), F.when(apart > 10, versus("birth years differ: ", "birth_year", "birth_year2")),
+        F.when(~same_place, versus("birth places differ: ", "birth_place", "birth_place2")), "conflict_text",
     )
-    df = pairs.withColumns({"name_score": name, "date_score": date, "place_score": place, "negative_score": against.cast("decimal(6,4)"), "evidence_for": evidence, "evidence_against": F.nullif(against_text, F.lit(""))})
+    df = pairs.withColumns({
+        "name_score": name, "date_score": date, "place_score": place, "family_score": _dec(0), "event_score": F.when(F.col("agree") == 1, _dec(1)).otherwise(_dec(0)),
+        "negative_score": against.cast("decimal(6,4)"), "evidence_for": F.nullif(evidence, F.lit("")), "evidence_against": F.nullif(against_text, F.lit("")),
+    })
     total = F.lit("0.75").cast("decimal(3,2)") * F.col("name_score") + F.lit("0.15").cast("decimal(3,2)") * F.col("date_score") + F.lit("0.10").cast("decimal(3,2)") * F.col("place_score") - F.col("negative_score")
     return df.withColumn("score", F.greatest(F.lit(0), F.least(F.lit(1), total)).cast("decimal(6,4)"))
 
@@ -169,30 +235,48 @@ def duplicates(staged: Snapshot, stored: Snapshot | None = None, scoring: Scorin
     """Scored duplicate candidates within an import, or of an import against the stored tree.
 
     Names match in full, or in given name and surname; at least one side has no parents;
-    cited dates that conflict weigh against.  One row per pair, the best of its names.
+    cited dates that conflict weigh against, on either side.  One row per pair, the best of its names.
     """
-    a = duplicate_life(staged).withColumnRenamed("person_id", "id1")
-    b = duplicate_life(stored if stored is not None else staged)
+    within = stored is None
+    a = duplicate_life(staged, True).withColumnRenamed("person_id", "id1")
+    b = duplicate_life(staged if within else stored, within)
     b = b.toDF(*[c if c == "tree_id" else ("id2" if c == "person_id" else f"{c}2") for c in b.columns]).withColumnRenamed("tree_id", "tree_id2")
     strong = a.filter("g <> '' and s <> ''")
-    apart = (F.col("id1") < F.col("id2")) if stored is None else (F.col("id1") != F.col("id2"))
-    pairs = or_equi_join(a, b, [[("tree_id", "tree_id2"), ("full", "full2")]], ["tree_id", "id1", "id2", "full", "full2"])
-    more = or_equi_join(strong, b, [[("tree_id", "tree_id2"), ("g", "g2"), ("s", "s2")]], ["tree_id", "id1", "id2", "full", "full2"])
-    pairs = pairs.unionByName(more).dropDuplicates(["tree_id", "id1", "id2", "full", "full2"]).filter(apart & ~(F.col("has_parents") & F.col("has_parents2")))
-    if stored is None:
-        pairs = pairs.join(sourced_conflicts(staged, pairs, "id1", "id2"), ["tree_id", "id1", "id2"], "left")
-    else:
-        pairs = pairs.withColumns({"agree": F.lit(0), "conflict": F.lit(0)})
-    best = F.row_number().over(W.partitionBy("tree_id", "id1", "id2").orderBy(F.desc("score"), F.desc("name_score"), F.desc("date_score"), F.desc("place_score"), "full", "full2"))
+    apart = (F.col("id1") < F.col("id2")) if within else (F.col("id1") != F.col("id2"))
+    keys = ["tree_id", "id1", "id2", "full", "full2", "g", "s", "g2", "s2"]
+    pairs = or_equi_join(a, b, [[("tree_id", "tree_id2"), ("full", "full2")]], keys)
+    more = or_equi_join(strong, b, [[("tree_id", "tree_id2"), ("g", "g2"), ("s", "s2")]], keys)
+    pairs = pairs.unionByName(more).dropDuplicates(keys).filter(apart & ((F.col("parents") == 0) | (F.col("parents2") == 0)))
+    cited = sourced_dates(staged)
+    pairs = pairs.join(sourced_evidence(pairs, cited, cited if within else sourced_dates(stored)), ["tree_id", "id1", "id2"], "left")
+    best = F.row_number().over(W.partitionBy("tree_id", "id1", "id2").orderBy(F.desc("score"), F.desc("name_score"), F.desc("date_score"), F.desc("place_score"), "full", "full2", "g", "s", "g2", "s2"))
     action = F.when(F.col("score") >= scoring.high, "review_high_confidence").otherwise("review")
-    rows = _scored(pairs).filter(F.col("score") >= _dec(scoring.least)).withColumn("rn", best).filter("rn = 1")
-    return rows.select("tree_id", "id1", "id2", "score", "name_score", "date_score", "place_score", "negative_score", "evidence_for", "evidence_against", action.alias("recommended_action"))
+    rows = _scored(pairs, within).filter(F.col("score") >= _dec(scoring.least)).withColumn("rn", best).filter("rn = 1")
+    return rows.select(
+        "tree_id", "id1", "id2", "score", "name_score", "date_score", "place_score", "family_score", "event_score", "negative_score", "evidence_for", "evidence_against", action.alias("recommended_action")
+    )
+
+
+#: What identifies a proposal: batch, scope, the first imported person, and the second or the existing one.
+IDENTITY = ["import_batch_id", "candidate_scope", "import_tree_person_id1", "import_tree_person_id2", "existing_tree_person_id"]
 
 
 def suppress_rejected(candidates: DataFrame, decided: DataFrame) -> DataFrame:
-    """Candidates that were not rejected before (id1, id2 in either table may be null)."""
-    rejected = decided.filter("status = 'rejected'").select("id1", "id2").distinct()
-    return candidates.join(rejected, candidates["id1"].eqNullSafe(rejected["id1"]) & candidates["id2"].eqNullSafe(rejected["id2"]), "left_anti")
+    """Candidates whose identity was not rejected before; ids in either letter case, null being a value except for the first person."""
+    key = lambda c: F.coalesce(F.lower(F.trim(c)), F.lit(""))
+    names = [f"_k{n}" for n in range(len(IDENTITY))]
+    rejected = decided.filter("status = 'rejected' and import_tree_person_id1 is not null").select(*[key(c).alias(n) for c, n in zip(IDENTITY, names)]).distinct()
+    return candidates.withColumns({n: key(c) for c, n in zip(IDENTITY, names)}).join(rejected, names, "left_anti").drop(*names)
+
+
+def regenerate(decided: DataFrame, fresh: DataFrame) -> DataFrame:
+    """The stored candidates after new ones were found for the batches of ``fresh``.
+
+    Open and stale rows of these batches go, decided ones stay, and what was rejected is not proposed again.
+    """
+    batches = fresh.select("import_batch_id").distinct().withColumn("_again", F.lit(True))
+    kept = decided.join(batches, "import_batch_id", "left").filter("_again is null or status not in ('suggested', 'stale')").drop("_again")
+    return kept.unionByName(suppress_rejected(fresh, decided).withColumn("status", F.lit("suggested")), allowMissingColumns=True)
 
 
 def candidate_summary(candidates: DataFrame) -> DataFrame:
@@ -217,12 +301,38 @@ def candidate_events(candidates: DataFrame) -> DataFrame:
     return once.select("duplicate_candidate_id", F.posexplode("events").alias("position", "e")).select("duplicate_candidate_id", "position", "e.*").filter(F.col("event_type").isin("BIRT", "CHR", "DEAT", "MARR"))
 
 
-def readiness(batches: DataFrame, candidates: DataFrame, high: float = 0.90) -> DataFrame:
-    """Gates of every batch: open high-confidence duplicates block, persons out of scope warn."""
-    open_high = candidates.filter((F.col("status") == "suggested") & (F.col("score") >= high)).dropDuplicates(["duplicate_candidate_id"]).groupBy("import_batch_id").agg(F.count(F.lit(1)).alias("n"))
-    first = batches.join(open_high, "import_batch_id", "left").select("import_batch_id", F.lit("high_confidence_duplicates").alias("gate"), F.lit("blocker").alias("severity"), F.coalesce("n", F.lit(0)).cast("bigint").alias("issues"))
-    second = batches.select("import_batch_id", F.lit("scope_invalid").alias("gate"), F.lit("warning").alias("severity"), F.coalesce("scope_invalid_count", F.lit(0)).cast("bigint").alias("issues"))
-    return first.unionByName(second).withColumn("passed", F.col("issues") == 0)
+def readiness(batches: DataFrame, candidates: DataFrame, names: DataFrame | None = None, warnings: DataFrame | None = None, high: float = 0.90) -> DataFrame:
+    """The four gates of every batch, with severity ``pass`` where nothing is amiss.
+
+    Open high-confidence duplicates block; names that were not parsed well (``names``:
+    import_batch_id, parser_status), date warnings (``warnings``: import_batch_id) and persons
+    out of scope warn.  A gate without its input has no issues.
+    """
+    per = lambda df: df.groupBy("import_batch_id").agg(F.count(F.lit(1)).alias("n"))
+    open_high = per(candidates.filter((F.col("status") == "suggested") & (F.col("score") >= high)).dropDuplicates(["duplicate_candidate_id"]))
+    none = open_high.limit(0)
+    gates = [
+        ("high_confidence_duplicates", "blocker", open_high), ("name_parsing_issues", "warning", none if names is None else per(names.filter("parser_status <> 'OK'"))),
+        ("date_warnings", "warning", none if warnings is None else per(warnings)), ("scope_invalid", "warning", batches.select("import_batch_id", F.col("scope_invalid_count").cast("bigint").alias("n"))),
+    ]
+    counts = reduce(DataFrame.unionByName, [df.select("import_batch_id", F.lit(gate).alias("gate"), "n") for gate, _, df in gates])
+    wanted = F.explode(F.array(*[F.struct(F.lit(g).alias("gate"), F.lit(s).alias("bad")) for g, s, _ in gates])).alias("x")
+    rows = batches.select("import_batch_id", wanted).select("import_batch_id", "x.*").join(counts, ["import_batch_id", "gate"], "left").withColumn("issues", F.coalesce("n", F.lit(0)).cast("bigint"))
+    return rows.select("import_batch_id", "gate", F.when(F.col("issues") > 0, F.col("bad")).otherwise("pass").alias("severity"), "issues", (F.col("issues") == 0).alias("passed"))
+
+
+def readiness_report(batches: DataFrame, candidates: DataFrame, names: DataFrame | None = None, warnings: DataFrame | None = None) -> DataFrame:
+    """Per batch: whether it may be applied without review, that it must be confirmed, open duplicates, and its state after the report.
+
+    A batch that waits for nothing else than its confirmation becomes WAITING_FOR_CONFIRMATION; decided ones keep their state.
+    """
+    gates = readiness(batches, candidates, names, warnings).groupBy("import_batch_id").agg(
+        (F.sum(F.when(F.col("severity") == "blocker", F.col("issues")).otherwise(0)) == 0).alias("can_apply_without_review"), F.sum(F.when(F.col("severity") != "pass", 1).otherwise(0)).alias("failed_gates")
+    )
+    open_ = candidates.filter("status = 'suggested'").dropDuplicates(["duplicate_candidate_id"]).groupBy("import_batch_id").agg(F.count(F.lit(1)).alias("duplicates"))
+    rows = batches.select("import_batch_id", "status").join(gates, "import_batch_id").join(open_, "import_batch_id", "left")
+    status = F.when(F.col("status").isin("STAGED", "PREVIEWED"), "WAITING_FOR_CONFIRMATION").otherwise(F.col("status"))
+    return rows.select("import_batch_id", "can_apply_without_review", F.lit(True).alias("requires_explicit_confirmation"), "failed_gates", F.coalesce("duplicates", F.lit(0)).cast("bigint").alias("duplicates"), status.alias("status"))
 
 
 def pending(batches: DataFrame, candidates: DataFrame, limit: int = 50) -> DataFrame:
@@ -240,47 +350,151 @@ def cancel(batches: DataFrame, batch_ids: DataFrame, reason: str) -> DataFrame:
     return hit.withColumns({"notes": F.when(now, F.concat_ws("\n", "notes", F.lit(reason))).otherwise(F.col("notes")), "status": F.when(now, "CANCELLED").otherwise(F.col("status"))}).drop("hit")
 
 
+class Refused(ValueError):
+    """An import that must not be applied as asked."""
+
+
+def _missing(stored: Snapshot, staged: Snapshot) -> tuple[DataFrame, DataFrame]:
+    """Stored persons that the import of their tree lacks, and families that it lacks or that lose a spouse."""
+    trees = staged.person.select("tree_id").distinct()
+    person = stored.person.join(trees, "tree_id", "left_semi").join(staged.person, ["tree_id", "person_id"], "left_anti").select("tree_id", "person_id")
+    own = stored.family.join(trees, "tree_id", "left_semi")
+    lone = own.join(staged.family, ["tree_id", "family_id"], "left_anti").select("tree_id", "family_id")
+    parted = [own.join(person.withColumnRenamed("person_id", c), ["tree_id", c], "left_semi").select("tree_id", "family_id") for c in ("spouse1_id", "spouse2_id")]
+    return person, reduce(DataFrame.unionByName, [lone, *parted]).distinct()
+
+
+def _without_missing(stored: Snapshot, staged: Snapshot) -> tuple[Snapshot, list[DataFrame]]:
+    """The stored side without what the import lacks and all that refers to it, and the numbers of what went."""
+    person, family = _missing(stored, staged)
+    counts = []
+
+    def cut(entity: str, df: DataFrame, *by: tuple[DataFrame, str, str]) -> DataFrame:
+        """Rows of ``df`` whose ``column`` names nothing that is gone; null names nothing."""
+        kept = df
+        for gone, key, column in by:
+            kept = kept.join(gone.select("tree_id", F.col(key).alias(column)), ["tree_id", column], "left_anti")
+        both = df.agg(F.count(F.lit(1)).alias("n")).unionByName(kept.agg((-F.count(F.lit(1))).alias("n")))
+        counts.append(both.agg(F.sum("n").alias("rows")).select(F.lit(entity).alias("entity"), F.lit("DELETE").alias("change"), "rows"))
+        return kept.select(df.columns)
+
+    p = lambda column: (person, "person_id", column)
+    f = (family, "family_id", "family_id")
+    event = cut("Event", stored.event, p("person_id"), p("related_id"), f)
+    children = None if stored.family_child is None else cut("FamilyChild", stored.family_child, f, p("child_id"))
+    citation = stored.citation.join(event.select("tree_id", "person_id", "event_key"), ["tree_id", "person_id", "event_key"], "left_semi")
+    rest = Snapshot(
+        cut("Person", stored.person, p("person_id")), cut("PersonName", stored.name, p("person_id")), cut("ParentOf", stored.parent, p("parent_id"), p("child_id")),
+        cut("Family", stored.family, f), event, stored.place, citation, children,
+    )
+    return rest, counts
+
+
+def _events(event: DataFrame, staged: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Stored events with those of equal key updated and all others added."""
+    keys = ["tree_id", "person_id", "event_key"]
+    columns = _shared(EVENT_COLUMNS, event, staged)
+    carried = [c for c in event.columns if c not in keys and c not in columns]
+    # several staged events with one key update it as the first of them
+    first = staged.filter("event_key is not null").groupBy(*keys).agg(F.min(F.struct("row_id", *columns)).alias("m")).select(*keys, F.lit(True).alias("_in"), *[F.col(f"m.{c}").alias(f"_new_{c}") for c in columns])
+    both = event.join(first, keys, "left")
+    changed = F.col("_in").isNotNull() & reduce(lambda x, y: x | y, [~F.col(c).eqNullSafe(F.col(f"_new_{c}")) for c in columns])
+    marked = both.withColumn("_changed", changed)
+    updated = marked.select(*keys, *[F.when(F.col("_changed"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) for c in columns], *carried)
+    # a left anti join keeps events without key, which are always new
+    added = staged.join(event.select(*keys), keys, "left_anti").select(*keys, *columns, *[F.col(c) if c in staged.columns else F.lit(None).cast(event.schema[c].dataType).alias(c) for c in carried])
+    return updated.unionByName(added).select(event.columns), [_count("Event", "UPDATE", marked.filter("_changed")), _count("Event", "ADD", added)]
+
+
 def apply_import(stored: Snapshot, staged: Snapshot, delete_missing: bool = False) -> tuple[Snapshot, DataFrame]:
     """The snapshot after an import, and the (entity, change, rows) it made.
 
-    Persons, families and keyed events are updated or added, names, places and parent edges
-    only added; references to persons that neither side knows are dropped.  With
-    ``delete_missing`` persons that the import lacks go first, with all that refers to them.
+    Persons, families and keyed events are updated or added, names, places, children and
+    parent edges only added; the cited sources of staged events replace those of an earlier
+    import.  References to persons, families and places that neither side knows become
+    null, and rows that cannot be without them are left out.  With ``delete_missing`` persons
+    and families that the import lacks go first, with all that refers to them, in the trees
+    that it covers.  All columns of the stored side are kept, so the result can be applied to.
     """
     p, counts = ["tree_id", "person_id"], []
-    person, name, parent, family, event, citation = stored.person, stored.name, stored.parent, stored.family, stored.event, stored.citation
     if delete_missing:
-        keep = staged.person.select(*p)
-        gone = person.join(keep, p, "left_anti").select(*p)
-        counts.append(_count("Person", "DELETE", gone))
-        kept = lambda df, c: df.join(gone.withColumnRenamed("person_id", c), ["tree_id", c], "left_anti")
-        person, name, event = kept(person, "person_id"), kept(name, "person_id"), kept(event, "person_id")
-        parent, family = kept(kept(parent, "parent_id"), "child_id"), kept(kept(family, "spouse1_id"), "spouse2_id")
-    merged, made = merge_snapshot(person, staged.person, p, PERSON_COLUMNS)
+        stored, counts = _without_missing(stored, staged)
+    person, made = merge_snapshot(stored.person, staged.person, p, _shared(PERSON_COLUMNS, stored.person, staged.person))
     counts.append(made.select(F.lit("Person").alias("entity"), "change", "rows"))
-    known = merged.select(*p)
-    exists = lambda df, c: df.join(known.withColumnRenamed("person_id", c), ["tree_id", c], "left_semi")
-    new_place = staged.place.select("place_raw").distinct().join(stored.place.select("place_raw"), "place_raw", "left_anti")
+    known = person.select(*p)
+    exists = lambda df, c: df.join(known.withColumnRenamed("person_id", c), ["tree_id", c], "left_semi").select(df.columns)
+    new_place = staged.place.select("place_raw").filter("place_raw is not null").distinct().join(stored.place.select("place_raw"), "place_raw", "left_anti")
     counts.append(_count("Place", "ADD", new_place))
     top = stored.place.agg(F.max("place_id")).first()[0] or 0
     # surrogate numbers need not be consecutive: a hash above the greatest one, stable over retries of a task
     numbered = new_place.select((F.lit(top) + 1 + F.pmod(F.xxhash64("place_raw"), F.lit(1 << 60))).alias("place_id"), "place_raw")
-    place = stored.place.select("place_id", "place_raw").unionByName(numbered)
-    name2, added = insert_missing(name.select(*p, "script_code", "full_name_normalized", "full_name", "given", "surname"), exists(staged.name, "person_id").select(*p, "script_code", "full_name_normalized", "full_name", "given", "surname"), [*p, "script_code", "full_name_normalized"])
+    place = stored.place.unionByName(numbered, allowMissingColumns=True)
+    named = stored.name.filter("is_primary").select(*p).distinct().withColumn("_has", F.lit(True)) if "is_primary" in stored.name.columns else None
+    names = exists(staged.name, "person_id")
+    if named is not None and "is_primary" in names.columns:
+        names = names.join(named, p, "left").withColumn("is_primary", F.col("is_primary") & F.col("_has").isNull()).drop("_has")
+    name, added = insert_missing(stored.name, names, [*p, "script_code", "full_name_normalized"])
     counts.append(_count("PersonName", "ADD", added))
     whole = exists(exists(staged.family, "spouse1_id"), "spouse2_id")
-    columns = ["spouse1_id", "spouse2_id", "marriage_year", "marriage_place"]
-    family2, made = merge_snapshot(family, whole, ["tree_id", "family_id"], columns)
+    family, made = merge_snapshot(stored.family, whole, ["tree_id", "family_id"], _shared(FAMILY_COLUMNS, stored.family, staged.family))
     counts.append(made.select(F.lit("Family").alias("entity"), "change", "rows"))
-    parent2, added = insert_missing(parent.select("tree_id", "parent_id", "child_id"), exists(exists(staged.parent, "parent_id"), "child_id").select("tree_id", "parent_id", "child_id"), ["tree_id", "parent_id", "child_id"])
+    children = stored.family_child
+    if children is not None and staged.family_child is not None:
+        theirs = exists(staged.family_child, "child_id").join(family.select("tree_id", "family_id"), ["tree_id", "family_id"], "left_semi")
+        children, added = insert_missing(children, theirs, ["tree_id", "family_id", "child_id"])
+        counts.append(_count("FamilyChild", "ADD", added))
+    parent, added = insert_missing(stored.parent, exists(exists(staged.parent, "parent_id"), "child_id"), _edge_keys(stored, staged))
     counts.append(_count("ParentOf", "ADD", added))
-    keyed = exists(staged.event.filter("event_key is not null"), "person_id")
-    ecols = ["event_type", *EVENT_ATTRIBUTES, "place_raw", "is_derived"]
-    one = lambda df: df.groupBy(*p, "event_key").agg(F.min(F.struct("row_id", *ecols)).alias("m")).select(*p, "event_key", "m.row_id", *[f"m.{c}" for c in ecols])
-    old_keyed = one(event.filter("event_key is not null"))
-    event2, made = merge_snapshot(old_keyed, one(keyed), [*p, "event_key"], ecols)
-    counts.append(made.select(F.lit("Event").alias("entity"), "change", "rows"))
-    event3 = event2.unionByName(event.filter("event_key is null").select(*p, "event_key", *ecols))
-    counts.append(_count("EventCitation", "REPLACE", staged.citation.join(event2.select(*p, "event_key"), [*p, "event_key"], "left_semi")))
-    result = Snapshot(merged, name2, parent2, family2, event3, place, citation)
+    events = exists(staged.event, "person_id")
+    for table, key, column in ((known, "person_id", "related_id"), (family, "family_id", "family_id")):
+        target = table.select("tree_id", F.col(key).alias(column)).distinct().withColumn("_known", F.lit(True))
+        events = events.join(target, ["tree_id", column], "left").withColumn(column, F.when(F.col("_known"), F.col(column))).drop("_known")
+    at = place.select("place_raw").distinct().withColumn("_known", F.lit(True))
+    events = events.join(at, "place_raw", "left").withColumn("place_raw", F.when(F.col("_known"), F.col("place_raw"))).drop("_known")
+    event, made = _events(stored.event, events)
+    counts += made
+    e = [*p, "event_key"]
+    again = events.select(*e).filter("event_key is not null").distinct()
+    fresh = staged.citation.join(event.select(*e).distinct(), e, "left_semi").withColumn("source_origin", F.lit(GEDCOM))
+    old = stored.citation.join(again.withColumn("_again", F.lit(True)), e, "left").filter((F.col("_again").isNull()) | (F.coalesce("source_origin", F.lit("")) != GEDCOM)).drop("_again")
+    counts.append(_count("EventCitation", "REPLACE", fresh))
+    citation = old.unionByName(fresh, allowMissingColumns=True).select(stored.citation.columns)
+    result = Snapshot(person, name, parent, family, event, place, citation, children)
     return result, reduce(DataFrame.unionByName, counts).filter("rows > 0")
+
+
+#: Fixed value: the origin of citations that imports own.
+GEDCOM = "GEDCOM"
+
+
+@dataclass(frozen=True)
+class Applied:
+    snapshot: Snapshot
+    changes: DataFrame
+    trees: DataFrame
+    batches: DataFrame
+
+
+def apply_batch(stored: Snapshot, staged: Snapshot, batches: DataFrame, trees: DataFrame, batch_id: str, delete_missing: bool = False) -> Applied:
+    """Applies the batch of one tree if it exists and waits, and marks it APPLIED; the tree's root becomes the batch's if that person exists.
+
+    Deleting what is missing is refused where the batch's root person is missing itself.
+    ``trees``: tree_id, root_person_id.  A root that is deleted becomes null.
+    """
+    own = batches.filter(F.col("import_batch_id") == batch_id).limit(1).collect()
+    if not own:
+        raise Refused(f"no import batch {batch_id!r}")
+    tree, root, status = own[0]["tree_id"], own[0]["root_person_id"], own[0]["status"]
+    if status not in APPLYABLE:
+        raise Refused(f"import batch {batch_id!r} is {status}")
+    if delete_missing and root is not None and staged.person.filter((F.col("tree_id") == tree) & (F.col("person_id") == root)).isEmpty():
+        raise Refused(f"root person {root!r} is missing from the import")
+    snapshot, changes = apply_import(stored, staged, delete_missing)
+    alive = snapshot.person.select("tree_id", F.col("person_id").alias("root_person_id"), F.lit(True).alias("_alive"))
+    kept = trees.join(alive, ["tree_id", "root_person_id"], "left").withColumn("root_person_id", F.when(F.col("_alive") | (F.col("tree_id") != tree), F.col("root_person_id"))).drop("_alive")
+    if root is not None and not snapshot.person.filter((F.col("tree_id") == tree) & (F.col("person_id") == root)).isEmpty():
+        kept = kept.withColumn("root_person_id", F.when(F.col("tree_id") == tree, F.lit(root)).otherwise(F.col("root_person_id")))
+    done = batches.withColumn("status", F.when(F.col("import_batch_id") == batch_id, "APPLIED").otherwise(F.col("status")))
+    if "applied_at" in done.columns:
+        done = done.withColumn("applied_at", F.when(F.col("import_batch_id") == batch_id, F.current_timestamp().cast(done.schema["applied_at"].dataType)).otherwise(F.col("applied_at")))
+    return Applied(snapshot, changes, kept.select(trees.columns), done)

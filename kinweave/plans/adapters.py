@@ -40,9 +40,9 @@ def workspace(spark: SparkSession, d: str) -> Workspace:
     edge = exported.unionByName(born).filter("parent_id is not null and child_id is not null and parent_id <> child_id").distinct()
     edge = edge.join(known.withColumnRenamed("person_id", "parent_id"), ["tree_id", "parent_id"], "left_semi").join(known.withColumnRenamed("person_id", "child_id"), ["tree_id", "child_id"], "left_semi")
     wed = raw.filter("event_type = 'MARR' and related_id is not null and related_id <> person_id").select(
-        "tree_id", F.least("person_id", "related_id").alias("spouse1_id"), F.greatest("person_id", "related_id").alias("spouse2_id"), "year_from", "place_raw"
+        "tree_id", F.least("person_id", "related_id").alias("spouse1_id"), F.greatest("person_id", "related_id").alias("spouse2_id"), "date_raw", "year_from", "place_raw"
     )
-    family = wed.groupBy("tree_id", "spouse1_id", "spouse2_id").agg(F.min("year_from").alias("marriage_year"), F.min("place_raw").alias("marriage_place"))
+    family = wed.groupBy("tree_id", "spouse1_id", "spouse2_id").agg(F.min("date_raw").alias("marriage_date_raw"), F.min("year_from").alias("marriage_year"), F.min("place_raw").alias("marriage_place"))
     family = family.join(known.withColumnRenamed("person_id", "spouse1_id"), ["tree_id", "spouse1_id"], "left_semi").join(known.withColumnRenamed("person_id", "spouse2_id"), ["tree_id", "spouse2_id"], "left_semi")
     family = family.withColumn("family_id", F.concat_ws("+", "spouse1_id", "spouse2_id"))
     batch = table(spark, d, "gedcom_import_batch")
@@ -67,7 +67,7 @@ person_v AS (
   ) e JOIN person_v a ON a.tree_id = e.tree_id AND a.person_id = e.parent_id JOIN person_v b ON b.tree_id = e.tree_id AND b.person_id = e.child_id WHERE parent_id <> child_id
 ), family_v AS (
   SELECT f.*, spouse1_id || '+' || spouse2_id AS family_id FROM (
-    SELECT tree_id, least(person_id, related_id) AS spouse1_id, greatest(person_id, related_id) AS spouse2_id, min(year_from) AS marriage_year, min(place_raw) AS marriage_place
+    SELECT tree_id, least(person_id, related_id) AS spouse1_id, greatest(person_id, related_id) AS spouse2_id, min(date_raw) AS marriage_date_raw, min(year_from) AS marriage_year, min(place_raw) AS marriage_place
     FROM raw_v WHERE event_type = 'MARR' AND related_id IS NOT NULL AND related_id <> person_id GROUP BY ALL
   ) f JOIN person_v a ON a.tree_id = f.tree_id AND a.person_id = f.spouse1_id JOIN person_v b ON b.tree_id = f.tree_id AND b.person_id = f.spouse2_id
 ), tree_v AS (
