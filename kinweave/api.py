@@ -119,7 +119,7 @@ def get_descendants(lib: Library, ancestor: str, max_generations: int = 8, tree:
 
 def get_descendants_by_year(lib: Library, ancestor: str, year: int, max_generations: int = 8, tree: str | None = None) -> DataFrame:
     ws, p = _one(lib, ancestor, tree)
-    return graphs.descendants_at_year(ws, year, max_generations).filter(F.col("ancestor_id") == p)
+    return graphs.descendants_at_year(ws, year, max_generations, _start(ws, p))
 
 
 def _pair(lib: Library, a: str, b: str, tree: str | None) -> tuple[Workspace, DataFrame]:
@@ -141,13 +141,14 @@ def get_path_between_persons(lib: Library, person1: str, person2: str, max_depth
 def get_person_tree(lib: Library, person: str, direction: str = "ancestors", max_generations: int = 6, include_root: bool = True, tree: str | None = None) -> DataFrame:
     ws, p = _one(lib, person, tree)
     up = direction.strip().lower() in ("ancestors", "ancestor", "up", "parents")
-    return graphs.person_tree(ws, up, max_generations, include_root).filter(F.col("root_id") == p)
+    return graphs.person_tree(ws, up, max_generations, include_root, _start(ws, p))
 
 
-def stage_gedcom_import(lib: Library, path: str) -> dict[str, DataFrame]:
-    """The relations of interchange files, ready to be stored as a staged batch."""
+def stage_gedcom_import(lib: Library, path: str, tree: str | None = None) -> dict[str, DataFrame]:
+    """The relations of interchange files, ready to be stored as a staged batch; ids belong to the tree, or to each file's name without one."""
+    tree_id = None if tree is None else _tree_id(lib, tree)
     g = gedcom.parse(gedcom.lines(gedcom.read_text_files(lib.ws.tree.sparkSession, path)))
-    return {"individuals": g.individuals, "events": gedcom.staged_events(g), "families": gedcom.staged_families(g), "parents": gedcom.parent_edges(g), "citations": g.citations, "unresolved": gedcom.unresolved_references(g)}
+    return {"individuals": g.individuals, "events": gedcom.staged_events(g, tree_id), "families": gedcom.staged_families(g, tree_id), "labels": gedcom.person_labels(g, tree_id), "parents": gedcom.parent_edges(g), "citations": g.citations, "unresolved": gedcom.unresolved_references(g)}
 
 
 def get_gedcom_import_preview(stored: imports.Snapshot, staged: imports.Snapshot) -> dict[str, DataFrame]:
@@ -162,9 +163,10 @@ def cancel_gedcom_import(lib: Library, batch_id: str, reason: str = "") -> DataF
     return imports.cancel(lib.batches, lib.batches.filter(F.col("import_batch_id") == batch_id), reason)
 
 
-def get_gedcom_import_readiness_report(lib: Library, batch_id: str) -> DataFrame:
-    """Gates of a batch; it may be applied without review if no blocker has issues."""
-    return imports.readiness(lib.batches.filter(F.col("import_batch_id") == batch_id), lib.candidates)
+def get_gedcom_import_readiness_report(lib: Library, batch_id: str, names: DataFrame | None = None, warnings: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Gates of a batch, and its flags with the state that the report leaves it in."""
+    own = lib.batches.filter(F.col("import_batch_id") == batch_id)
+    return {"gates": imports.readiness(own, lib.candidates, names, warnings), "report": imports.readiness_report(own, lib.candidates, names, warnings)}
 
 
 def find_import_duplicate_candidates(lib: Library, batch_id: str, min_score: float = 0.75, top: int = 100) -> DataFrame:
@@ -250,8 +252,7 @@ def _decide(lib: Library, mention: str, person: str, accept: bool) -> Library:
     one = lib.links.filter((F.col("person_mention_id") == mention) & (F.col("person_id") == person))
     none = one.limit(0)
     links = evidence.decide_links(lib.links, one if accept else none, none if accept else one)
-    own = F.col("person_mention_id") == mention
-    mentions = lib.person_mentions.withColumn("status", F.when(own, "accepted").otherwise(F.col("status"))) if accept else lib.person_mentions
+    mentions = evidence.accept_on_mentions(lib.person_mentions, one) if accept else lib.person_mentions
     return replace(lib, links=links, person_mentions=mentions)
 
 

@@ -105,6 +105,20 @@ def with_parsed_date(df: DataFrame, raw: str, prefix: str = "") -> DataFrame:
     return df.withColumn("_parsed", parsed_date(F.col(raw))).withColumns({f"{prefix}{f}": F.col(f"_parsed.{f}") for f in fields}).drop("_parsed")
 
 
+#: What each kind of warning says.
+WARNINGS = {
+    "UNPARSED": "Date could not be parsed into a year/date range.",
+    "APPROXIMATE": "Approximate/calculated date; do not treat as exact identity evidence.",
+    "OPEN_BOUND": "Open-ended date bound; only one side of the date range is known.",
+    "RANGE": "Date range; usable for overlap checks but not exact identity evidence.",
+}
+
+
+def warning_message(kind: Column) -> Column:
+    """Text of a warning, empty for none."""
+    return F.coalesce(F.create_map(*[F.lit(x) for pair in WARNINGS.items() for x in pair])[kind], F.lit(""))
+
+
 def warning_kind(raw: Column, status: Column, modifier: Column) -> Column:
     """Empty, UNPARSED, APPROXIMATE, OPEN_BOUND or RANGE."""
     return (

@@ -176,6 +176,19 @@ def decide_links(candidates: DataFrame, accepted: DataFrame, rejected: DataFrame
     return df.withColumn("status", status).drop("acc", "rej", "done")
 
 
+def accept_on_mentions(mentions: DataFrame, accepted: DataFrame) -> DataFrame:
+    """Mentions with the person and the confidence of their accepted link (person_mention_id, person_id, score)."""
+    links = accepted.select("person_mention_id", F.col("person_id").alias("_person"), F.col("score").alias("_score")).dropDuplicates(["person_mention_id"])
+    df = mentions.join(links, "person_mention_id", "left")
+    now = F.col("_person").isNotNull()
+    old = lambda c, new: F.col(c) if c in mentions.columns else F.lit(None).cast(accepted.schema[new].dataType)
+    values = {
+        "status": F.when(now, "accepted").otherwise(F.col("status")), "accepted_person_id": F.when(now, F.col("_person")).otherwise(old("accepted_person_id", "person_id")),
+        "link_confidence": F.when(now, F.col("_score")).otherwise(old("link_confidence", "score")),
+    }
+    return df.withColumns(values).drop("_person", "_score")
+
+
 def patch_records(records: DataFrame, patch: DataFrame, columns: list[str]) -> DataFrame:
     """Records with the patch's non-null values; null leaves a value as it is."""
     p = patch.select("source_record_id", *[F.col(c).alias(f"_{c}") for c in columns])

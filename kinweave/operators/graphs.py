@@ -14,7 +14,7 @@ UNROLL = 4
 
 
 def walk(edges: DataFrame, up: bool, generations: int, starts: DataFrame | None = None) -> DataFrame:
-    """All walks from every start: tree_id, start_id, person_id, generation, path (ids joined by '>', the start included).
+    """All walks from every start: tree_id, start_id, person_id, generation, ids (the start included), path (the ids joined by '>').
 
     One row per path; a path never meets an id twice, so loops end and the start is not
     its own relative.  ``starts`` (tree_id, start_id) defaults to every node with an edge.
@@ -23,17 +23,17 @@ def walk(edges: DataFrame, up: bool, generations: int, starts: DataFrame | None
     step = edges.select("tree_id", F.col(a).alias("at"), F.col(b).alias("to"))
     scratch = Scratch(edges.sparkSession, "walk")
     level = step if starts is None else step.join(starts.withColumnRenamed("start_id", "at"), ["tree_id", "at"], "left_semi")
-    level = level.select("tree_id", F.col("at").alias("start_id"), F.col("to").alias("person_id"), F.lit(1).alias("generation"), F.concat_ws(">", "at", "to").alias("path"))
+    level = level.select("tree_id", F.col("at").alias("start_id"), F.col("to").alias("person_id"), F.lit(1).alias("generation"), F.array("at", "to").alias("ids")).filter("start_id <> person_id")
     out = level if generations > 0 else level.limit(0)
     for g in range(2, generations + 1):
         if g % UNROLL == 0:
             level = scratch.save(level)
             if level.isEmpty():
                 break
-        nxt = level.withColumnRenamed("person_id", "at").join(step, ["tree_id", "at"]).filter(~F.contains("path", F.col("to")))
-        level = nxt.select("tree_id", "start_id", F.col("to").alias("person_id"), F.lit(g).alias("generation"), F.concat_ws(">", "path", "to").alias("path"))
+        nxt = level.withColumnRenamed("person_id", "at").join(step, ["tree_id", "at"]).filter(~F.array_contains("ids", F.col("to")))
+        level = nxt.select("tree_id", "start_id", F.col("to").alias("person_id"), F.lit(g).alias("generation"), F.concat("ids", F.array("to")).alias("ids"))
         out = out.unionByName(level)
-    return out
+    return out.withColumn("path", F.array_join("ids", ">"))
 
 
 def nearest(edges: DataFrame, up: bool, generations: int, starts: DataFrame | None = None) -> DataFrame:
@@ -68,22 +68,23 @@ def descendants(ws: Workspace, generations: int = 8) -> DataFrame:
     """Descendants of every person, one row per path, with the parent on the path."""
     rows = walk(ws.parent, False, generations)
     who = ws.person.select("tree_id", "person_id", F.col("display_name").alias("name"))
-    return rows.join(who, ["tree_id", "person_id"]).select("tree_id", F.col("start_id").alias("ancestor_id"), F.col("person_id").alias("descendant_id"), F.element_at(F.split("path", ">"), -2).alias("parent_id"), "generation", "name")
+    return rows.join(who, ["tree_id", "person_id"]).select("tree_id", F.col("start_id").alias("ancestor_id"), F.col("person_id").alias("descendant_id"), F.element_at("ids", -2).alias("parent_id"), "generation", "name")
 
 
-def person_tree(ws: Workspace, up: bool, generations: int = 6, include_root: bool = True) -> DataFrame:
-    """Walk with the edge's ends and the whole path; the roots themselves as generation 0 if wanted."""
+def person_tree(ws: Workspace, up: bool, generations: int = 6, include_root: bool = True, starts: DataFrame | None = None) -> DataFrame:
+    """Walk (from ``starts`` if given) with the edge's ends and the whole path; the roots themselves as generation 0 if wanted."""
     generations = max(0, min(50, generations))
-    rows = walk(ws.parent, up, generations).select("tree_id", F.col("start_id").alias("root_id"), "person_id", F.element_at(F.split("path", ">"), -2).alias("from_id"), "generation", "path")
+    rows = walk(ws.parent, up, generations, starts).select("tree_id", F.col("start_id").alias("root_id"), "person_id", F.element_at("ids", -2).alias("from_id"), "generation", "path")
     if not include_root:
         return rows
-    roots = ws.person.select("tree_id", F.col("person_id").alias("root_id"), "person_id", F.lit(None).cast("string").alias("from_id"), F.lit(0).alias("generation"), F.col("person_id").alias("path"))
+    people = ws.person if starts is None else ws.person.join(starts.withColumnRenamed("start_id", "person_id"), ["tree_id", "person_id"], "left_semi")
+    roots = people.select("tree_id", F.col("person_id").alias("root_id"), "person_id", F.lit(None).cast("string").alias("from_id"), F.lit(0).alias("generation"), F.col("person_id").alias("path"))
     return rows.unionByName(roots)
 
 
-def descendants_at_year(ws: Workspace, year: int, generations: int = 8) -> DataFrame:
-    """Descendants of every person who may be alive in a year, and spouses married by then; unknown dates pass."""
-    rows = walk(ws.parent, False, generations).select("tree_id", "start_id", "person_id", "generation")
+def descendants_at_year(ws: Workspace, year: int, generations: int = 8, starts: DataFrame | None = None) -> DataFrame:
+    """Descendants of every person (of ``starts`` if given) who may be alive in a year, and spouses married by then; unknown dates pass."""
+    rows = walk(ws.parent, False, generations, starts).select("tree_id", "start_id", "person_id", "generation")
     near = rows.groupBy("tree_id", F.col("start_id").alias("ancestor_id"), "person_id").agg(F.min("generation").alias("generation"))
     years = ws.event.filter(F.col("event_type").isin("BIRT", "DEAT")).groupBy("tree_id", "person_id").agg(
         F.min(F.when(F.col("event_type") == "BIRT", F.coalesce("year_from", "year_to"))).alias("born"), F.min(F.when(F.col("event_type") == "DEAT", F.coalesce("year_from", "year_to"))).alias("died")

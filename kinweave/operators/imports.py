@@ -391,18 +391,29 @@ def _without_missing(stored: Snapshot, staged: Snapshot) -> tuple[Snapshot, list
 
 
 def _events(event: DataFrame, staged: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """Stored events with those of equal key updated and all others added."""
+    """Stored events with those of equal key updated and all others added; an event without key that is stored already is not added again."""
     keys = ["tree_id", "person_id", "event_key"]
     columns = _shared(EVENT_COLUMNS, event, staged)
     carried = [c for c in event.columns if c not in keys and c not in columns]
+    raw = {c: f"_raw_{c}" for c in columns if f"_raw_{c}" in staged.columns}
     # several staged events with one key update it as the first of them
-    first = staged.filter("event_key is not null").groupBy(*keys).agg(F.min(F.struct("row_id", *columns)).alias("m")).select(*keys, F.lit(True).alias("_in"), *[F.col(f"m.{c}").alias(f"_new_{c}") for c in columns])
+    given = [*columns, *raw.values()]
+    first = staged.filter("event_key is not null").groupBy(*keys).agg(F.min(F.struct("row_id", *given)).alias("m")).select(*keys, F.lit(True).alias("_in"), *[F.col(f"m.{c}").alias(f"_new_{c}") for c in given])
     both = event.join(first, keys, "left")
-    changed = F.col("_in").isNotNull() & reduce(lambda x, y: x | y, [~F.col(c).eqNullSafe(F.col(f"_new_{c}")) for c in columns])
+    # a reference that leads nowhere is left as it is where it is stored like that
+    new = {c: F.when(F.col(f"_new_{raw[c]}").eqNullSafe(F.col(c)), F.col(c)).otherwise(F.col(f"_new_{c}")) if c in raw else F.col(f"_new_{c}") for c in columns}
+    changed = F.col("_in").isNotNull() & reduce(lambda x, y: x | y, [~F.col(c).eqNullSafe(new[c]) for c in columns])
     marked = both.withColumn("_changed", changed)
-    updated = marked.select(*keys, *[F.when(F.col("_changed"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) for c in columns], *carried)
-    # a left anti join keeps events without key, which are always new
-    added = staged.join(event.select(*keys), keys, "left_anti").select(*keys, *columns, *[F.col(c) if c in staged.columns else F.lit(None).cast(event.schema[c].dataType).alias(c) for c in carried])
+    updated = marked.select(*keys, *[F.when(F.col("_changed"), new[c]).otherwise(F.col(c)).alias(c) for c in columns], *carried)
+    keyed = staged.filter("event_key is not null").join(event.select(*keys), keys, "left_anti")
+    # an event without key is new unless one without key says the same
+    keyless, theirs = staged.filter("event_key is null"), event.filter("event_key is null").select("tree_id", "person_id", *columns)
+    for names in ([*columns], [raw.get(c, c) for c in columns]):
+        x, y = keyless.alias("x"), theirs.alias("y")
+        equal = [F.col("x.tree_id") == F.col("y.tree_id"), F.col("x.person_id") == F.col("y.person_id"), *[F.col(f"x.{n}").eqNullSafe(F.col(f"y.{c}")) for n, c in zip(names, columns)]]
+        keyless = x.join(y, reduce(lambda i, j: i & j, equal), "left_anti")
+    fresh = keyed.unionByName(keyless)
+    added = fresh.select(*keys, *columns, *[F.col(c) if c in staged.columns else F.lit(None).cast(event.schema[c].dataType).alias(c) for c in carried])
     return updated.unionByName(added).select(event.columns), [_count("Event", "UPDATE", marked.filter("_changed")), _count("Event", "ADD", added)]
 
 
@@ -411,8 +422,8 @@ def apply_import(stored: Snapshot, staged: Snapshot, delete_missing: bool = Fals
 
     Persons, families and keyed events are updated or added, names, places, children and
     parent edges only added; the cited sources of staged events replace those of an earlier
-    import.  References to persons, families and places that neither side knows become
-    null, and rows that cannot be without them are left out.  With ``delete_missing`` persons
+    import.  New references to persons and families that neither side knows become null, and
+    rows that cannot be without them are left out.  With ``delete_missing`` persons
     and families that the import lacks go first, with all that refers to them, in the trees
     that it covers.  All columns of the stored side are kept, so the result can be applied to.
     """
@@ -448,9 +459,7 @@ def apply_import(stored: Snapshot, staged: Snapshot, delete_missing: bool = Fals
     events = exists(staged.event, "person_id")
     for table, key, column in ((known, "person_id", "related_id"), (family, "family_id", "family_id")):
         target = table.select("tree_id", F.col(key).alias(column)).distinct().withColumn("_known", F.lit(True))
-        events = events.join(target, ["tree_id", column], "left").withColumn(column, F.when(F.col("_known"), F.col(column))).drop("_known")
-    at = place.select("place_raw").distinct().withColumn("_known", F.lit(True))
-    events = events.join(at, "place_raw", "left").withColumn("place_raw", F.when(F.col("_known"), F.col("place_raw"))).drop("_known")
+        events = events.join(target, ["tree_id", column], "left").withColumn(f"_raw_{column}", F.col(column)).withColumn(column, F.when(F.col("_known"), F.col(column))).drop("_known")
     event, made = _events(stored.event, events)
     counts += made
     e = [*p, "event_key"]

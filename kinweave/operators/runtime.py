@@ -8,6 +8,7 @@ optimiser true sizes for the next round.
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -15,21 +16,52 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The session's shared checkpoint folder; one is made only where none is set (tests)."""
+    """The session's shared checkpoint folder; only a session within one process (tests) may go without and gets one of its own.
+
+    Executors on other machines don't see a folder of this one, so a cluster must name one.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="kinweave-")
         spark.sparkContext.setCheckpointDir(named)
         named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
 
 
+_roots: set[str] = set()
+
+
+def release(spark: SparkSession) -> None:
+    """Removes the scratch tables of all operators that ran in this process; call it when their results are stored."""
+    while _roots:
+        _delete(spark, _roots.pop())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@atexit.register
+def _release_at_exit() -> None:
+    spark = SparkSession.getActiveSession() if _roots else None
+    if spark is not None and spark.sparkContext._jsc is not None:
+        try:
+            release(spark)
+        except Exception:  # noqa: BLE001 - the JVM may be gone already
+            _roots.clear()
+
+
 class Scratch:
-    """Tables of one operator run, kept below the shared checkpoint folder."""
+    """Tables of one operator run, kept below the shared checkpoint folder until :func:`release` or the end of the process."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
+        _roots.add(self.root)
         self._count = 0
         self._paths: dict[int, str] = {}
 
@@ -47,9 +79,7 @@ class Scratch:
         for df in frames:
             path = self._paths.pop(id(df), None) if df is not None else None
             if path is not None:
-                jvm = self.spark.sparkContext._jvm
-                target = jvm.org.apache.hadoop.fs.Path(path)
-                target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+                _delete(self.spark, path)
 
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:

@@ -40,10 +40,14 @@ def search_by_name(ws: Workspace, text: str) -> DataFrame:
 
 
 def resolve_tree(ws: Workspace, reference: str | None) -> DataFrame:
-    """Trees that a reference may mean: an id, a name in any case, or blank for the default (first) tree."""
+    """Trees that a reference may mean: an id, a name in any case, or blank for the default tree.
+
+    The default is the tree marked ``is_default``, where trees bear that mark; else the first by id.
+    """
     r = (reference or "").strip().lower()
     if not r:
-        return ws.tree.orderBy("tree_id").limit(1)
+        marked = [F.desc_nulls_last("is_default")] if "is_default" in ws.tree.columns else []
+        return ws.tree.orderBy(*marked, "tree_id").limit(1)
     return ws.tree.filter((F.col("tree_id") == r) | (F.lower("name") == r))
 
 

@@ -90,11 +90,12 @@ ORACLE = {
     "e_search_linked": _found(_mention("m.status = 'accepted'")),
     "e_search_unlinked": _found(f"year_to >= 1800 AND NOT {_mention('''m.status = 'accepted' ''')}"),
     "e_suggest_links": """SELECT person_mention_id, person_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY person_mention_id ORDER BY score DESC, person_id) AS rank FROM (
-  SELECT m.person_mention_id, p.person_id, CAST(least(1, 0.50 + CASE WHEN g = '' OR pg = '' OR g IS NULL OR pg IS NULL THEN 0 WHEN g = pg THEN 0.30 WHEN contains(g, pg) OR contains(pg, g) THEN 0.15 ELSE 0 END
+  SELECT m.person_mention_id, p.person_id, CAST(least(1, CASE WHEN s IS NULL OR ps IS NULL THEN 0 WHEN s = ps THEN 0.50 WHEN contains(s, ps) OR contains(ps, s) THEN 0.25 ELSE 0 END
+    + CASE WHEN g IS NULL OR pg IS NULL THEN 0 WHEN g = pg THEN 0.30 WHEN contains(g, pg) OR contains(pg, g) THEN 0.15 ELSE 0 END
     + CASE WHEN abs(y - birth_year) <= 1 THEN 0.20 WHEN abs(y - birth_year) <= 3 THEN 0.10 WHEN abs(y - birth_year) <= 7 THEN 0.05 ELSE 0 END) AS DECIMAL(5, 4)) AS score
-  FROM (SELECT person_mention_id, lower(trim(tree_id)) AS t, trim(lower(surname), ' ') AS s, trim(lower(given_name), ' ') AS g, estimated_birth_year::INT AS y FROM record_person_mention) m
-  JOIN (SELECT person_id, lower(trim(tree_id)) AS t, trim(lower(surname_normalized), ' ') AS s, trim(lower(given_name), ' ') AS pg, birth_year::INT AS birth_year FROM person) p ON p.t = m.t AND p.s = m.s WHERE m.s <> ''
-)) WHERE rank <= 10""",
+  FROM (SELECT person_mention_id, lower(trim(tree_id)) AS t, nullif(lower(trim(surname)), '') AS s, nullif(lower(trim(given_name)), '') AS g, estimated_birth_year::INT AS y FROM record_person_mention) m
+  JOIN (SELECT DISTINCT person_id, lower(trim(tree_id)) AS t, nullif(lower(trim(surname_normalized)), '') AS ps, nullif(lower(trim(given_name)), '') AS pg, birth_year::INT AS birth_year FROM person) p ON p.t = m.t AND (contains(p.ps, m.s) OR contains(p.pg, m.g))
+) WHERE score > 0) WHERE rank <= 10""",
     "e_attachment_contents": f"WITH {_BLOB} SELECT DISTINCT content_hash, bytes, 'application/pdf' AS mime FROM x WHERE ok AND bytes <= 20000",
     "e_attachment_links": f"WITH {_BLOB} SELECT DISTINCT source_record_id, content_hash, 0 AS sequence_no, 'document' AS attachment_type FROM x WHERE ok AND bytes <= 20000",
     "e_attachment_rejected": f"WITH {_BLOB} SELECT source_record_id, content_hash, CASE WHEN bytes > 20000 THEN 'too large' ELSE 'type not accepted' END AS reason FROM x WHERE NOT ok OR bytes > 20000",

@@ -244,11 +244,18 @@ _APPLY = """
 rp AS (SELECT tree_id, person_id FROM tp UNION SELECT tree_id, person_id FROM sp),
 okf AS (SELECT * FROM sf SEMI JOIN (SELECT tree_id, person_id AS spouse1_id FROM rp) USING (tree_id, spouse1_id) SEMI JOIN (SELECT tree_id, person_id AS spouse2_id FROM rp) USING (tree_id, spouse2_id)),
 rf AS (SELECT tree_id, family_id FROM tf UNION SELECT tree_id, family_id FROM okf),
-es AS (SELECT s.* REPLACE (CASE WHEN r.person_id IS NOT NULL THEN s.related_id END AS related_id) FROM se s JOIN rp o ON o.tree_id = s.tree_id AND o.person_id = s.person_id LEFT JOIN rp r ON r.tree_id = s.tree_id AND r.person_id = s.related_id),
+es AS (SELECT s.* REPLACE (CASE WHEN r.person_id IS NOT NULL THEN s.related_id END AS related_id), s.related_id AS raw_related FROM se s JOIN rp o ON o.tree_id = s.tree_id AND o.person_id = s.person_id LEFT JOIN rp r ON r.tree_id = s.tree_id AND r.person_id = s.related_id),
 upd AS (SELECT * FROM es WHERE event_key IS NOT NULL QUALIFY row_number() OVER (PARTITION BY tree_id, person_id, event_key ORDER BY row_id) = 1),
-hit AS (SELECT t.row_id, s.* EXCLUDE (row_id), (t.event_type, t.event_value, t.date_raw, t.date_from, t.date_to, t.year_from, t.year_to, t.place_raw, t.related_id, t.is_derived) IS DISTINCT FROM (s.event_type, s.event_value, s.date_raw, s.date_from, s.date_to, s.year_from, s.year_to, s.place_raw, s.related_id, s.is_derived) AS changed
+met AS (SELECT t.row_id, s.* EXCLUDE (row_id) REPLACE (CASE WHEN s.raw_related IS NOT DISTINCT FROM t.related_id THEN t.related_id ELSE s.related_id END AS related_id)
   FROM te t JOIN upd s ON s.tree_id = t.tree_id AND s.person_id = t.person_id AND s.event_key = t.event_key),
-fresh AS (SELECT * FROM es ANTI JOIN te USING (tree_id, person_id, event_key)),
+hit AS (SELECT s.*, (t.event_type, t.event_value, t.date_raw, t.date_from, t.date_to, t.year_from, t.year_to, t.place_raw, t.related_id, t.is_derived) IS DISTINCT FROM (s.event_type, s.event_value, s.date_raw, s.date_from, s.date_to, s.year_from, s.year_to, s.place_raw, s.related_id, s.is_derived) AS changed
+  FROM te t JOIN met s ON s.row_id = t.row_id),
+fresh AS (
+  SELECT * FROM es WHERE event_key IS NOT NULL AND NOT EXISTS (SELECT 1 FROM te WHERE te.tree_id = es.tree_id AND te.person_id = es.person_id AND te.event_key = es.event_key)
+  UNION ALL SELECT es.* FROM es ANTI JOIN te t ON t.event_key IS NULL AND t.tree_id = es.tree_id AND t.person_id = es.person_id AND (t.related_id IS NOT DISTINCT FROM es.related_id OR t.related_id IS NOT DISTINCT FROM es.raw_related)
+    AND (t.event_type, t.event_value, t.date_raw, t.date_from, t.date_to, t.year_from, t.year_to, t.place_raw, t.is_derived) IS NOT DISTINCT FROM (es.event_type, es.event_value, es.date_raw, es.date_from, es.date_to, es.year_from, es.year_to, es.place_raw, es.is_derived)
+  WHERE es.event_key IS NULL
+),
 re AS (
   SELECT t.tree_id, t.person_id, t.event_key, t.row_id, t.place_normalized, coalesce(h.event_type, t.event_type) AS event_type, CASE WHEN h.row_id IS NULL THEN t.event_value ELSE h.event_value END AS event_value, CASE WHEN h.row_id IS NULL THEN t.date_raw ELSE h.date_raw END AS date_raw,
     CASE WHEN h.row_id IS NULL THEN t.date_from ELSE h.date_from END AS date_from, CASE WHEN h.row_id IS NULL THEN t.date_to ELSE h.date_to END AS date_to, CASE WHEN h.row_id IS NULL THEN t.year_from ELSE h.year_from END AS year_from, CASE WHEN h.row_id IS NULL THEN t.year_to ELSE h.year_to END AS year_to,

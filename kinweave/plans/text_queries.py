@@ -134,7 +134,7 @@ SIGNATURES = ["89504E470D0A1A0A", "FFD8FFE0", "474946383961", "52494646000000005
 def e_mime(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     which = F.element_at(F.array(*[F.lit(s) for s in SIGNATURES]), (F.pmod("doc_id", F.lit(len(SIGNATURES))) + 1).cast("int"))
-    mime = mime_type(F.concat(F.unhex(which), F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
+    mime = mime_type(F.concat(F.unhex(which), F.encode(F.substring(F.coalesce("text", F.lit("")), 1, 16), "UTF-8")))
     return docs.select("doc_id", mime.alias("mime"), attachment_type(F.coalesce(mime, F.lit(""))).alias("attachment_type"))
 
 

@@ -116,15 +116,11 @@ QUERIES = {
     )
 } | {f"b_{n}": _trees(n) for n in ("life_events", "family_context", "rich_parents", "rich_siblings", "rich_marriages", "rich_children", "person_counts")}
 
-_LIFE = """life AS (
-  SELECT tree_id, person_id,
-    arg_min(year_from, (event_type = 'CHR', year_from IS NULL, coalesce(year_from, 0), event_id)) FILTER (event_type IN ('BIRT', 'CHR')) AS x FROM event_v GROUP BY ALL
-), births AS (
+_LIFE = """births AS (
   SELECT tree_id, person_id, year_from AS birth_year, place_raw AS birth_place FROM event_v WHERE event_type IN ('BIRT', 'CHR') QUALIFY row_number() OVER (PARTITION BY tree_id, person_id ORDER BY (event_type = 'CHR'), year_from NULLS LAST, event_id) = 1
 ), deaths AS (
   SELECT tree_id, person_id, year_from AS death_year, place_raw AS death_place FROM event_v WHERE event_type = 'DEAT' QUALIFY row_number() OVER (PARTITION BY tree_id, person_id ORDER BY year_from NULLS LAST, event_id) = 1
 )"""
-_LIFE = _LIFE[_LIFE.index("births AS") :]
 _SPOUSE = """spouse_v AS (
   SELECT tree_id, spouse1_id AS person_id, spouse2_id AS spouse_id, family_id, marriage_year, marriage_place FROM family_v
   UNION ALL SELECT tree_id, spouse2_id, spouse1_id, family_id, marriage_year, marriage_place FROM family_v
@@ -140,7 +136,7 @@ def _walk(up: bool, generations: int) -> str:
     return f"""walk AS (
   SELECT tree_id, {a} AS start_id, {b} AS person_id, 1 AS generation, {a} || '>' || {b} AS path FROM parent_v
   UNION ALL
-  SELECT w.tree_id, w.start_id, p.{b}, w.generation + 1, w.path || '>' || p.{b} FROM walk w JOIN parent_v p ON p.tree_id = w.tree_id AND p.{a} = w.person_id WHERE w.generation < {generations} AND NOT contains(w.path, p.{b})
+  SELECT w.tree_id, w.start_id, p.{b}, w.generation + 1, w.path || '>' || p.{b} FROM walk w JOIN parent_v p ON p.tree_id = w.tree_id AND p.{a} = w.person_id WHERE w.generation < {generations} AND NOT list_contains(string_split(w.path, '>'), p.{b})
 )"""
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -21,6 +21,7 @@ from kinweave.functions.text import event_value_or_none, norm_space, place_key
 #: Tags of level 1 that open no event.
 STRUCTURAL_INDI = ["NAME", "SEX", "FAMC", "FAMS", "CHAN", "SUBM", "REFN", "RIN", "RFN", "AFN", "ALIA", "ANCI", "DESI", "OBJE", "SOUR", "NOTE"]
 STRUCTURAL_FAM = ["HUSB", "WIFE", "CHIL", "CHAN", "SUBM", "REFN", "RIN", "NCHI", "OBJE", "SOUR", "NOTE"]
+#: Fixed value: level, pointer, tag and value of a line.
 _LINE = r"^\s*(\d+)\s+(?:(@[^@]+@)\s+)?([A-Za-z0-9_]+)(?:[ \t](.*))?$"
 
 
@@ -106,7 +107,12 @@ def unresolved_references(g: Gedcom) -> DataFrame:
     return g.members.join(known, ["file", "member_xref"], "left_anti").select("file", "family_xref", "role", "member_xref")
 
 
-def staged_events(g: Gedcom) -> DataFrame:
+def _tree(tree_id: str | None) -> Column:
+    """The tree that ids belong to; without one each file is a tree, told by its name whatever its folder."""
+    return F.lit(tree_id) if tree_id is not None else F.substring_index("file", "/", -1)
+
+
+def staged_events(g: Gedcom, tree_id: str | None = None) -> DataFrame:
     """Own events, family events for both spouses, and births of children for the parents, with keys and numbers.
 
     An event's ordinal counts within its person in the order own, family, children.
@@ -120,15 +126,15 @@ def staged_events(g: Gedcom) -> DataFrame:
     rows = own.unionByName(fam).unionByName(child).filter("tag <> 'BURI'")
     rows = rows.withColumn("ordinal", F.row_number().over(W.partitionBy("file", "xref").orderBy("phase", "a", "b")))
     keyed = rows.withColumn("event_key", event_key(F.col("xref"), F.col("tag"), F.col("value"), F.col("date_raw"), F.col("year_from"), F.col("year_to"), F.col("place_raw"), F.col("related"), F.col("derived"), F.col("ordinal")))
-    return keyed.withColumn("person_id", person_key(F.concat_ws("/", "file", "xref")))
+    return keyed.withColumn("person_id", person_key(F.col("xref"), _tree(tree_id)))
 
 
-def staged_families(g: Gedcom) -> DataFrame:
+def staged_families(g: Gedcom, tree_id: str | None = None) -> DataFrame:
     """Families with both spouses known and distinct: ids by name, first marriage."""
     known = g.individuals.select("file", F.col("record_xref").alias("x"))
     f = g.families.join(known.withColumnRenamed("x", "husband"), ["file", "husband"], "left_semi").join(known.withColumnRenamed("x", "wife"), ["file", "wife"], "left_semi").filter("husband <> wife")
     wed = g.events.filter("kind = 'FAM' and tag = 'MARR'").groupBy("file", "record_no").agg(F.min(F.struct("event_no", "date_raw", "year_from", "place_raw")).alias("m"))
-    return f.join(wed, ["file", "record_no"], "left").select("file", family_key(F.concat_ws("/", "file", "record_xref")).alias("family_id"), "husband", "wife", F.col("m.date_raw").alias("marriage_date_raw"), F.col("m.year_from").alias("marriage_year"), F.col("m.place_raw").alias("marriage_place"))
+    return f.join(wed, ["file", "record_no"], "left").select("file", family_key(F.col("record_xref"), _tree(tree_id)).alias("family_id"), "husband", "wife", F.col("m.date_raw").alias("marriage_date_raw"), F.col("m.year_from").alias("marriage_year"), F.col("m.place_raw").alias("marriage_place"))
 
 
 def parent_edges(g: Gedcom) -> DataFrame:
@@ -138,3 +144,30 @@ def parent_edges(g: Gedcom) -> DataFrame:
     parent = m.filter("role in ('HUSB', 'WIFE')").select("file", "record_no", F.col("member_xref").alias("parent_xref")).join(known.withColumnRenamed("x", "parent_xref"), ["file", "parent_xref"], "left_semi")
     child = m.filter("role = 'CHIL'").select("file", "record_no", F.col("member_xref").alias("child_xref")).join(known.withColumnRenamed("x", "child_xref"), ["file", "child_xref"], "left_semi")
     return parent.join(child, ["file", "record_no"]).filter("parent_xref <> child_xref").select("file", "parent_xref", "child_xref").distinct()
+
+
+def person_labels(g: Gedcom, tree_id: str | None = None) -> DataFrame:
+    """(file, xref, person_id, name, label): the cleaned first name of each individual, and a label for one without.
+
+    An unnamed person is called after the spouse, or the first named child, of the first
+    family in the file that tells either; else after the pointer.
+    """
+    people = g.individuals.select("file", F.col("record_xref").alias("xref"), "record_no", "sex", F.col("names"), norm_space(F.replace(F.coalesce(F.get("names", F.lit(0)), F.lit("")), F.lit("/"), F.lit(" "))).alias("clean"))
+    # what others see: the first name, or the pointer of a person without any name line
+    people = people.withColumn("shown", F.when(F.size("names") == 0, F.col("xref")).otherwise(F.col("clean")))
+    named = people.filter("clean <> ''").select("file", F.col("xref").alias("child"), F.col("clean").alias("child_name"))
+    parents = g.members.filter("role in ('HUSB', 'WIFE')").select("file", "record_no", F.col("member_xref").alias("xref"))
+    other = parents.withColumnRenamed("xref", "spouse").join(people.select("file", F.col("xref").alias("spouse"), F.col("shown").alias("spouse_name")), ["file", "spouse"])
+    kids = g.members.filter("role = 'CHIL'").select("file", "record_no", "line_no", F.col("member_xref").alias("child")).join(named, ["file", "child"])
+    kids = kids.groupBy("file", "record_no").agg(F.min(F.struct("line_no", "child_name"))["child_name"].alias("child_name"))
+    lone = people.filter("clean = ''").select("file", "xref")
+    homes = parents.join(lone, ["file", "xref"], "left_semi").join(other, ["file", "record_no"], "left").filter("spouse is null or spouse <> xref")
+    homes = parents.join(lone, ["file", "xref"], "left_semi").join(homes, ["file", "record_no", "xref"], "left").join(kids, ["file", "record_no"], "left")
+    homes = homes.withColumn("spouse_name", F.nullif("spouse_name", F.lit(""))).filter("spouse_name is not null or child_name is not null")
+    first = homes.groupBy("file", "xref").agg(F.min(F.struct("record_no", "spouse_name", "child_name")).alias("home"))
+    role = F.when(F.col("sex") == "F", "wife").when(F.col("sex") == "M", "husband").otherwise("spouse")
+    label = (
+        F.when(F.col("clean") != "", F.col("clean")).when(F.col("home.spouse_name").isNotNull(), F.concat(F.lit("Unnamed "), role, F.lit(" of "), F.col("home.spouse_name")))
+        .when(F.col("home.child_name").isNotNull(), F.concat(F.lit("Unnamed parent of "), F.col("home.child_name"))).otherwise(F.concat(F.lit("Unnamed person "), F.col("xref")))
+    )
+    return people.join(first, ["file", "xref"], "left").select("file", "xref", person_key(F.col("xref"), _tree(tree_id)).alias("person_id"), F.col("shown").alias("name"), label.alias("label"))

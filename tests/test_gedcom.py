@@ -92,3 +92,14 @@ def test_staging_round_trip(spark, tmp_path):
     assert rows == [("b", "p1", "@I1@", "M", True, "Іван Коваль", None), ("b", "p2", None, None, None, 'a "quoted"', "x")]
     assert read_manifest('{"relations": [{"name": "Person", "rows": 2}, {"name": "Place"}]}') == {"person": 2, "place": 0}
     assert json_documents(spark.createDataFrame([(1, None)], "tree_id int, display_name string")).first()[0] == '{"treeId":1,"displayName":null}'
+
+
+def test_labels_and_ids(spark):
+    text = "0 @I1@ INDI\n1 NAME Іван /Коваль/\n1 SEX M\n0 @I2@ INDI\n1 NAME //\n1 SEX F\n0 @I3@ INDI\n1 SEX M\n0 @I4@ INDI\n0 @F1@ FAM\n1 HUSB @I1@\n1 WIFE @I2@\n0 @F2@ FAM\n1 HUSB @I3@\n1 CHIL @I1@\n"
+    rows = spark.createDataFrame([("/a/x.ged", text), ("/b/x.ged", text)], "file string, text string")
+    g = gedcom.parse(gedcom.lines(rows))
+    got = {r.xref: r.label for r in gedcom.person_labels(g).filter("file = '/a/x.ged'").collect()}
+    assert got == {"@I1@": "Іван Коваль", "@I2@": "Unnamed wife of Іван Коваль", "@I3@": "Unnamed parent of Іван Коваль", "@I4@": "Unnamed person @I4@"}
+    ids = gedcom.person_labels(g)
+    assert ids.select("person_id").distinct().count() == 4  # the folder does not matter
+    assert gedcom.person_labels(g, "t").join(ids, ["file", "xref", "person_id"]).count() == 0

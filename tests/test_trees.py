@@ -152,3 +152,9 @@ def test_link_pool_is_whole(spark):
             pool = [(-text(s, plain(s2), 50, 25) - text(g, plain(g2), 30, 15) - year(y, b), j) for t2, j, s2, g2, b in people if t == t2 and ((s and s in plain(s2)) or (g and g in plain(g2)))]
             want |= {(i, j, -v, r) for r, (v, j) in enumerate(sorted(pool)[:top], 1)}
         assert {(r.person_mention_id, r.person_id, int(r.score * 100), r.rank) for r in suggest_links(m, p, top).collect()} == want
+
+
+def test_walk_tells_ids_that_contain_each_other(spark):
+    edges = spark.createDataFrame([("t", "222", "111"), ("t", "11", "222"), ("t", "1", "11"), ("t", "111", "1")], "tree_id string, parent_id string, child_id string")
+    got = {(r.person_id, r.generation) for r in graphs.walk(edges, True, 9).filter("start_id = '111'").collect()}
+    assert got == {("222", 1), ("11", 2), ("1", 3)}
