@@ -5,8 +5,11 @@ An entry of the list has several views (village alone, with district, with regio
 both), as people leave parts out; a value's score for an entry is the best weighted cosine
 over its views.  It is accepted above a threshold, with a margin over the next entry, and
 if every word of the value is explained by the entry.  Below the threshold an exact check
-follows: of the best-scored entries the one is accepted that every word of the value is a
-few slips away from.  Else the value is unmatched.
+follows: of all entries that resemble the value at all the one is accepted that every word
+of the value is a few slips away from.  Else the value is unmatched.
+
+The weights come from the whole list.  A list of more than BLOCK entries is indexed in
+parts, whose verdicts are merged to what one index would give.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 from kinweave.llm.names import skeleton
 
 UNMATCHED = -1
-#: Entries of one index; a longer list is scored in blocks of this size, and the blocks' best are compared.
+#: Entries of one index; a longer list has several, with the same results.
 BLOCK = 20_000
 
 #: Words that name the kind of a place, not the place, as letters without marks.
@@ -43,7 +46,6 @@ class Rule:
     margin: float = 0.04
     word: float = 0.30  #: least cosine of every word of the value with a word of the entry
     doubtful: float = 0.20  #: least score for the exact check
-    checked: int = 5  #: entries in the exact check
 
 
 def tokens(text: str | None) -> list[str]:
@@ -91,11 +93,22 @@ def allowed(word: str) -> int:
     return 1 if len(word) < 6 else 2 if len(word) < 11 else 3
 
 
+def weights(entries: list[tuple[int, str]]) -> tuple[dict[str, float], float]:
+    """Inverse document frequencies of the n-grams of a whole list, and the weight of an n-gram that it lacks."""
+    seen: dict[str, int] = defaultdict(int)
+    for _, raw in entries:
+        for g in {g for w in tokens(raw) for g in grams(w)}:
+            seen[g] += 1
+    n = max(len(entries), 1)
+    return {g: math.log(1 + n / x) for g, x in seen.items()}, math.log(1 + n)
+
+
 class PlaceIndex:
-    """Inverted index of one block of (place_id, place_raw) entries."""
+    """Inverted index of one part of a list of (place_id, place_raw) entries, with the weights of the whole list."""
 
-    def __init__(self, entries: list[tuple[int, str]], rule: Rule):
-        self.entries, self.rule = entries, rule
+    def __init__(self, entries: list[tuple[int, str]], rule: Rule, weight: tuple[dict[str, float], float], alone: bool = True):
+        self.entries, self.rule, self.weight, self.alone = entries, rule, weight, alone
+        self.idf, self.unknown = weight
         self.parts = [tokens(raw.split(",")[0]) for _, raw in entries], [tokens(raw) for _, raw in entries]
         views: list[tuple[int, list[str]]] = []
         for k, (_, raw) in enumerate(entries):
@@ -103,14 +116,6 @@ class PlaceIndex:
             head, rest = part[0], part[1:]
             shapes = [head] + [head + r for r in rest] + ([head + sum(rest, [])] if len(rest) > 1 else [])
             views += [(k, s) for s in shapes if s]
-        seen: dict[str, set[int]] = defaultdict(set)
-        for k, (_, words) in enumerate(zip(entries, self.parts[1])):
-            for w in words:
-                for g in grams(w):
-                    seen[g].add(k)
-        n = max(len(entries), 1)
-        self.idf = {g: math.log(1 + n / len(x)) for g, x in seen.items()}
-        self.unknown = math.log(1 + n)
         self.of = np.unique([k for k, _ in views])  # entries with a view, in order; their views are neighbours
         self.first = np.searchsorted([k for k, _ in views], self.of)
         self.size = len(views)
@@ -123,7 +128,7 @@ class PlaceIndex:
         self.post = {g: (np.array(a), np.array(b)) for g, (a, b) in post.items()}
 
     def __reduce__(self):
-        return (PlaceIndex, (self.entries, self.rule))
+        return (PlaceIndex, (self.entries, self.rule, self.weight, self.alone))
 
     def vector(self, words: list[str]) -> dict[str, float]:
         counts: dict[str, int] = defaultdict(int)
@@ -151,11 +156,15 @@ class PlaceIndex:
         within = lambda w, names: any(slips(w, n, allowed(n)) <= allowed(n) for n in names)
         return all(within(w, all_words) for w in words) and all(within(n, words) for n in village)
 
-    def best(self, text: str | None) -> tuple[int, float, float]:
-        """(place_id or UNMATCHED, best score, next entry's score)."""
+    def judge(self, text: str | None) -> tuple[int, float, float, bool, int, int, float]:
+        """Of this part: best entry, its score, the next score, whether it is good enough; number of entries that the
+        text spells, one of them, its score.
+
+        What the text spells is only asked where the best entry isn't good enough, or other parts could have a better one.
+        """
         words = tokens(text)
         if not words or not len(self.of):
-            return UNMATCHED, 0.0, 0.0
+            return UNMATCHED, 0.0, 0.0, False, 0, UNMATCHED, 0.0
         score = np.zeros(self.size)
         for g, x in self.vector(words).items():
             if g in self.post:
@@ -165,42 +174,44 @@ class PlaceIndex:
         per_entry[self.of] = np.maximum.reduceat(score, self.first)
         first = int(per_entry.argmax())
         top = float(per_entry[first])
-        per_entry[first] = 0.0
-        second = float(per_entry.max()) if len(per_entry) > 1 else 0.0
-        if top >= self.rule.threshold and self.explained(words, first):
-            return self.entries[first][0], top, second
-        if top >= self.rule.doubtful:
-            per_entry[first] = top
-            order = np.argsort(-per_entry, kind="stable")[: self.rule.checked]
-            right = [int(k) for k in order if per_entry[k] >= self.rule.doubtful and self.spelt(words, int(k))]
-            if len(right) == 1:
-                return self.entries[right[0]][0], float(per_entry[right[0]]), 0.0
-        return UNMATCHED, top, second
+        second = float(np.partition(per_entry, -2)[-2]) if len(per_entry) > 1 else 0.0
+        good = top >= self.rule.threshold and self.explained(words, first)
+        right: list[int] = []
+        if not (good and self.alone):
+            right = [int(k) for k in np.flatnonzero(per_entry >= self.rule.doubtful) if self.spelt(words, int(k))]
+        one = right[0] if right else -1
+        return self.entries[first][0], top, second, bool(good), len(right), self.entries[one][0] if right else UNMATCHED, float(per_entry[one]) if right else 0.0
 
 
 def map_values(values: DataFrame, places: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """(value, place_id, score) of distinct non-null ``value`` strings; place_id is -1 for an unmatched value.
+    """(value, place_id, score, second) of distinct non-null ``value`` strings; place_id is -1 for an unmatched value.
 
     A blank value is unmatched; of entries that tie, none is accepted; a canonical entry
-    without id or text is no entry, and one listed twice counts once.
+    without id or text is no entry, and one listed twice counts once.  ``places`` is a
+    reference list that people keep: it comes to the driver and goes to the tasks whole.
     """
     listed = places.select(F.col("place_id").cast("bigint"), "place_raw").filter("place_id is not null and place_raw is not null").dropDuplicates(["place_id"]).orderBy("place_id")
     rows = [(r[0], r[1]) for r in listed.toLocalIterator()]
-    schema = "value string, place_id bigint, score double, second double"
-    out = None
+    names = ["value", "place_id", "score", "second", "good", "spelt", "spelt_id", "spelt_score"]
+    schema = "value string, place_id bigint, score double, second double, good boolean, spelt int, spelt_id bigint, spelt_score double"
     blocks = range(0, max(len(rows), 1), BLOCK)
+    weight, out = weights(rows), None
     for at in blocks:
-        index = PlaceIndex(rows[at : at + BLOCK], rule)
+        index = PlaceIndex(rows[at : at + BLOCK], rule, weight, len(blocks) == 1)
 
         def score(batches: Iterator[pd.DataFrame], index: PlaceIndex = index) -> Iterator[pd.DataFrame]:
+            kinds = {"place_id": "int64", "score": "float64", "second": "float64", "good": "bool", "spelt": "int32", "spelt_id": "int64", "spelt_score": "float64"}
             for batch in batches:
-                got = [(v, *index.best(v)) for v in batch["value"]]
-                yield pd.DataFrame(got, columns=["value", "place_id", "score", "second"]).astype({"place_id": "int64", "score": "float64", "second": "float64"})
+                yield pd.DataFrame([(v, *index.judge(v)) for v in batch["value"]], columns=names).astype(kinds)
 
         part = values.select("value").mapInPandas(score, schema)
         out = part if out is None else out.unionByName(part)
     if len(blocks) > 1:
-        top = out.groupBy("value").agg(F.max_by(F.struct("place_id", "score", "second"), "score").alias("x"), F.slice(F.sort_array(F.collect_list("score"), asc=False), 2, 1).alias("next"))
-        out = top.select("value", "x.place_id", "x.score", F.greatest("x.second", F.coalesce(F.try_element_at("next", F.lit(1)), F.lit(0.0))).alias("second"))
-    clear = (F.col("place_id") != UNMATCHED) & (F.col("score") - F.col("second") >= rule.margin)
-    return out.select("value", F.when(clear, F.col("place_id")).otherwise(F.lit(UNMATCHED)).cast("bigint").alias("place_id"), "score", "second")
+        top = F.max(F.struct("score", (-F.col("place_id")).alias("least"), "second", "good")).alias("x")
+        next_ = F.coalesce(F.try_element_at(F.sort_array(F.collect_list("score"), asc=False), F.lit(2)), F.lit(0.0))  # one score per part
+        merged = out.groupBy("value").agg(top, next_.alias("next"), F.sum("spelt").cast("int").alias("spelt"), F.max("spelt_id").alias("spelt_id"), F.max("spelt_score").alias("spelt_score"))
+        out = merged.select("value", (-F.col("x.least")).alias("place_id"), "x.score", F.greatest("x.second", "next").alias("second"), "x.good", "spelt", "spelt_id", "spelt_score")
+    clear = F.col("good") & (F.col("score") - F.col("second") >= rule.margin)
+    spelt = ~F.col("good") & (F.col("score") >= rule.doubtful) & (F.col("spelt") == 1)
+    place = F.when(clear, F.col("place_id")).when(spelt, F.col("spelt_id")).otherwise(F.lit(UNMATCHED)).cast("bigint")
+    return out.select("value", place.alias("place_id"), F.when(spelt, F.col("spelt_score")).otherwise(F.col("score")).alias("score"), F.when(spelt, 0.0).otherwise(F.col("second")).alias("second"))

@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 
 #: Blank, control and zero-width characters that may follow the end of a text.
 _BLANK = "".join(map(chr, [*range(0x21), *range(0x7F, 0xA1), 0xAD, 0x1680, 0x180E, *range(0x2000, 0x2010), *range(0x2028, 0x2030), 0x205F, 0x2060, 0x3000, 0xFEFF]))
-#: Characters of the end that are looked at; a closing line or a last word is shorter.
-_TAIL = 400
 
 _CLOSE = r"[\"'”’»›)\]*_]*"
 #: Marks that stand for lost text.
@@ -47,7 +45,9 @@ class SpikeRule:
 
 
 def _end(text: Column) -> Column:
-    return F.right(F.rtrim(text, F.lit(_BLANK)), F.lit(_TAIL))
+    """The last line that says anything, whole, with the line break before it if there is one."""
+    said = F.rtrim(text, F.lit(_BLANK))
+    return F.when(F.contains(said, F.lit("\n")), F.concat(F.lit("\n"), F.substring_index(said, "\n", -1))).otherwise(said)
 
 
 def length_spikes(documents: DataFrame, rule: SpikeRule = SpikeRule()) -> DataFrame:
