@@ -17,7 +17,9 @@ def _records(spark: SparkSession, d: str) -> DataFrame:
 
 def _search(facets: evidence.Facets):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        mentions, places = table(spark, d, "record_person_mention"), table(spark, d, "record_place_mention")
+        # the tables hold no accepted link, so suggested ones stand for them
+        mentions = table(spark, d, "record_person_mention").withColumn("status", F.when(F.col("status") == "suggested", "accepted").otherwise(F.col("status")))
+        places = table(spark, d, "record_place_mention")
         return evidence.search_records(_records(spark, d), mentions, places, facets).select("source_record_id", "record_type", "year_from", "total")
 
     return run
@@ -87,8 +89,8 @@ ORACLE = {
     "e_search_text": _found("record_type = 'birth' AND contains(lower(text), 'parish') AND year_to >= 1700 AND year_from <= 1850"),
     "e_search_mentions": _found(f"starts_with(lower(archive_ref), 'f.') AND {_mention('''contains(lower(m.surname), 'о')''')} AND {_mention('''contains(lower(m.given_name), 'а')''')} AND {_mention('''m.role = 'witness' ''')}"),
     "e_search_place": _found("EXISTS (SELECT 1 FROM record_place_mention m WHERE m.source_record_id = r.source_record_id AND (contains(lower(m.place_text), 'ів') OR contains(lower(m.normalized_name), 'ів')))"),
-    "e_search_linked": _found(_mention("m.status = 'accepted'")),
-    "e_search_unlinked": _found(f"year_to >= 1800 AND NOT {_mention('''m.status = 'accepted' ''')}"),
+    "e_search_linked": _found(_mention("m.status IN ('accepted', 'suggested')")),
+    "e_search_unlinked": _found(f"year_to >= 1800 AND NOT {_mention('''m.status IN ('accepted', 'suggested') ''')}"),
     "e_suggest_links": """SELECT person_mention_id, person_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY person_mention_id ORDER BY score DESC, person_id) AS rank FROM (
   SELECT m.person_mention_id, p.person_id, CAST(least(1, CASE WHEN s IS NULL OR ps IS NULL THEN 0 WHEN s = ps THEN 0.50 WHEN contains(s, ps) OR contains(ps, s) THEN 0.25 ELSE 0 END
     + CASE WHEN g IS NULL OR pg IS NULL THEN 0 WHEN g = pg THEN 0.30 WHEN contains(g, pg) OR contains(pg, g) THEN 0.15 ELSE 0 END

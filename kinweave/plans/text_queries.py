@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.functions.dates import with_parsed_date
+from kinweave.functions.dates import ABOUT, AFTER, BEFORE, MONTHS, OPEN_END, with_parsed_date
 from kinweave.functions.ids import attachment_type, content_hash, event_key, mime_type, uuid5
 from kinweave.functions.names import name_variants, normalized_names, primary_variant
 from kinweave.functions.text import language_hint, norm_space, norm_text, place_key, script_of, strip_diacritics
@@ -146,7 +146,49 @@ QUERIES = {
     )
 }
 
+_PREFIXES = "".join(
+    f"WHEN starts_with({'s' if which == 'plain' else 'bare'}, '{prefix}') THEN {{'kind': '{kind}', 'mod': '{mod}', 'l': substr({'s' if which == 'plain' else 'bare'}, {len(prefix) + 1}), 'r': ''}} "
+    for kind, prefixes in (("before", BEFORE), ("after", AFTER), ("about", ABOUT)) for which, prefix, mod in prefixes
+)
+_MONTHS = "MAP {" + ", ".join(f"'{name}': {n}" for n, names in MONTHS.items() for name in names.split()) + "}"
+
+
+def _single(text: str) -> str:
+    """SQL of one plain date as a struct."""
+    return f"""(SELECT CASE WHEN y IS NULL OR y < 1 THEN {{'a': NULL::DATE, 'z': NULL::DATE, 'p': CASE WHEN t[1] = '' THEN 'EMPTY' ELSE 'UNPARSED' END}}
+      WHEN m IS NOT NULL AND d > 0 THEN {{'a': day, 'z': day, 'p': CASE WHEN day IS NULL THEN 'UNPARSED' ELSE 'DAY' END}}
+      ELSE {{'a': make_date(y, coalesce(m, 1), 1), 'z': last_day(make_date(y, coalesce(m, 12), 1)), 'p': CASE WHEN m IS NULL THEN 'YEAR' ELSE 'MONTH' END}} END
+    FROM (SELECT *, try_cast(printf('%04d-%02d-%02d', y, m, d) AS DATE) AS day FROM (SELECT *, t[i]::INT AS y, {_MONTHS}[t[i - 1]] AS m, CASE WHEN i >= 3 AND regexp_full_match(t[i - 2], '[0-9]{{1,2}}') THEN t[i - 2]::INT END AS d
+      FROM (SELECT t, len(t) + 1 - list_position(list_reverse([regexp_full_match(x, '[0-9]{{3,4}}') for x in t]), true) AS i
+        FROM (SELECT string_split(trim(regexp_replace(regexp_replace(upper(strip_accents({text})), '[/.,]', ' ', 'g'), '\\s+', ' ', 'g')), ' ') AS t)))))"""
+
+
+_PARSED = f"""read AS (
+  SELECT *, CASE WHEN starts_with(s, 'BET ') AND contains(s, ' AND ') THEN {{'kind': 'range', 'mod': 'BET', 'l': split_part(substr(s, 5), ' AND ', 1), 'r': substr(substr(s, 5), instr(substr(s, 5), ' AND ') + 5)}}
+    WHEN starts_with(s, 'FROM ') AND contains(s, ' TO ') THEN {{'kind': 'range', 'mod': 'FROM_TO', 'l': split_part(substr(s, 6), ' TO ', 1), 'r': substr(substr(s, 6), instr(substr(s, 6), ' TO ') + 4)}}
+    {_PREFIXES}ELSE {{'kind': 'plain', 'mod': '', 'l': s, 'r': ''}} END AS k
+  FROM (SELECT date_raw, plain, upper(plain) AS s, strip_accents(upper(plain)) AS bare FROM (SELECT date_raw, trim(regexp_replace(coalesce(date_raw, ''), '\\s+', ' ', 'g')) AS plain FROM (SELECT DISTINCT date_raw FROM person_event)))
+), ends AS (
+  SELECT date_raw, plain, k.kind AS kind, k.mod AS mod, {_single('k.l')} AS l, {_single('k.r')} AS r, regexp_matches(strip_accents(k.r), '{OPEN_END}') AS open FROM read
+), bounds AS (
+  SELECT *, CASE WHEN kind <> 'before' THEN l.a END AS date_from, CASE WHEN kind = 'range' THEN CASE WHEN NOT open THEN r.z END WHEN kind <> 'after' THEN l.z END AS date_to,
+    CASE WHEN kind = 'range' THEN CASE WHEN l.p = CASE WHEN open THEN 'OPEN' ELSE r.p END THEN l.p ELSE 'RANGE' END ELSE l.p END AS p, coalesce(date_raw, '') = '' AS blank FROM ends
+), parsed AS (
+  SELECT date_raw, plain, date_from, date_to, CASE WHEN blank THEN '' ELSE p END AS precision, CASE WHEN blank THEN '' ELSE mod END AS modifier, CASE WHEN blank THEN 'EMPTY' WHEN date_from IS NOT NULL OR date_to IS NOT NULL THEN 'OK' ELSE 'UNPARSED' END AS status FROM bounds
+), warned AS (
+  SELECT date_raw, date_from, date_to, year(date_from)::INT AS year_from, year(date_to)::INT AS year_to, precision, modifier, status, CASE WHEN plain = '' THEN '' WHEN status <> 'OK' THEN 'UNPARSED' WHEN modifier IN ('ABT', 'EST', 'CAL') THEN 'APPROXIMATE'
+    WHEN modifier IN ('BEF', 'AFT', 'FROM', 'TO') THEN 'OPEN_BOUND' WHEN modifier IN ('BET', 'FROM_TO') THEN 'RANGE' ELSE '' END AS warning FROM parsed
+)"""
+
 _GED = r"^\s*(\d+)\s+(?:(@[^@]+@)\s+)?([A-Za-z0-9_]+)(?:[ \t](.*))?$"
+_LINES = rf"SELECT file, line_no, level::INT AS level, nullif(xref, '') AS xref, upper(tag) AS tag, value FROM (SELECT file, CAST(line_no AS INTEGER) AS line_no, regexp_extract(line, '{_GED}', 1) AS level, regexp_extract(line, '{_GED}', 2) AS xref, regexp_extract(line, '{_GED}', 3) AS tag, regexp_extract(line, '{_GED}', 4) AS value, regexp_matches(line, '{_GED}') AS ok FROM (SELECT doc_id::VARCHAR AS file, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS line_no FROM (SELECT doc_id, regexp_split_to_array(text, '\r\n|\n|\r') AS l FROM documents WHERE text IS NOT NULL))) WHERE ok AND length(level) <= 2"
+_RECORDS = f"""WITH lines AS ({_LINES}), r AS (
+  SELECT *, max(CASE WHEN level = 0 THEN line_no END) OVER (PARTITION BY file ORDER BY line_no) AS record_no FROM lines
+), h AS (
+  SELECT file, line_no AS record_no, xref AS record_xref, tag AS kind FROM lines WHERE level = 0
+), x AS (
+  SELECT r.*, h.record_xref, h.kind FROM r JOIN h USING (file, record_no)
+)"""
 ORACLE = {
     "a_norm_text": r"SELECT full_name, trim(regexp_replace(full_name, '\s+', ' ', 'g')) AS spaced, strip_accents(full_name) AS bare, lower(strip_accents(trim(regexp_replace(full_name, '\s+', ' ', 'g')))) AS normalized FROM (SELECT DISTINCT full_name FROM person_name)",
     "a_script": r"SELECT name_text, CASE WHEN c AND l THEN 'MIXED' WHEN c THEN 'CYR' WHEN l THEN 'LAT' ELSE 'OTHER' END AS script, CASE WHEN c AND l THEN 'mixed' WHEN c THEN 'uk-ru' WHEN l THEN 'pl-la' ELSE 'unknown' END AS hint FROM (SELECT DISTINCT name_text, regexp_matches(coalesce(name_text, ''), '[\x{0400}-\x{052F}]') AS c, regexp_matches(coalesce(name_text, ''), '[A-Za-z\x{00C0}-\x{024F}\x{1E00}-\x{1EFF}]') AS l FROM record_person_mention)",
@@ -158,7 +200,12 @@ ORACLE = {
     "a_name_collisions": sql("SELECT tree_id, lower(trim(display_name)) AS name, count(*) AS persons FROM person_v GROUP BY ALL HAVING count(*) > 1"),
     "a_event_histogram": sql("SELECT event_type, count(*) AS events FROM event_v GROUP BY 1"),
     "a_top_places": sql("SELECT place_raw, count(*) AS events FROM event_v WHERE place_raw IS NOT NULL GROUP BY 1 ORDER BY events DESC, place_raw LIMIT 20"),
-    "s_gedcom_lines": rf"SELECT file, line_no, level::INT AS level, nullif(xref, '') AS xref, upper(tag) AS tag, value FROM (SELECT file, CAST(line_no AS INTEGER) AS line_no, regexp_extract(line, '{_GED}', 1) AS level, regexp_extract(line, '{_GED}', 2) AS xref, regexp_extract(line, '{_GED}', 3) AS tag, regexp_extract(line, '{_GED}', 4) AS value, regexp_matches(line, '{_GED}') AS ok FROM (SELECT doc_id::VARCHAR AS file, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS line_no FROM (SELECT doc_id, regexp_split_to_array(text, '\r\n|\n|\r') AS l FROM documents WHERE text IS NOT NULL))) WHERE ok AND length(level) <= 2",
+    "s_gedcom_lines": _LINES,
+    "s_gedcom_individuals": f"{_RECORDS} SELECT file, record_xref, arg_min(value, line_no) FILTER (level = 1 AND tag = 'NAME') AS name, upper(left(arg_min(value, line_no) FILTER (level = 1 AND tag = 'SEX'), 1)) AS sex FROM x WHERE kind = 'INDI' GROUP BY file, record_no, record_xref",
+    "s_gedcom_unresolved": rf"{_RECORDS} SELECT file, record_xref AS family_xref, tag AS role, trim(regexp_replace(value, '\s+', ' ', 'g')) AS member_xref FROM x WHERE kind = 'FAM' AND level = 1 AND tag IN ('HUSB', 'WIFE', 'CHIL') AND NOT EXISTS (SELECT 1 FROM h i WHERE i.kind = 'INDI' AND i.file = x.file AND i.record_xref = trim(regexp_replace(x.value, '\s+', ' ', 'g')))",
+    "a_parse_date": f"WITH {_PARSED} SELECT * FROM warned",
+    "a_date_warnings": sql("SELECT event_type, warning, count(*) AS events FROM event_v e JOIN warned w ON w.date_raw IS NOT DISTINCT FROM e.date_raw WHERE warning <> '' GROUP BY ALL", _PARSED),
+    "a_uuid5": "SELECT external_id, concat_ws('-', substr(h, 1, 8), substr(h, 9, 4), '5' || substr(h, 14, 3), translate(substr(h, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substr(h, 18, 3), substr(h, 21, 12)) AS uuid FROM (SELECT external_id, lower(sha1(unhex('6f8a0d4d9b9f4d498f2d2a8c9fe2a2f1') || encode(external_id))) AS h FROM person WHERE external_id IS NOT NULL)",
     "e_content_hash": "SELECT sha256(text) AS content_hash, count(*) AS links, min(doc_id) AS first_doc FROM documents WHERE text IS NOT NULL GROUP BY 1",
     "e_mime": "SELECT doc_id, ['image/png', 'image/jpeg', 'image/gif', 'image/webp', 'image/tiff', 'application/pdf', NULL][doc_id % 7 + 1] AS mime, CASE WHEN doc_id % 7 < 5 THEN 'image' WHEN doc_id % 7 = 5 THEN 'document' ELSE 'other' END AS attachment_type FROM documents",
 }

@@ -227,6 +227,12 @@ ORACLE = {
         "up AS (SELECT tree_id, start_id, person_id, min(generation) AS depth FROM walk GROUP BY ALL UNION ALL SELECT tree_id, person_id, person_id, 0 FROM person_v)",
         recursive=True,
     ),
+    "b_paths_between": sql(
+        "SELECT tree_id, pair_id, min(depth)::INT AS steps FROM reach WHERE cur = b_id GROUP BY ALL",
+        _COUSINS, "steps AS (SELECT tree_id, parent_id AS a, child_id AS b FROM parent_v UNION SELECT tree_id, child_id, parent_id FROM parent_v)",
+        "reach AS (SELECT tree_id, pair_id, b_id, a_id AS cur, 0 AS depth FROM cousins UNION SELECT r.tree_id, r.pair_id, r.b_id, s.b, r.depth + 1 FROM reach r JOIN steps s ON s.tree_id = r.tree_id AND s.a = r.cur WHERE r.depth < 8 AND r.cur <> r.b_id)",
+        recursive=True,
+    ),
     "b_bounded_context": sql(
         "SELECT tree_id, start_id, person_id, min(generation) AS generation, 'up' AS direction FROM walk GROUP BY ALL UNION ALL SELECT tree_id, start_id, person_id, min(generation), 'down' FROM walk2 GROUP BY ALL",
         _walk(True, 3), _walk(False, 2).replace("walk", "walk2"), recursive=True,
