@@ -148,7 +148,7 @@ def stage_gedcom_import(lib: Library, path: str, tree: str | None = None) -> dic
     """The relations of interchange files, ready to be stored as a staged batch; ids belong to the tree, or to each file's name without one."""
     tree_id = None if tree is None else _tree_id(lib, tree)
     g = gedcom.parse(gedcom.lines(gedcom.read_text_files(lib.ws.tree.sparkSession, path)))
-    return {"individuals": g.individuals, "events": gedcom.staged_events(g, tree_id), "families": gedcom.staged_families(g, tree_id), "labels": gedcom.person_labels(g, tree_id), "parents": gedcom.parent_edges(g), "citations": g.citations, "unresolved": gedcom.unresolved_references(g)}
+    return {"individuals": g.individuals, "events": gedcom.staged_events(g, tree_id), "families": gedcom.staged_families(g, tree_id), "labels": gedcom.person_labels(g, tree_id), "spouses": gedcom.spouse_edges(g, tree_id), "date_warnings": gedcom.staged_date_warnings(g, tree_id), "places": gedcom.staged_places(g), "parents": gedcom.parent_edges(g), "citations": g.citations, "unresolved": gedcom.unresolved_references(g)}
 
 
 def get_gedcom_import_preview(stored: imports.Snapshot, staged: imports.Snapshot) -> dict[str, DataFrame]:
@@ -175,7 +175,9 @@ def find_import_duplicate_candidates(lib: Library, batch_id: str, min_score: flo
 
 def get_duplicate_candidate_detail(lib: Library, candidate_id: int) -> dict[str, DataFrame]:
     one = lib.candidates.filter(F.col("duplicate_candidate_id") == candidate_id)
-    return {"candidate": one.dropDuplicates(["duplicate_candidate_id"]).drop("events"), "events": imports.candidate_events(one)}
+    w = lib.ws
+    relatives = imports.candidate_relatives(one, w.parent, w.family, w.person, "existing_tree_person_id", "existing")
+    return {"candidate": one.dropDuplicates(["duplicate_candidate_id"]).drop("events"), "events": imports.candidate_events(one), "relatives": relatives}
 
 
 def reject_tree_person_merge_candidate(lib: Library, candidate_id: int) -> DataFrame:

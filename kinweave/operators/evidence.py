@@ -200,7 +200,28 @@ def patch_records(records: DataFrame, patch: DataFrame, columns: list[str]) -> D
 class Limits:
     file_bytes: int = 20 * 1024 * 1024
     record_bytes: int = 100 * 1024 * 1024
-    base64_chars: int = 8 * 1024 * 1024
+    base64_bytes: int = 8 * 1024 * 1024
+
+
+def decoded_blobs(blobs: DataFrame, limits: Limits = Limits()) -> tuple[DataFrame, DataFrame]:
+    """(blobs, rejected) of attachments given as base64 text: source_record_id, base64, sequence_no.
+
+    A text that must decode to more than the limit is rejected before it is decoded; so are
+    one that decodes to more and one that is no base64.  Null is an empty blob.
+    """
+    most = (limits.base64_bytes + 2) // 3 * 4 + 4
+    long = F.length("base64") > most
+    df = blobs.withColumn("content", F.when(~F.coalesce(long, F.lit(False)), F.try_to_binary(F.coalesce("base64", F.lit("")), F.lit("base64"))))
+    reason = F.when(long | (F.length("content") > limits.base64_bytes), "too large").when(F.col("content").isNull(), "no base64")
+    df = df.withColumn("reason", reason)
+    return df.filter("reason is null").drop("reason", "base64"), df.filter("reason is not null").select("source_record_id", "sequence_no", "reason")
+
+
+def blobs_of_files(files: DataFrame, contents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(blobs, rejected) of attachments given by path: ``files`` source_record_id, path, sequence_no; ``contents`` as binaryFile reads it."""
+    both = files.join(contents.select("path", "content", F.lit(True).alias("_read")), "path", "left")
+    missing = both.filter("_read is null").select("source_record_id", "sequence_no", F.lit("no such file").alias("reason"))
+    return both.filter("_read").drop("path", "_read"), missing
 
 
 def store_attachments(blobs: DataFrame, limits: Limits = Limits()) -> tuple[DataFrame, DataFrame, DataFrame]:

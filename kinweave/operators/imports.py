@@ -301,6 +301,24 @@ def candidate_events(candidates: DataFrame) -> DataFrame:
     return once.select("duplicate_candidate_id", F.posexplode("events").alias("position", "e")).select("duplicate_candidate_id", "position", "e.*").filter(F.col("event_type").isin("BIRT", "CHR", "DEAT", "MARR"))
 
 
+def candidate_relatives(candidates: DataFrame, parent: DataFrame, family: DataFrame, person: DataFrame, column: str, side: str) -> DataFrame:
+    """(duplicate_candidate_id, side, relation, relative_id, name): parents, children and spouses of one person of each candidate.
+
+    ``column`` names the candidate's person, ``parent``, ``family`` and ``person`` are the side
+    that it belongs to.  A candidate without that person, or one without relatives, has no rows.
+    """
+    once = candidates.select("duplicate_candidate_id", F.lower(F.trim(column)).alias("person_id")).filter("person_id is not null").distinct()
+    kin = [
+        parent.select("tree_id", F.col("child_id").alias("person_id"), F.lit("parent").alias("relation"), F.col("parent_id").alias("relative_id")),
+        parent.select("tree_id", F.col("parent_id").alias("person_id"), F.lit("child").alias("relation"), F.col("child_id").alias("relative_id")),
+        family.select("tree_id", F.col("spouse1_id").alias("person_id"), F.lit("spouse").alias("relation"), F.col("spouse2_id").alias("relative_id")),
+        family.select("tree_id", F.col("spouse2_id").alias("person_id"), F.lit("spouse").alias("relation"), F.col("spouse1_id").alias("relative_id")),
+    ]
+    names = person.select("tree_id", F.col("person_id").alias("relative_id"), F.col("display_name").alias("name"))
+    rows = once.join(reduce(DataFrame.unionByName, kin), "person_id").join(names, ["tree_id", "relative_id"])
+    return rows.select("duplicate_candidate_id", F.lit(side).alias("side"), "relation", "relative_id", "name").distinct()
+
+
 def readiness(batches: DataFrame, candidates: DataFrame, names: DataFrame | None = None, warnings: DataFrame | None = None, high: float = 0.90) -> DataFrame:
     """The four gates of every batch, with severity ``pass`` where nothing is amiss.
 

@@ -82,6 +82,11 @@ def c_candidate_events(spark: SparkSession, d: str) -> DataFrame:
     return imports.candidate_events(_candidates(spark, d)).select("duplicate_candidate_id", "position", "side", "event_type", "date_raw", "place_raw", "has_source_citation")
 
 
+def c_candidate_relatives(spark: SparkSession, d: str) -> DataFrame:
+    ws = workspace(spark, d)
+    return imports.candidate_relatives(_candidates(spark, d), ws.parent, ws.family, ws.person, "existing_tree_person_id", "existing")
+
+
 def _gate_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Names and date warnings per batch, as the proposals show them: doubtful names, and dates with a word before them."""
     once = _candidates(spark, d).dropDuplicates(["duplicate_candidate_id"])
@@ -141,7 +146,7 @@ def c_apply_kept_events(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        c_preview, c_preview_samples, c_duplicates_within, c_duplicates_vs_tree, c_candidate_summary, c_candidate_list, c_candidate_events, c_readiness, c_pending, c_cancel, c_readiness_report, c_suppress_rejected, c_apply, c_apply_delete_missing, c_apply_persons, c_apply_events, c_apply_citations, c_apply_kept_events,
+        c_preview, c_preview_samples, c_duplicates_within, c_duplicates_vs_tree, c_candidate_summary, c_candidate_list, c_candidate_events, c_candidate_relatives, c_readiness, c_pending, c_cancel, c_readiness_report, c_suppress_rejected, c_apply, c_apply_delete_missing, c_apply_persons, c_apply_events, c_apply_citations, c_apply_kept_events,
     )
 }
 
@@ -342,6 +347,12 @@ ORACLE = {
     "c_candidate_summary": f"WITH {_ONCE} SELECT candidate_scope, count(*) AS candidates, sum(CASE WHEN score >= 0.9 THEN 1 ELSE 0 END)::BIGINT AS high, sum(CASE WHEN score >= 0.75 AND score < 0.9 THEN 1 ELSE 0 END)::BIGINT AS medium, max(score) AS max_score FROM once GROUP BY 1",
     "c_candidate_list": f"WITH {_ONCE} SELECT import_batch_id, CAST(rank AS INTEGER) AS rank, duplicate_candidate_id, candidate_scope, import_person1_name, import_person2_name, existing_person_name, score FROM (SELECT *, row_number() OVER (PARTITION BY import_batch_id ORDER BY score DESC, duplicate_candidate_id) AS rank FROM once WHERE status = 'suggested') WHERE rank <= 100",
     "c_candidate_events": f"WITH {_ONCE} SELECT duplicate_candidate_id, CAST(position AS INTEGER) AS position, e.side AS side, e.event_type AS event_type, e.date_raw AS date_raw, e.place_raw AS place_raw, e.has_source_citation AS has_source_citation FROM (SELECT duplicate_candidate_id, unnest(events) AS e, generate_subscripts(events, 1) - 1 AS position FROM once) WHERE e.event_type IN ('BIRT', 'CHR', 'DEAT', 'MARR')",
+    "c_candidate_relatives": sql(
+        """SELECT DISTINCT c.duplicate_candidate_id, 'existing' AS side, k.relation, k.relative_id, p.display_name AS name FROM (SELECT DISTINCT duplicate_candidate_id, lower(trim(existing_tree_person_id)) AS person_id FROM duplicate_candidate) c
+  JOIN (SELECT tree_id, child_id AS person_id, 'parent' AS relation, parent_id AS relative_id FROM parent_v UNION ALL SELECT tree_id, parent_id, 'child', child_id FROM parent_v
+    UNION ALL SELECT tree_id, spouse1_id, 'spouse', spouse2_id FROM family_v UNION ALL SELECT tree_id, spouse2_id, 'spouse', spouse1_id FROM family_v) k USING (person_id)
+  JOIN person_v p ON p.tree_id = k.tree_id AND p.person_id = k.relative_id""",
+    ),
     "c_readiness": f"WITH {_ONCE}, {_GATES} SELECT import_batch_id, gate, CASE WHEN issues > 0 THEN bad ELSE 'pass' END AS severity, issues, issues = 0 AS passed FROM g",
     "c_readiness_report": f"WITH {_ONCE}, {_GATES} SELECT b.import_batch_id, NOT EXISTS (SELECT 1 FROM g WHERE g.import_batch_id = b.import_batch_id AND bad = 'blocker' AND issues > 0) AS can_apply_without_review, true AS requires_explicit_confirmation, (SELECT count(*) FROM g WHERE g.import_batch_id = b.import_batch_id AND issues > 0) AS failed_gates, (SELECT count(*) FROM once o WHERE o.import_batch_id = b.import_batch_id AND o.status = 'suggested') AS duplicates, CASE WHEN b.status IN ('STAGED', 'PREVIEWED') THEN 'WAITING_FOR_CONFIRMATION' ELSE b.status END AS status FROM gedcom_import_batch b",
     "c_pending": f"WITH {_ONCE}, top AS (SELECT * FROM gedcom_import_batch WHERE status IN ('STAGED', 'PREVIEWED', 'WAITING_FOR_CONFIRMATION') ORDER BY created_at DESC NULLS LAST, import_batch_id LIMIT 50) SELECT t.import_batch_id, t.tree_name, t.status, t.person_count, count(o.duplicate_candidate_id) AS open_candidates FROM top t LEFT JOIN once o ON o.import_batch_id = t.import_batch_id AND o.status = 'suggested' GROUP BY ALL",

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kinweave.functions.dates import with_parsed_date
+from kinweave.functions.dates import warning_message, with_parsed_date
 from kinweave.functions.ids import event_key, family_key, person_key
 from kinweave.functions.text import event_value_or_none, norm_space, place_key
 
@@ -107,6 +107,9 @@ def unresolved_references(g: Gedcom) -> DataFrame:
     return g.members.join(known, ["file", "member_xref"], "left_anti").select("file", "family_xref", "role", "member_xref")
 
 
+_DATE = ["date_raw", "date_from", "date_to", "year_from", "year_to", "precision", "modifier", "status", "warning"]
+
+
 def _tree(tree_id: str | None) -> Column:
     """The tree that ids belong to; without one each file is a tree, told by its name whatever its folder."""
     return F.lit(tree_id) if tree_id is not None else F.substring_index("file", "/", -1)
@@ -117,12 +120,12 @@ def staged_events(g: Gedcom, tree_id: str | None = None) -> DataFrame:
 
     An event's ordinal counts within its person in the order own, family, children.
     """
-    own = g.events.filter("kind = 'INDI'").select("file", F.col("record_xref").alias("xref"), F.lit(1).alias("phase"), F.col("record_no").alias("a"), F.col("event_no").alias("b"), "tag", "value", "date_raw", "date_from", "date_to", "year_from", "year_to", "place_raw", F.lit(None).cast("string").alias("related"), F.lit(False).alias("derived"))
+    own = g.events.filter("kind = 'INDI'").select("file", F.col("record_xref").alias("xref"), F.lit(1).alias("phase"), F.col("record_no").alias("a"), F.col("event_no").alias("b"), "tag", "value", *_DATE, "place_raw", F.lit(None).cast("string").alias("related"), F.lit(False).alias("derived"))
     spouses = g.members.filter("role in ('HUSB', 'WIFE')").join(g.individuals.select("file", F.col("record_xref").alias("member_xref")), ["file", "member_xref"], "left_semi")
-    fam = g.events.filter("kind = 'FAM'").join(spouses.select("file", "record_no", "member_xref"), ["file", "record_no"]).select("file", F.col("member_xref").alias("xref"), F.lit(2).alias("phase"), F.col("record_no").alias("a"), F.col("event_no").alias("b"), "tag", "value", "date_raw", "date_from", "date_to", "year_from", "year_to", "place_raw", F.col("record_xref").alias("related"), F.lit(True).alias("derived"))
+    fam = g.events.filter("kind = 'FAM'").join(spouses.select("file", "record_no", "member_xref"), ["file", "record_no"]).select("file", F.col("member_xref").alias("xref"), F.lit(2).alias("phase"), F.col("record_no").alias("a"), F.col("event_no").alias("b"), "tag", "value", *_DATE, "place_raw", F.col("record_xref").alias("related"), F.lit(True).alias("derived"))
     kids = g.members.filter("role = 'CHIL'").select("file", "record_no", "line_no", F.col("member_xref").alias("child"))
-    birth = g.events.filter("kind = 'INDI' and tag = 'BIRT'").groupBy("file", F.col("record_xref").alias("child")).agg(F.min(F.struct("event_no", "date_raw", "date_from", "date_to", "year_from", "year_to", "place_raw")).alias("e"))
-    child = spouses.select("file", "record_no", "member_xref").join(kids, ["file", "record_no"]).join(birth, ["file", "child"]).select("file", F.col("member_xref").alias("xref"), F.lit(3).alias("phase"), F.col("record_no").alias("a"), F.col("line_no").alias("b"), F.lit("CHILD_BIRTH").alias("tag"), F.lit(None).cast("string").alias("value"), *[f"e.{c}" for c in ("date_raw", "date_from", "date_to", "year_from", "year_to", "place_raw")], F.col("child").alias("related"), F.lit(True).alias("derived"))
+    birth = g.events.filter("kind = 'INDI' and tag = 'BIRT'").groupBy("file", F.col("record_xref").alias("child")).agg(F.min(F.struct("event_no", *_DATE, "place_raw")).alias("e"))
+    child = spouses.select("file", "record_no", "member_xref").join(kids, ["file", "record_no"]).join(birth, ["file", "child"]).select("file", F.col("member_xref").alias("xref"), F.lit(3).alias("phase"), F.col("record_no").alias("a"), F.col("line_no").alias("b"), F.lit("CHILD_BIRTH").alias("tag"), F.lit(None).cast("string").alias("value"), *[f"e.{c}" for c in (*_DATE, "place_raw")], F.col("child").alias("related"), F.lit(True).alias("derived"))
     rows = own.unionByName(fam).unionByName(child).filter("tag <> 'BURI'")
     rows = rows.withColumn("ordinal", F.row_number().over(W.partitionBy("file", "xref").orderBy("phase", "a", "b")))
     keyed = rows.withColumn("event_key", event_key(F.col("xref"), F.col("tag"), F.col("value"), F.col("date_raw"), F.col("year_from"), F.col("year_to"), F.col("place_raw"), F.col("related"), F.col("derived"), F.col("ordinal")))
@@ -171,3 +174,27 @@ def person_labels(g: Gedcom, tree_id: str | None = None) -> DataFrame:
         .when(F.col("home.child_name").isNotNull(), F.concat(F.lit("Unnamed parent of "), F.col("home.child_name"))).otherwise(F.concat(F.lit("Unnamed person "), F.col("xref")))
     )
     return people.join(first, ["file", "xref"], "left").select("file", "xref", person_key(F.col("xref"), _tree(tree_id)).alias("person_id"), F.col("shown").alias("name"), label.alias("label"))
+
+
+def staged_date_warnings(g: Gedcom, tree_id: str | None = None) -> DataFrame:
+    """The staged events whose dates are doubtful, open or no dates, with the person's name, the kind and its text."""
+    rows = staged_events(g, tree_id).filter("warning <> ''")
+    named = person_labels(g, tree_id).select("file", "xref", F.col("name").alias("person_name"))
+    return rows.join(named, ["file", "xref"], "left").select(
+        "file", "xref", "person_id", "person_name", "ordinal", F.col("tag").alias("event_type"), "date_raw", "date_from", "date_to", "precision", "modifier", "status", "warning", warning_message(F.col("warning")).alias("message")
+    )
+
+
+def spouse_edges(g: Gedcom, tree_id: str | None = None) -> DataFrame:
+    """(file, from_xref, to_xref, from_id, to_id, family_id, relation_type, marriage_year, marriage_place): each marriage both ways."""
+    f = staged_families(g, tree_id)
+    way = lambda a, b: F.struct(F.col(a).alias("from_xref"), F.col(b).alias("to_xref"))
+    both = f.select("file", "family_id", "marriage_year", "marriage_place", F.inline(F.array(way("husband", "wife"), way("wife", "husband"))))
+    ids = [person_key(F.col(c), _tree(tree_id)).alias(c.replace("xref", "id")) for c in ("from_xref", "to_xref")]
+    return both.select("file", "from_xref", "to_xref", *ids, "family_id", F.lit("MARR").alias("relation_type"), "marriage_year", "marriage_place")
+
+
+def staged_places(g: Gedcom) -> DataFrame:
+    """(file, row_number, place_raw, place_normalized): the places of each file's events, once each, numbered by their text."""
+    once = g.events.filter("place_raw is not null").select("file", "place_raw", "place_normalized").distinct()
+    return once.withColumn("row_number", F.row_number().over(W.partitionBy("file").orderBy("place_raw"))).select("file", "row_number", "place_raw", "place_normalized")

@@ -10,23 +10,61 @@ from pyspark.sql import types as T
 
 from kinweave.functions.text import scrub_tsv
 
-_KINDS = {"u": T.StringType(), "t": T.StringType(), "i": T.IntegerType(), "s": T.ShortType(), "b": T.BooleanType(), "d": T.DateType(), "n": T.DecimalType(5, 4)}
+_KINDS = {"uuid": T.StringType(), "text": T.StringType(), "integer": T.IntegerType(), "short": T.ShortType(), "boolean": T.BooleanType(), "date": T.DateType(), "decimal": T.DecimalType(5, 4)}
 
-#: Columns of the staged relations; u id, t text, i integer, s short, b boolean, d date, n decimal.
+#: The staged relations in load order, with their columns and types.
 RELATIONS = {
-    "person": "ImportBatchId:u TreePersonId:u ExternalId:t Sex:t IsLiving:b PrimaryDisplayName:t SurnameNormalized:t",
-    "person_name": "ImportBatchId:u RowNumber:i TreePersonId:u ScriptCode:t NameType:t Given:t Surname:t FullName:t FullNameNormalized:t IsPrimary:b",
-    "place": "ImportBatchId:u RowNumber:i PlaceRaw:t PlaceNormalized:t",
-    "family": "ImportBatchId:u FamilyId:u ExternalId:t Spouse1TreePersonId:u Spouse2TreePersonId:u MarriageDateRaw:t MarriageYear:s MarriagePlaceRaw:t Notes:t",
-    "family_child": "ImportBatchId:u FamilyId:u ChildTreePersonId:u",
-    "parent_of": "ImportBatchId:u ParentTreePersonId:u ChildTreePersonId:u RelationType:t",
-    "event": "ImportBatchId:u RowNumber:i ExternalEventKey:t TreePersonId:u EventType:t EventValue:t DateRaw:t DateFrom:d DateTo:d YearFrom:s YearTo:s PlaceRaw:t PlaceNormalized:t FamilyId:u RelatedTreePersonId:u IsDerived:b Notes:t",
-    "event_citation": "ImportBatchId:u RowNumber:i EventRowNumber:i SourceRef:t SourceTitle:t Page:t Quality:t CitationDateRaw:t CitationText:t Note:t",
-}
+    "person": {
+        "ImportBatchId": "uuid", "TreePersonId": "uuid", "ExternalId": "text", "Sex": "text", "IsLiving": "boolean", "PrimaryDisplayName": "text",
+        "SurnameNormalized": "text",
+    },
+    "person_name": {
+        "ImportBatchId": "uuid", "RowNumber": "integer", "TreePersonId": "uuid", "ScriptCode": "text", "NameType": "text", "Given": "text",
+        "Surname": "text", "FullName": "text", "FullNameNormalized": "text", "IsPrimary": "boolean",
+    },
+    "person_name_parsed": {
+        "ImportBatchId": "uuid", "RowNumber": "integer", "SourceNameRowNumber": "integer", "TreePersonId": "uuid", "RawName": "text",
+        "NameType": "text", "ScriptCode": "text", "GivenName": "text", "Patronymic": "text", "Surname": "text", "MaidenSurname": "text",
+        "MarriedSurname": "text", "TitlePrefix": "text", "Suffix": "text", "LanguageHint": "text", "GivenNameNormalized": "text",
+        "PatronymicNormalized": "text", "SurnameNormalized": "text", "FullNameNormalized": "text", "NameTokens": "text",
+        "VariantExplanation": "text", "NormalizationConfidence": "decimal", "ParserStatus": "text",
+    },
+    "place": {
+        "ImportBatchId": "uuid", "RowNumber": "integer", "PlaceRaw": "text", "PlaceNormalized": "text",
+    },
+    "family": {
+        "ImportBatchId": "uuid", "FamilyId": "uuid", "ExternalId": "text", "Spouse1TreePersonId": "uuid", "Spouse2TreePersonId": "uuid",
+        "MarriageDateRaw": "text", "MarriageYear": "short", "MarriagePlaceRaw": "text", "Notes": "text",
+    },
+    "family_child": {
+        "ImportBatchId": "uuid", "FamilyId": "uuid", "ChildTreePersonId": "uuid",
+    },
+    "parent_of": {
+        "ImportBatchId": "uuid", "ParentTreePersonId": "uuid", "ChildTreePersonId": "uuid", "RelationType": "text",
+    },
+    "spouse_of": {
+        "ImportBatchId": "uuid", "RowNumber": "integer", "FromTreePersonId": "uuid", "ToTreePersonId": "uuid", "RelationType": "text",
+        "FamilyId": "uuid", "MarriageYear": "short", "MarriagePlaceRaw": "text",
+    },
+    "event": {
+        "ImportBatchId": "uuid", "RowNumber": "integer", "ExternalEventKey": "text", "TreePersonId": "uuid", "EventType": "text",
+        "EventValue": "text", "DateRaw": "text", "DateFrom": "date", "DateTo": "date", "YearFrom": "short", "YearTo": "short", "PlaceRaw": "text",
+        "PlaceNormalized": "text", "FamilyId": "uuid", "RelatedTreePersonId": "uuid", "IsDerived": "boolean", "Notes": "text",
+    },
+    "date_warning": {
+        "ImportBatchId": "uuid", "EventRowNumber": "integer", "TreePersonId": "uuid", "PersonXref": "text", "PersonName": "text",
+        "EventType": "text", "DateRaw": "text", "DateFrom": "date", "DateTo": "date", "DatePrecision": "text", "DateModifier": "text",
+        "DateStatus": "text", "WarningKind": "text", "WarningMessage": "text",
+    },
+    "event_citation": {
+        "ImportBatchId": "uuid", "RowNumber": "integer", "EventRowNumber": "integer", "SourceRef": "text", "SourceTitle": "text", "Page": "text",
+        "Quality": "text", "CitationDateRaw": "text", "CitationText": "text", "Note": "text",
+    },
+}
 
 
 def columns(relation: str) -> list[tuple[str, T.DataType]]:
-    return [(n, _KINDS[k]) for n, k in (c.split(":") for c in RELATIONS[relation].split())]
+    return [(name, _KINDS[kind]) for name, kind in RELATIONS[relation].items()]
 
 
 def write_tsv(df: DataFrame, path: str) -> None:
@@ -50,14 +88,50 @@ def read_tsv(spark: SparkSession, path: str, relation: str) -> DataFrame:
     return raw.select(*typed)
 
 
-def manifest(relations: dict[str, DataFrame]) -> dict:
-    """Row counts per relation in load order."""
-    return {"relations": [{"name": n, "rows": df.count()} for n, df in relations.items()]}
+#: Fixed value: the file of date warnings is not named after its relation.
+_FILES = {"date_warning": "date_parse_warnings.tsv"}
+
+
+def file_name(relation: str) -> str:
+    return _FILES.get(relation, f"gedcom_import_{relation}.tsv")
+
+
+def manifest(relations: dict[str, DataFrame], **batch: str | None) -> dict:
+    """What a staged batch consists of: ``batch`` (batchId, sourceFilePath, sourceFileHash, treeId...), counts per file, and the load order."""
+    counts = {file_name(n): relations[n].count() for n in RELATIONS if n in relations}
+    return batch | {"counts": counts, "encoding": "utf-16", "artifacts": {"dateParseWarnings": file_name("date_warning")}, "loadOrder": list(counts)}
 
 
 def read_manifest(text: str) -> dict[str, int]:
-    """Counts by lower-case relation name; a missing count is 0."""
-    return {r["name"].lower(): int(r.get("rows") or 0) for r in json.loads(text).get("relations", [])}
+    """Counts by lower-case relation name, from file counts or from a list of relations; a missing count is 0."""
+    document = json.loads(text)
+    listed = {r["name"].lower(): int(r.get("rows") or 0) for r in document.get("relations", [])}
+    named = {file_name(n): n for n in RELATIONS}
+    return listed | {named[f]: int(rows or 0) for f, rows in document.get("counts", {}).items() if f in named}
+
+
+def file_hashes(spark: SparkSession, path: str) -> DataFrame:
+    """(file, source_hash) of source files, as manifests name them."""
+    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.sha2("content", 256).alias("source_hash"))
+
+
+def export_batch(relations: dict[str, DataFrame], folder: str, **batch: str | None) -> dict:
+    """Writes each relation as a file of the declared columns (missing ones null) below ``folder``; returns the manifest."""
+    for name, df in relations.items():
+        typed = [(F.col(c) if c in df.columns else F.lit(None)).cast(kind).alias(c) for c, kind in columns(name)]
+        write_tsv(df.select(*typed), f"{folder}/{file_name(name)}")
+    return manifest(relations, **batch)
+
+
+def load_batch(spark: SparkSession, folder: str, described: dict) -> dict[str, DataFrame]:
+    """All relations of a batch in load order; a number of rows other than the manifest's is an error."""
+    expected = read_manifest(json.dumps(described))
+    out = {name: read_tsv(spark, f"{folder}/{file_name(name)}", name) for name in RELATIONS if name in expected}
+    for name, df in out.items():
+        rows = df.count()
+        if rows != expected[name]:
+            raise ValueError(f"{file_name(name)} has {rows} rows, not {expected[name]}")
+    return out
 
 
 def json_documents(df: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 import pytest
 
-from kinweave.sources import gedcom
+from kinweave.sources import gedcom, staging
 from kinweave.sources.staging import json_documents, read_manifest, read_tsv, write_tsv
 from kinweave.streaming.arrivals import arriving_lines, store_lines
 
@@ -103,3 +103,22 @@ def test_labels_and_ids(spark):
     ids = gedcom.person_labels(g)
     assert ids.select("person_id").distinct().count() == 4  # the folder does not matter
     assert gedcom.person_labels(g, "t").join(ids, ["file", "xref", "person_id"]).count() == 0
+
+
+def test_warnings_spouses_and_places(spark):
+    rows = spark.createDataFrame([("f", TEXT)], "file string, text string")
+    g = gedcom.parse(gedcom.lines(rows))
+    got = {(r.xref, r.event_type, r.warning, r.message.split(";")[0]) for r in gedcom.staged_date_warnings(g, "t").collect()}
+    assert ("@I3@", "BIRT", "APPROXIMATE", "Approximate/calculated date") in got and ("@I1@", "CHILD_BIRTH", "APPROXIMATE", "Approximate/calculated date") in got
+    assert {(r.from_xref, r.to_xref, r.marriage_year) for r in gedcom.spouse_edges(g, "t").collect()} == {("@I1@", "@I2@", 1818), ("@I2@", "@I1@", 1818)}
+    assert [r.row_number for r in gedcom.staged_places(g).orderBy("row_number").collect()] == [1, 2]
+
+
+def test_staged_batch_round_trip(spark, tmp_path):
+    edges = spark.createDataFrame([("b", 1, "x", "y", "MARR", None, 1818, "Київ\tcity")], "ImportBatchId string, RowNumber int, FromTreePersonId string, ToTreePersonId string, RelationType string, FamilyId string, MarriageYear int, MarriagePlaceRaw string")
+    described = staging.export_batch({"spouse_of": edges}, str(tmp_path), batchId="b", sourceFileHash="h")
+    assert described["counts"] == {"gedcom_import_spouse_of.tsv": 1} and described["batchId"] == "b"
+    back = staging.load_batch(spark, str(tmp_path), described)["spouse_of"]
+    assert [tuple(r) for r in back.collect()] == [("b", 1, "x", "y", "MARR", None, 1818, "Київ\tcity")]
+    with pytest.raises(ValueError):
+        staging.load_batch(spark, str(tmp_path), described | {"counts": {"gedcom_import_spouse_of.tsv": 2}})

@@ -2,9 +2,13 @@
 
 import datetime as dt
 import random
+from types import SimpleNamespace
+
+import pytest
 
 from kinweave.operators.hierarchy import descendants, forest, paths
 from kinweave.operators.joins import counted_join
+from kinweave.operators import runtime
 from kinweave.operators.references import Parents, References, orphan_references, orphan_report
 
 T = dt.datetime
@@ -81,3 +85,23 @@ def test_counted_join(spark):
     got = sorted((r.k or "", r.v) for r in counted_join(rows, values, "k", "n").filter("k <> 'a' or k is null").collect())
     assert got == [("", None), ("b", 2), ("c", None)]
     assert counted_join(rows, values, "k", "n", "inner").count() == 501
+
+
+def test_ids_with_the_separator(spark):
+    rows = spark.createDataFrame([("a>b", "r"), ("c", "a>b")], "person_id string, parent_person_id string")
+    got = {tuple(r) for r in descendants(forest(rows, "person_id", "parent_person_id")).select("node", "descendant", "distance").collect()}
+    assert got == {("r", "a>b", 1), ("r", "c", 2), ("a>b", "c", 1)}
+
+
+def test_descendants_of_wide_and_deep_trees(spark):
+    pairs = [(f"k{k}", "root") for k in range(300)] + [(f"d{k}", f"d{k - 1}" if k else "k7") for k in range(60)]
+    f = forest(spark.createDataFrame(pairs, "a string, b string"), "a", "b")
+    got = descendants(f)
+    assert got.count() == got.select("node", "descendant").distinct().count() == f.nodes.selectExpr("sum(depth)").first()[0]
+
+
+def test_cluster_needs_a_shared_folder():
+    conf = SimpleNamespace(get=lambda key, default=None: default)
+    spark = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None))
+    with pytest.raises(RuntimeError):
+        runtime.checkpoint_root(spark)

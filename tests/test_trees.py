@@ -6,7 +6,7 @@ from collections import defaultdict
 import pytest
 
 from kinweave.operators import graphs, trees
-from kinweave.operators.evidence import Limits, decide_links, orphan_contents, persist_candidates, store_attachments, suggest_links
+from kinweave.operators.evidence import Limits, accept_on_mentions, blobs_of_files, decide_links, decoded_blobs, orphan_contents, persist_candidates, store_attachments, suggest_links
 from kinweave.operators.imports import apply_import, cancel, duplicates, preview
 from kinweave.operators.merges import merge_snapshot, or_equi_join
 from kinweave.plans.adapters import Workspace
@@ -158,3 +158,15 @@ def test_walk_tells_ids_that_contain_each_other(spark):
     edges = spark.createDataFrame([("t", "222", "111"), ("t", "11", "222"), ("t", "1", "11"), ("t", "111", "1")], "tree_id string, parent_id string, child_id string")
     got = {(r.person_id, r.generation) for r in graphs.walk(edges, True, 9).filter("start_id = '111'").collect()}
     assert got == {("222", 1), ("11", 2), ("1", 3)}
+
+
+def test_accepted_links_and_blob_channels(spark):
+    m = spark.createDataFrame([("m1", "unlinked"), ("m2", "unlinked")], "person_mention_id string, status string")
+    link = spark.createDataFrame([("m1", "p", 0.5)], "person_mention_id string, person_id string, score double")
+    assert {tuple(r) for r in accept_on_mentions(m, link).select("person_mention_id", "status", "accepted_person_id", "link_confidence").collect()} == {("m1", "accepted", "p", 0.5), ("m2", "unlinked", None, None)}
+    texts = spark.createDataFrame([("r", "JVBERi0=", 1), ("r", "!!", 2), ("r", "QUFB" * 9, 3), ("r", None, 4)], "source_record_id string, base64 string, sequence_no int")
+    good, bad = decoded_blobs(texts, Limits(base64_bytes=12))
+    assert {(r.sequence_no, bytes(r.content)) for r in good.collect()} == {(1, b"%PDF-"), (4, b"")} and {(r.sequence_no, r.reason) for r in bad.collect()} == {(2, "no base64"), (3, "too large")}
+    files = spark.createDataFrame([("r", "a", 1), ("r", "b", 2)], "source_record_id string, path string, sequence_no int")
+    good, bad = blobs_of_files(files, spark.createDataFrame([("a", bytearray(b"x"))], "path string, content binary"))
+    assert [r.sequence_no for r in good.collect()] == [1] and [r.sequence_no for r in bad.collect()] == [2]
