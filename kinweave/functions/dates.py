@@ -11,11 +11,19 @@ from kinweave.functions.text import norm_space, strip_diacritics
 
 #: Month names and abbreviations, upper case.
 MONTHS = {
-    1: "JAN JANUARY СІЧ СІЧЕНЬ ЯНВ STY STYCZEN", 2: "FEB FEBRUARY ЛЮТ ЛЮТИЙ ФЕВ LUT", 3: "MAR MARCH БЕР БЕРЕЗЕНЬ МАР MARZEC",
-    4: "APR APRIL КВІ КВІТЕНЬ АПР KWI KWIECIEN", 5: "MAY ТРА ТРАВЕНЬ МАЙ MAJ", 6: "JUN JUNE ЧЕР ЧЕРВЕНЬ ИЮН CZE CZERWIEC",
-    7: "JUL JULY ЛИП ЛИПЕНЬ ИЮЛ LIP LIPIEC", 8: "AUG AUGUST СЕР СЕРПЕНЬ АВГ SIE SIERPIEN", 9: "SEP SEPT SEPTEMBER ВЕР ВЕРЕСЕНЬ СЕН WRZ WRZESIEN",
-    10: "OCT OCTOBER ЖОВ ЖОВТЕНЬ ОКТ PAZ PAZDZIERNIK", 11: "NOV NOVEMBER ЛИС ЛИСТОПАД НОЯ LIS LISTOPAD", 12: "DEC DECEMBER ГРУ ГРУДЕНЬ ДЕК GRU GRUDZIEN",
-}
+    1: ["JAN", "JANUARY", "СІЧ", "СІЧЕНЬ", "ЯНВ", "STY", "STYCZEN"],
+    2: ["FEB", "FEBRUARY", "ЛЮТ", "ЛЮТИЙ", "ФЕВ", "LUT"],
+    3: ["MAR", "MARCH", "БЕР", "БЕРЕЗЕНЬ", "МАР", "MARZEC"],
+    4: ["APR", "APRIL", "КВІ", "КВІТЕНЬ", "АПР", "KWI", "KWIECIEN"],
+    5: ["MAY", "ТРА", "ТРАВЕНЬ", "МАЙ", "MAJ"],
+    6: ["JUN", "JUNE", "ЧЕР", "ЧЕРВЕНЬ", "ИЮН", "CZE", "CZERWIEC"],
+    7: ["JUL", "JULY", "ЛИП", "ЛИПЕНЬ", "ИЮЛ", "LIP", "LIPIEC"],
+    8: ["AUG", "AUGUST", "СЕР", "СЕРПЕНЬ", "АВГ", "SIE", "SIERPIEN"],
+    9: ["SEP", "SEPT", "SEPTEMBER", "ВЕР", "ВЕРЕСЕНЬ", "СЕН", "WRZ", "WRZESIEN"],
+    10: ["OCT", "OCTOBER", "ЖОВ", "ЖОВТЕНЬ", "ОКТ", "PAZ", "PAZDZIERNIK"],
+    11: ["NOV", "NOVEMBER", "ЛИС", "ЛИСТОПАД", "НОЯ", "LIS", "LISTOPAD"],
+    12: ["DEC", "DECEMBER", "ГРУ", "ГРУДЕНЬ", "ДЕК", "GRU", "GRUDZIEN"],
+}
 #: Prefixes in the order of their test; those of ``plain`` are tested before, those of ``bare`` after marks are stripped.
 BEFORE = [("plain", "BEF ", "BEF"), ("plain", "BEFORE ", "BEF"), ("plain", "TO ", "TO"), ("bare", "ДО ", "BEF")]
 AFTER = [("plain", "AFT ", "AFT"), ("plain", "AFTER ", "AFT"), ("plain", "FROM ", "FROM"), ("bare", "ПІСЛЯ ", "AFT"), ("bare", "ПИСЛЯ ", "AFT"), ("bare", "ПОСЛЕ ", "AFT")]
@@ -33,7 +41,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def single_date(c: Column) -> Column:
     """struct(start, end, precision) of one plain date: the last number of three or four digits is the year."""
-    months = F.create_map(*[F.lit(x) for n, names in MONTHS.items() for name in names.split() for x in (name, n)])
+    months = F.create_map(*[F.lit(x) for n, names in MONTHS.items() for name in names for x in (name, n)])
     words = F.split(norm_space(F.regexp_replace(F.upper(strip_diacritics(norm_space(c))), "[/.,]", " ")), " ")
     none = F.lit(None).cast("date")
 

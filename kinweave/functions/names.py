@@ -14,7 +14,9 @@ GIVEN_VARIANTS = [
     ("Thomas", "Фома"), ("Timofeus", "Тимофей"), ("Timotheus", "Тимофей"), ("Paraskewa", "Параскева"), ("Paraskeva", "Параскева"),
 ]
 SURNAME_VARIANTS = [("Сімашко", "Семашко"), ("Siemaszko", "Семашко"), ("Semaszko", "Семашко")]
+#: Fixed value: endings that mark a patronymic.
 _PATRONYMIC = r"(?iu)(ович|евич|євич|ич|івна|ївна|овна|евна|євна|ична|івич|yovych|evych|ovych|ovna|evna)$"
+#: Fixed value: marks of an uncertain name.
 _UNCERTAIN = r"\[[^\]]+\]"
 UNNAMED = "Unnamed "
 

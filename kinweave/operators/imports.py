@@ -60,6 +60,15 @@ def _count(entity: str, change: str, df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(entity).alias("entity"), F.lit(change).alias("change"), "rows")
 
 
+def _difference(entity: str, stored: DataFrame, staged: DataFrame, keys: list[str], columns: list[str] | tuple = ()) -> DataFrame:
+    """ADD, MISSING_FROM_IMPORT and, where ``columns`` differ, UPDATE counts of two sides from one full join; a missing value equals an empty one."""
+    side = lambda df, name: df.select(*keys, *[F.coalesce(F.col(c).cast("string"), F.lit("false" if c == "is_living" else "")).alias(f"{name}{c}") for c in columns], F.lit(True).alias(f"{name}in"))
+    both = side(stored, "_a_").join(side(staged, "_b_"), keys, "full")
+    changed = reduce(lambda x, y: x | y, [F.col(f"_a_{c}") != F.col(f"_b_{c}") for c in columns], F.lit(False))
+    change = F.when(F.col("_a_in").isNull(), "ADD").when(F.col("_b_in").isNull(), "MISSING_FROM_IMPORT").when(changed, "UPDATE")
+    return both.groupBy(change.alias("change")).agg(F.count(F.lit(1)).alias("rows")).filter("change is not null").select(F.lit(entity).alias("entity"), "change", "rows")
+
+
 def _blank(df: DataFrame, places: DataFrame) -> DataFrame:
     """Events with comparable attributes: missing text is empty, a missing year or place has a number of its own."""
     ids = places.select("place_raw", F.col("place_id").alias("known_place"))
@@ -89,25 +98,15 @@ def _matches(own: DataFrame, other: DataFrame, staged_first: bool, place: str) -
 def preview(stored: Snapshot, staged: Snapshot) -> DataFrame:
     """(entity, change, rows) of everything that an import would change, changes with rows only."""
     p = ["tree_id", "person_id"]
-    out = [_count("Person", "ADD", staged.person.join(stored.person, p, "left_anti")), _count("Person", "MISSING_FROM_IMPORT", stored.person.join(staged.person, p, "left_anti"))]
-    a, b = stored.person.alias("a"), staged.person.alias("b")
-    text = lambda c: F.coalesce(F.col(c), F.lit(""))
-    changed = reduce(lambda x, y: x | y, [text(f"a.{c}") != text(f"b.{c}") for c in ("external_id", "sex", "display_name", "surname_normalized")])
-    changed = changed | (F.coalesce("a.is_living", F.lit(False)) != F.coalesce("b.is_living", F.lit(False)))
-    out.append(_count("Person", "UPDATE", a.join(b, p).filter(changed)))
-    for entity, keys, x, y in (
-        ("PersonName", [*p, "script_code", "full_name_normalized"], stored.name, staged.name),
-        ("ParentOf", _edge_keys(stored, staged), stored.parent, staged.parent),
-        ("FamilyChild", ["tree_id", "family_id", "child_id"], stored.family_child, staged.family_child),
-    ):
-        if x is None or y is None:
-            continue
-        out += [_count(entity, "ADD", y.join(x.select(*keys), keys, "left_anti")), _count(entity, "MISSING_FROM_IMPORT", x.join(y.select(*keys), keys, "left_anti"))]
-    out.append(_count("Place", "ADD", staged.place.select("place_raw").distinct().join(stored.place, "place_raw", "left_anti")))
-    out += [_count("Family", "ADD", staged.family.join(stored.family, ["tree_id", "family_id"], "left_anti")), _count("Family", "MISSING_FROM_IMPORT", stored.family.join(staged.family, ["tree_id", "family_id"], "left_anti"))]
-    fa, fb = stored.family.alias("a"), staged.family.alias("b")
-    wed = reduce(lambda x, y: x | y, [F.coalesce(F.col(f"a.{c}").cast("string"), F.lit("")) != F.coalesce(F.col(f"b.{c}").cast("string"), F.lit("")) for c in _shared(FAMILY_COLUMNS, stored.family, staged.family)])
-    out.append(_count("Family", "UPDATE", fa.join(fb, ["tree_id", "family_id"]).filter(wed)))
+    out = [
+        _difference("Person", stored.person, staged.person, p, PERSON_COLUMNS),
+        _difference("PersonName", stored.name, staged.name, [*p, "script_code", "full_name_normalized"]),
+        _difference("ParentOf", stored.parent, staged.parent, _edge_keys(stored, staged)),
+        _difference("Family", stored.family, staged.family, ["tree_id", "family_id"], _shared(FAMILY_COLUMNS, stored.family, staged.family)),
+        _count("Place", "ADD", staged.place.select("place_raw").distinct().join(stored.place, "place_raw", "left_anti")),
+    ]
+    if stored.family_child is not None and staged.family_child is not None:
+        out.append(_difference("FamilyChild", stored.family_child, staged.family_child, ["tree_id", "family_id", "child_id"]))
     pair = lambda f: f.select("tree_id", F.least("spouse1_id", "spouse2_id").alias("x"), F.greatest("spouse1_id", "spouse2_id").alias("y"))
     out.append(_count("SpouseOf", "ADD", pair(staged.family).join(pair(stored.family), ["tree_id", "x", "y"], "left_anti")))
     new, old = _blank(staged.event, stored.place), _blank(stored.event, stored.place)

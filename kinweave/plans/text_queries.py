@@ -150,7 +150,7 @@ _PREFIXES = "".join(
     f"WHEN starts_with({'s' if which == 'plain' else 'bare'}, '{prefix}') THEN {{'kind': '{kind}', 'mod': '{mod}', 'l': substr({'s' if which == 'plain' else 'bare'}, {len(prefix) + 1}), 'r': ''}} "
     for kind, prefixes in (("before", BEFORE), ("after", AFTER), ("about", ABOUT)) for which, prefix, mod in prefixes
 )
-_MONTHS = "MAP {" + ", ".join(f"'{name}': {n}" for n, names in MONTHS.items() for name in names.split()) + "}"
+_MONTHS = "MAP {" + ", ".join(f"'{name}': {n}" for n, names in MONTHS.items() for name in names) + "}"
 
 
 def _single(text: str) -> str:
