@@ -174,3 +174,26 @@ def test_tokens_of_places():
     assert tokens(None) == [] and tokens("м. Пучосмокичі; Батазобрський п-т") == ["puCosmokiCi", "batazobrski"]
     assert slips("abcd", "abdc", 2) == 1 and slips("abc", "xyz", 1) == 2 and slips("", "a", 1) == 1
     assert Rule().threshold == 0.5
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01"), reason="needs the test tables")
+def test_parts_of_the_list_change_nothing(spark, monkeypatch):
+    d = "/root/testdata/sf0.01"
+    listed = spark.read.parquet(f"{d}/place.parquet")
+    values = spark.read.parquet(f"{d}/record_place_mention.parquet").filter("place_id is null and place_text is not null").select(F.col("place_text").alias("value")).distinct()
+    got = []
+    for block in (100, 20_000):
+        monkeypatch.setattr(places, "BLOCK", block)
+        got.append({(r.value, r.place_id, round(r.score, 9), round(r.second, 9)) for r in map_values(values, listed).collect()})
+    assert got[0] == got[1] and len({p for _, p, _, _ in got[0]}) > 20
+
+
+def test_mentions_that_differ_give_none(spark):
+    person = spark.createDataFrame(
+        [("t", "p1", "Ivan Petrovych Koval", "Koval", "Ivan", 1800), ("u", "p2", "Ivan Petrovych Koval", "Koval", "Ivan", 1800)], "tree_id string, person_id string, primary_display_name string, surname_normalized string, given_name string, birth_year short"
+    )
+    names = spark.createDataFrame([], "person_id string, name_type string, given string")
+    rows = [("same", "t", "Ivan", "Koval", "Petrovych"), ("same", "t", "Ivan", "Koval", "Petrovych"), ("trees", "t", "Ivan", "Koval", "Petrovych"), ("trees", "u", "Ivan", "Koval", "Petrovych"), ("one", "u", "Iwan", "Kowal", "Petrovych")]
+    mentions = spark.createDataFrame([(*r, 1801) for r in rows], "person_mention_id string, tree_id string, given_name string, surname string, patronymic string, estimated_birth_year short")
+    assert {tuple(r) for r in spelt_persons(mentions, person, names).collect()} == {("same", "p1"), ("one", "p2")}
+    assert {tuple(r)[:2] for r in matched_persons(mentions, person, names).collect()} == {("same", "p1"), ("one", "p2")}

@@ -63,6 +63,12 @@ def test_endings(spark):
     assert not any(got[k] for k in range(len(WHOLE) + len(CUT), len(rows)))
 
 
+def test_long_last_lines(spark):
+    rows = [(1, "Said.\n(" + "very " * 300 + "long)"), (2, "Said.\n(" + "very " * 300 + "long"), (3, "[" + "very " * 300 + "long]"), (4, "(\n" + "very " * 300 + "long)")]
+    got = {r.doc_id: r.truncated for r in judged(spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, source string")).collect()}
+    assert got == {1: False, 2: True, 3: False, 4: True}
+
+
 def test_spikes(spark):
     random.seed(6)
     rows = [(k, "w" * random.randrange(20, 99) + ".", "limited") for k in range(100)]
