@@ -115,7 +115,7 @@ def close_keys(variants: DataFrame, listed: DataFrame, scratch: Scratch) -> Data
     that the exact check of slips lets through.  A variant equal to a listed key is linked to it alone.
     """
     known = listed.select("block", F.col("listed").alias("variant"), F.lit(True).alias("known"))
-    tagged = scratch.save(variants.filter("variant <> ''").join(known, ["block", "variant"], "left"))
+    tagged = scratch.save(variants.filter("variant <> ''").join(known.hint("merge"), ["block", "variant"], "left"))
     same = tagged.filter("known").select("block", "variant", F.col("variant").alias("listed"), F.lit(1.0).alias("score"))
     found = candidates(tagged.filter("known is null"), listed.filter("listed <> ''")).filter(near(F.col("variant"), F.col("listed")))
     score = lambda f: dice(bit_vector(f(F.col("variant"))), bit_vector(f(F.col("listed"))))
@@ -134,8 +134,8 @@ def matched_persons(mentions: DataFrame, person: DataFrame, names: DataFrame) ->
     used = mentions.filter("estimated_birth_year is not null and tree_id is not null")
     linked, parts = link_mentions(used, person, names, False, close_keys, scratch)
     owners = parts.filter("known and birth_year is not null and given <> '' and surname <> ''").select("tree", "surname", "given", "person_id", "birth_year", "first")
-    exact = linked.filter("givens is not null").select("mention", "tree", "year", "surname", "surname_score", F.explode("givens").alias("x")).select("*", F.col("x.name").alias("given"), F.col("x.score").alias("given_score")).drop("x").join(owners.drop("first"), ["tree", "surname", "given"])
-    short = linked.filter("givens is null").select("mention", "tree", "year", "surname", "surname_score", F.lit(0.5).alias("given_score"), "first").join(owners, ["tree", "surname", "first"]).drop("first")
+    exact = linked.filter("givens is not null").select("mention", "tree", "year", "surname", "surname_score", F.explode("givens").alias("x")).select("*", F.col("x.name").alias("given"), F.col("x.score").alias("given_score")).drop("x").join(owners.drop("first").hint("merge"), ["tree", "surname", "given"])
+    short = linked.filter("givens is null").select("mention", "tree", "year", "surname", "surname_score", F.lit(0.5).alias("given_score"), "first").join(owners.hint("merge"), ["tree", "surname", "first"]).drop("first")
     away = F.abs(F.col("year").cast("int") - F.col("birth_year").cast("int"))
     pairs = exact.unionByName(short, allowMissingColumns=True).withColumn("away", away).filter(F.col("away") <= CHANCE[1])
     name = (WEIGHTS["surname"] * F.col("surname_score") + WEIGHTS["given"] * F.col("given_score")) / (WEIGHTS["surname"] + WEIGHTS["given"])
@@ -147,5 +147,5 @@ def matched_persons(mentions: DataFrame, person: DataFrame, names: DataFrame) ->
     year = 1 - F.col("away") / (YEARS + 1)
     close = pairs.filter(F.col("away") <= YEARS).withColumn("score", (1 - WEIGHTS["year"]) * F.col("name") + WEIGHTS["year"] * year)
     top = close.groupBy("mention").agg(F.max("score").alias("top"))
-    first = close.join(top, "mention").filter(F.col("score") >= F.col("top") - 1e-9).groupBy("mention").agg(F.min("person_id").alias("person_id"), F.countDistinct("person_id").alias("persons"), F.max("score").alias("score"), F.max("bin").alias("bin"))
+    first = close.join(top.hint("merge"), "mention").filter(F.col("score") >= F.col("top") - 1e-9).groupBy("mention").agg(F.min("person_id").alias("person_id"), F.countDistinct("person_id").alias("persons"), F.max("score").alias("score"), F.max("bin").alias("bin"))
     return first.filter("persons = 1").join(F.broadcast(calibrated), "bin").select(F.col("mention").alias("person_mention_id"), "person_id", F.round("score", 4).alias("score"), F.round("confidence", 4).alias("confidence"))
