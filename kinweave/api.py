@@ -163,10 +163,14 @@ def cancel_gedcom_import(lib: Library, batch_id: str, reason: str = "") -> DataF
     return imports.cancel(lib.batches, lib.batches.filter(F.col("import_batch_id") == batch_id), reason)
 
 
-def get_gedcom_import_readiness_report(lib: Library, batch_id: str, names: DataFrame | None = None, warnings: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Gates of a batch, and its flags with the state that the report leaves it in."""
-    own = lib.batches.filter(F.col("import_batch_id") == batch_id)
-    return {"gates": imports.readiness(own, lib.candidates, names, warnings), "report": imports.readiness_report(own, lib.candidates, names, warnings)}
+def get_gedcom_import_readiness_report(lib: Library, batch_id: str, names: DataFrame | None = None, warnings: DataFrame | None = None) -> DataFrame:
+    """Gates of a batch."""
+    return imports.readiness(lib.batches.filter(F.col("import_batch_id") == batch_id), lib.candidates, names, warnings)
+
+
+def get_gedcom_import_readiness_flags(lib: Library, batch_id: str, names: DataFrame | None = None, warnings: DataFrame | None = None) -> DataFrame:
+    """Whether a batch may be applied without review, its open duplicates, and the state that the report leaves it in."""
+    return imports.readiness_report(lib.batches.filter(F.col("import_batch_id") == batch_id), lib.candidates, names, warnings)
 
 
 def find_import_duplicate_candidates(lib: Library, batch_id: str, min_score: float = 0.75, top: int = 100) -> DataFrame:

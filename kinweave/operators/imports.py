@@ -319,19 +319,20 @@ def candidate_relatives(candidates: DataFrame, parent: DataFrame, family: DataFr
 
 
 def readiness(batches: DataFrame, candidates: DataFrame, names: DataFrame | None = None, warnings: DataFrame | None = None, high: float = 0.90) -> DataFrame:
-    """The four gates of every batch, with severity ``pass`` where nothing is amiss.
+    """The gates of every batch (four with all inputs), with severity ``pass`` where nothing is amiss.
 
     Open high-confidence duplicates block; names that were not parsed well (``names``:
     import_batch_id, parser_status), date warnings (``warnings``: import_batch_id) and persons
-    out of scope warn.  A gate without its input has no issues.
+    out of scope warn.  A gate whose input is not given can't be judged and is left out, not passed.
     """
     per = lambda df: df.groupBy("import_batch_id").agg(F.count(F.lit(1)).alias("n"))
     open_high = per(candidates.filter((F.col("status") == "suggested") & (F.col("score") >= high)).dropDuplicates(["duplicate_candidate_id"]))
-    none = open_high.limit(0)
-    gates = [
-        ("high_confidence_duplicates", "blocker", open_high), ("name_parsing_issues", "warning", none if names is None else per(names.filter("parser_status <> 'OK'"))),
-        ("date_warnings", "warning", none if warnings is None else per(warnings)), ("scope_invalid", "warning", batches.select("import_batch_id", F.col("scope_invalid_count").cast("bigint").alias("n"))),
-    ]
+    gates = [("high_confidence_duplicates", "blocker", open_high)]
+    if names is not None:
+        gates.append(("name_parsing_issues", "warning", per(names.filter("parser_status <> 'OK'"))))
+    if warnings is not None:
+        gates.append(("date_warnings", "warning", per(warnings)))
+    gates.append(("scope_invalid", "warning", batches.select("import_batch_id", F.col("scope_invalid_count").cast("bigint").alias("n"))))
     counts = reduce(DataFrame.unionByName, [df.select("import_batch_id", F.lit(gate).alias("gate"), "n") for gate, _, df in gates])
     wanted = F.explode(F.array(*[F.struct(F.lit(g).alias("gate"), F.lit(s).alias("bad")) for g, s, _ in gates])).alias("x")
     rows = batches.select("import_batch_id", wanted).select("import_batch_id", "x.*").join(counts, ["import_batch_id", "gate"], "left").withColumn("issues", F.coalesce("n", F.lit(0)).cast("bigint"))
