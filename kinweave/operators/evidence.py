@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -27,18 +28,35 @@ class Facets:
     keyword: str | None = None
     role: str | None = None
     linked: bool | None = None
+    tree_id: str | None = None
+    archive_name: str | None = None
+    fond: str | None = None
+    opis: str | None = None
+    sprava: str | None = None
+    page: str | None = None
     top: int = 50
 
 
+#: Parts of an archive reference that records may name apart.
+ARCHIVE = ["archive_name", "fond", "opis", "sprava", "page"]
+
+
 def _has(c: Column, text: str) -> Column:
     return F.lower(c).contains(text.strip().lower())
 
 
+def _any_has(df: DataFrame, columns: list[str], text: str) -> Column:
+    """Whether any of the columns that the table has contains the text."""
+    return F.coalesce(reduce(lambda a, b: a | b, [F.coalesce(_has(F.col(c), text), F.lit(False)) for c in columns if c in df.columns], F.lit(False)), F.lit(False))
+
+
 def search_records(records: DataFrame, person_mentions: DataFrame, place_mentions: DataFrame, facets: Facets, keywords: DataFrame | None = None) -> DataFrame:
     """Records that meet all facets, newest first, up to ``top``, each with the total number.
 
-    records: source_record_id, record_type, text, archive_ref, year_from, year_to, created_at.
-    Records without years fail a year facet.  A record's mentions count if any of them fits.
+    records: source_record_id, record_type, text, archive_ref, year_from, year_to, created_at,
+    and as far as known tree_id, title, transcription, place_text, church_text and the parts of
+    ARCHIVE; a facet on a column that the table lacks is an error.  Free text looks into title,
+    text and transcription.  Records without years fail a year facet.  A record's mentions count if any of them fits.
     """
     key = ["source_record_id"]
     df = records
@@ -47,7 +65,12 @@ def search_records(records: DataFrame, person_mentions: DataFrame, place_mention
     if facets.record_type is not None:
         df = df.filter(F.col("record_type") == facets.record_type)
     if facets.free_text:
-        df = df.filter(_has(F.col("text"), facets.free_text))
+        df = df.filter(_any_has(df, ["title", "text", "transcription"], facets.free_text))
+    if facets.tree_id is not None:
+        df = df.filter(F.lower(F.trim("tree_id")) == facets.tree_id.strip().lower())
+    for part in ARCHIVE:
+        if getattr(facets, part):
+            df = df.filter(_has(F.col(part), getattr(facets, part)))
     if facets.archive_prefix:
         df = df.filter(F.lower("archive_ref").startswith(facets.archive_prefix.strip().lower()))
     if facets.year_from is not None:
@@ -58,7 +81,9 @@ def search_records(records: DataFrame, person_mentions: DataFrame, place_mention
         if text:
             df = df.join(person_mentions.filter(_has(F.col(column), text)).select(*key), key, "left_semi")
     if facets.place:
-        df = df.join(place_mentions.filter(_has(F.col("place_text"), facets.place) | _has(F.col("normalized_name"), facets.place)).select(*key), key, "left_semi")
+        named = place_mentions.filter(_has(F.col("place_text"), facets.place) | _has(F.col("normalized_name"), facets.place)).select(*key).distinct().withColumn("_named", F.lit(True))
+        own = _any_has(df, ["place_text", "church_text"], facets.place)
+        df = df.join(named, key, "left").filter(F.col("_named").isNotNull() | own).drop("_named")
     if facets.role is not None:
         df = df.join(person_mentions.filter(F.col("role") == facets.role).select(*key), key, "left_semi")
     if facets.keyword and keywords is not None:

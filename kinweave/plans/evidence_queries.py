@@ -12,7 +12,8 @@ from kinweave.plans.adapters import sql, workspace
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    return docs.select("source_record_id", "record_type", "text", "archive_ref", F.col("record_year").cast("int").alias("year_from"), (F.col("record_year") + 5).cast("int").alias("year_to"), "created_at")
+    part = lambda word: F.regexp_extract("archive_ref", rf"(?i)\b{word}\. (\d+)", 1)
+    return docs.select("source_record_id", "record_type", "text", "archive_ref", part("f").alias("fond"), part("op").alias("opis"), part("spr").alias("sprava"), F.col("record_year").cast("int").alias("year_from"), (F.col("record_year") + 5).cast("int").alias("year_to"), "created_at")
 
 
 def _search(facets: evidence.Facets):
@@ -29,6 +30,7 @@ FACETS = {
     "e_search_text": evidence.Facets(free_text="parish", record_type="birth", year_from=1700, year_to=1850, top=500),
     "e_search_mentions": evidence.Facets(surname="о", given_name="а", role="witness", archive_prefix="f. ", top=500),
     "e_search_place": evidence.Facets(place="ів", top=500),
+    "e_search_archive": evidence.Facets(fond="8", opis="1", sprava="2", top=500),
     "e_search_linked": evidence.Facets(linked=True, top=500),
     "e_search_unlinked": evidence.Facets(linked=False, year_from=1800, top=500),
 }
@@ -89,6 +91,7 @@ ORACLE = {
     "e_search_text": _found("record_type = 'birth' AND contains(lower(text), 'parish') AND year_to >= 1700 AND year_from <= 1850"),
     "e_search_mentions": _found(f"starts_with(lower(archive_ref), 'f.') AND {_mention('''contains(lower(m.surname), 'о')''')} AND {_mention('''contains(lower(m.given_name), 'а')''')} AND {_mention('''m.role = 'witness' ''')}"),
     "e_search_place": _found("EXISTS (SELECT 1 FROM record_place_mention m WHERE m.source_record_id = r.source_record_id AND (contains(lower(m.place_text), 'ів') OR contains(lower(m.normalized_name), 'ів')))"),
+    "e_search_archive": _found(r"contains(regexp_extract(archive_ref, '(?i)\bf\. (\d+)', 1), '8') AND contains(regexp_extract(archive_ref, '(?i)\bop\. (\d+)', 1), '1') AND contains(regexp_extract(archive_ref, '(?i)\bspr\. (\d+)', 1), '2')"),
     "e_search_linked": _found(_mention("m.status IN ('accepted', 'suggested')")),
     "e_search_unlinked": _found(f"year_to >= 1800 AND NOT {_mention('''m.status IN ('accepted', 'suggested') ''')}"),
     "e_suggest_links": """SELECT person_mention_id, person_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY person_mention_id ORDER BY score DESC, person_id) AS rank FROM (

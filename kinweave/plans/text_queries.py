@@ -87,7 +87,9 @@ def a_person_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def a_name_collisions(spark: SparkSession, d: str) -> DataFrame:
-    return workspace(spark, d).person.groupBy("tree_id", F.lower(F.trim("display_name")).alias("name")).agg(F.count(F.lit(1)).alias("persons")).filter("persons > 1")
+    """Names of several persons of a tree, told by any of their recorded names without differences of case, marks and blanks."""
+    names = workspace(spark, d).name.select("tree_id", norm_text(F.col("full_name")).alias("name"), "person_id").filter("name <> ''")
+    return names.groupBy("tree_id", "name").agg(F.countDistinct("person_id").alias("persons")).filter("persons > 1")
 
 
 def a_event_histogram(spark: SparkSession, d: str) -> DataFrame:
@@ -197,7 +199,7 @@ ORACLE = {
     "a_is_living": sql("SELECT tree_id, person_id, CASE WHEN max(year_from) FILTER (event_type = 'DEAT') IS NOT NULL THEN false WHEN max(year_to) FILTER (event_type = 'BIRT') >= 1906 THEN true END AS is_living FROM event_v GROUP BY ALL"),
     "a_place_stats": sql("SELECT place_raw, count(*) AS events, count(DISTINCT person_id) AS persons, count(*) FILTER (event_type = 'BIRT') AS births, count(*) FILTER (event_type = 'DEAT') AS deaths FROM event_v WHERE place_raw IS NOT NULL GROUP BY 1"),
     "a_person_stats": sql("SELECT p.tree_id, p.person_id, (SELECT count(*) FROM parent_v e WHERE e.tree_id = p.tree_id AND e.child_id = p.person_id) AS parents, (SELECT count(*) FROM parent_v e WHERE e.tree_id = p.tree_id AND e.parent_id = p.person_id) AS children, (SELECT count(*) FROM event_v e WHERE e.tree_id = p.tree_id AND e.person_id = p.person_id) AS events, (SELECT count(DISTINCT place_raw) FROM event_v e WHERE e.tree_id = p.tree_id AND e.person_id = p.person_id) AS places FROM person_v p"),
-    "a_name_collisions": sql("SELECT tree_id, lower(trim(display_name)) AS name, count(*) AS persons FROM person_v GROUP BY ALL HAVING count(*) > 1"),
+    "a_name_collisions": sql(r"SELECT tree_id, lower(strip_accents(trim(regexp_replace(full_name, '\s+', ' ', 'g')))) AS name, count(DISTINCT person_id) AS persons FROM name_v WHERE trim(full_name) <> '' GROUP BY ALL HAVING count(DISTINCT person_id) > 1"),
     "a_event_histogram": sql("SELECT event_type, count(*) AS events FROM event_v GROUP BY 1"),
     "a_top_places": sql("SELECT place_raw, count(*) AS events FROM event_v WHERE place_raw IS NOT NULL GROUP BY 1 ORDER BY events DESC, place_raw LIMIT 20"),
     "s_gedcom_lines": _LINES,

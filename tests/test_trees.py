@@ -4,9 +4,10 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from kinweave.operators import graphs, trees
-from kinweave.operators.evidence import Limits, accept_on_mentions, blobs_of_files, decide_links, decoded_blobs, orphan_contents, persist_candidates, store_attachments, suggest_links
+from kinweave.operators.evidence import Facets, Limits, accept_on_mentions, blobs_of_files, decide_links, decoded_blobs, orphan_contents, persist_candidates, search_records, store_attachments, suggest_links
 from kinweave.operators.imports import apply_import, cancel, duplicates, preview
 from kinweave.operators.merges import merge_snapshot, or_equi_join
 from kinweave.plans.adapters import Workspace
@@ -170,3 +171,15 @@ def test_accepted_links_and_blob_channels(spark):
     files = spark.createDataFrame([("r", "a", 1), ("r", "b", 2)], "source_record_id string, path string, sequence_no int")
     good, bad = blobs_of_files(files, spark.createDataFrame([("a", bytearray(b"x"))], "path string, content binary"))
     assert [r.sequence_no for r in good.collect()] == [1] and [r.sequence_no for r in bad.collect()] == [2]
+
+
+def test_search_facets_of_known_columns(spark):
+    rows = [("r1", "births", "t", "Київ", None, "12", "T1"), ("r2", None, None, None, "st. Anna", "21", "t1 "), ("r3", None, "births", "Львів", None, None, None)]
+    records = spark.createDataFrame(rows, "source_record_id string, title string, text string, place_text string, church_text string, fond string, tree_id string").withColumn("created_at", F.current_timestamp())
+    people = spark.createDataFrame([], "source_record_id string, surname string, given_name string, role string, status string")
+    places = spark.createDataFrame([("r3", "Anna-hof", None)], "source_record_id string, place_text string, normalized_name string")
+    run = lambda **f: {r.source_record_id for r in search_records(records, people, places, Facets(**f)).collect()}
+    assert run(free_text="BIRTH") == {"r1", "r3"} and run(place="anna") == {"r2", "r3"} and run(place="київ") == {"r1"}
+    assert run(fond="1") == {"r1", "r2"} and run(tree_id="T1", fond="2", free_text="t") == {"r1"} and run(tree_id="T1") == {"r1", "r2"}
+    with pytest.raises(Exception, match="opis"):
+        run(opis="1")
