@@ -82,6 +82,7 @@ def spellings(variants: DataFrame, listed: DataFrame, scratch: Scratch, rule: Ru
     scored = scored.withColumn("cosine", dot("vm", F.col("lm"))).filter(F.col("cosine") >= rule.threshold).drop("lm")
     rank = F.row_number().over(W.partitionBy("block", "variant").orderBy(F.desc("cosine"), "listed"))
     top = scratch.save(scored.withColumn("nearest", rank == 1))
+    scratch.drop(idf, theirs, mine)
     member = top.filter("nearest").select("block", "listed", F.explode("vm").alias("gram", "w"))
     centre = member.groupBy("block", "listed", "gram").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("n")).groupBy("block", "listed").agg(F.map_from_entries(F.collect_list(F.struct("gram", "w"))).alias("sum"))
     sizes = top.filter("nearest").groupBy("block", "listed").agg(F.count(F.lit(1)).alias("members"))
