@@ -94,7 +94,7 @@ def test_index_prunes(spark, capsys):
 
 def test_linkage_decides(spark):
     # ika is one slip away from iva, but far from the other spellings of iva
-    listed, typed = ["iva"], ["ika", "niva", "siva", "tiva", "ivva"]
+    listed, typed = ["iva"], ["ika", "niva", "siva", "tiva", "riva", "diva"]
     run = lambda rule: {(r.variant, r.listed) for r in spellings(_keys(spark, "t", "variant", [("t", w) for w in typed]), _keys(spark, "t", "listed", [("t", w) for w in listed]), Scratch(spark, "test"), rule).collect()}
     assert run(SpellingRule(linkage=-1.0)) - run(SpellingRule()) == {("ika", "iva")}
 
